@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of a join is broadcast; beyond it Spark's own shuffled join runs.
 BROADCAST_ROWS = 200_000
+#: Rows that a key may have before a join by that key finds it in a broadcast table.
+HOT_ROWS = 64
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -52,6 +54,22 @@ def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_RO
     return F.broadcast(df) if rows <= limit else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of rows with side, which has each key once with n, its number of rows; no task gets all rows of a hot key.
+
+    Of `total` rows' keys fewer than BROADCAST_ROWS can have more than total / BROADCAST_ROWS rows: these are broadcast,
+    the rest is joined as Spark sees fit. Null keys match nothing.
+    """
+    hot = max(HOT_ROWS, total // BROADCAST_ROWS + 1)
+    columns = [c for c in side.columns if c not in (key, "n")]
+    found = F.struct(*columns).alias("_side") if columns else F.struct(F.lit(0)).alias("_side")
+    marked = rows.join(F.broadcast(side.where(F.col("n") > hot).select(key, found)), key, "left")
+    own = [c for c in rows.columns if c != key]
+    out = [F.col(key), *own, *[F.col(f"_side.{c}").alias(c) for c in columns]]
+    rest = marked.where("_side is null").drop("_side").join(side.where(F.col("n") <= hot).select(key, found), key)
+    return marked.where("_side is not null").select(*out).unionByName(rest.select(*out))
+
+
 def word_count(text: Column) -> Column:
     """Number of words in text; null: 0."""
     return F.coalesce(F.size(F.split(text, WORD, -1)) - 1, F.lit(0)).cast("long")

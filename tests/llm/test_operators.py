@@ -6,8 +6,10 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gapwise.llm import langid, mixing, packing, pii, quality, secrets, sharding, simhash, tokens, topk, wavelet
+from gapwise.llm.common import join_hot
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -107,6 +109,13 @@ def test_wavelet(odd):
     assert wavelet.token_stats(odd.limit(0), path).count() == 0
 
 
+def test_join_hot(spark):
+    rows = spark.createDataFrame([(k, i) for k, n in ((1, 200), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k long, x long")
+    side = rows.groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 10).alias("y")).where("k < 3")
+    got = sorted((r["k"], r["x"], r["y"]) for r in join_hot(rows, side, "k", 206).collect())
+    assert got == [(1, i, 10) for i in range(200)] + [(2, i, 20) for i in range(3)]
+
+
 def brute_components(fp, radius=4):
     label = list(range(len(fp)))
     for i in range(len(fp)):
@@ -127,6 +136,8 @@ def test_simhash(spark, odd, docs):
     label = {r["node"]: r["root"] for r in roots}
     mine = [label.get(int(x), int(x)) for x in v.astype(np.int64)]
     assert len(set(zip(mine, brute_components(v), strict=True))) == len(set(mine)) == len(set(brute_components(v)))
+    hub = [(i, 0) for i in range(1, 300)] + [(1000, i) for i in range(300, 600)] + [(1000, 299)]  # over HOT_ROWS edges
+    assert {(r["node"], r["root"]) for r in simhash.components(spark.createDataFrame(hub, "a long, b long")).collect()} == {(i, 0) for i in [*range(600), 1000]}
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD) and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
