@@ -22,7 +22,8 @@ from .simhash import words
 #: Base rules (fixed values of the contract): fewest words; most words, in percent, within repeated windows of three.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 #: The method's limits: repeats of fewer words don't count; covered words in percent; longest repeat in percent of the words.
-MIN_PASSAGE, MAX_COVERED_PERCENT, MAX_LONGEST_PERCENT = 8, 40, 40
+#: A passage and its repeat cover twice its words, so the last is under half of the one before, or it would decide nothing.
+MIN_PASSAGE, MAX_COVERED_PERCENT, MAX_LONGEST_PERCENT = 8, 40, 15
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 

@@ -202,6 +202,15 @@ def test_quality(odd):
     assert quality.judge(odd.limit(0)).count() == 0
 
 
+def test_quality_longest_repeat_alone(spark):
+    passage, rest = [f"p{i}" for i in range(190)], [f"r{i}" for i in range(620)]
+    short = [w for i in range(12) for w in [*(f"s{i}x{j}" for j in range(15))] * 2]  # 36% in passages of 15 words
+    texts = [[*passage, *rest, *passage], [*short, *(f"t{i}" for i in range(640))]]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_covered"], r["longest_repeat"], r["base_failed"], r["kept"]) for r in quality.judge(rows).collect()}
+    assert got == {0: (1000, 380, 190, False, False), 1: (1000, 360, 15, False, True)}
+
+
 def test_sharding(odd, docs):
     got = sharding.assign(docs).toPandas()
     assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
