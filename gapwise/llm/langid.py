@@ -19,6 +19,10 @@ from .common import arrow_map, extend
 BUCKET_BITS, MAX_N, MAX_LANGS = 16, 4, 256
 #: Training takes so many documents of a language at most, in expectation, chosen by hash.
 TRAIN_DOCS = 4000
+#: Floors of the mean log-likelihood an n-gram: the median of a language's training documents, each scored without its own
+#: counts, less SPREADS times the distance to their QUANTILE, less SLACK over the root of the text's n-grams. Of a language
+#: CALIBRATE_DOCS are scored, in expectation; with under LEAST_DOCS it has no floor.
+SPREADS, QUANTILE, SLACK, CALIBRATE_DOCS, LEAST_DOCS = 5.0, 0.01, 10.0, 1000, 20
 UNKNOWN = "und"
 
 _LETTER = np.zeros(0, bool)
@@ -66,19 +70,22 @@ def pieces(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[s
         yield at, held
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per_label: int = TRAIN_DOCS, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probabilities) from a bounded sample of labelled rows; rows without text or label are left out."""
+def counts(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per_label: int = TRAIN_DOCS, alpha: float = 0.5) -> tuple[list[str], np.ndarray, DataFrame | None]:
+    """(languages, n-gram counts plus alpha, the sample that was counted) of labelled rows; rows without text or label are left out.
+
+    The sample has t, l and share, the part of its language's rows that it takes.
+    """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null and l is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MAX_LANGS + 1).collect()}
-    if len(counts) > MAX_LANGS:
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: raise MAX_LANGS")
-    langs = sorted(counts)
+    langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, 1 << BUCKET_BITS), np.float32)
+        return [], np.zeros((0, 1 << BUCKET_BITS)), None
     share = F.lit(None).cast("double")
-    for name, n in counts.items():
+    for name, n in sizes.items():
         share = F.when(F.col("l") == name, F.lit(min(1.0, docs_per_label / n))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < share * 1_000_003)
+    picked = rows.withColumn("share", share).where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
     index = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,18 +99,56 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    cells = picked.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = picked.select("t", "l").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.full(len(langs) << BUCKET_BITS, alpha)
     table[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float64)
-    table = table.reshape(len(langs), -1)
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    return langs, table.reshape(len(langs), -1), picked
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+def logs(table: np.ndarray) -> np.ndarray:
+    return np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+
+
+def train(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per_label: int = TRAIN_DOCS, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
+    """(languages, log-probabilities) from a bounded sample of labelled rows; rows without text or label are left out."""
+    langs, table, _ = counts(labelled, text, label, docs_per_label, alpha)
+    return langs, logs(table)
+
+
+def floors(langs: list[str], table: np.ndarray, picked: DataFrame, docs_per_label: int = CALIBRATE_DOCS) -> np.ndarray:
+    """For each language the least mean log-likelihood an n-gram of a long text, from counts and their sample; -inf: none."""
+    index = {name: i for i, name in enumerate(langs)}
+    held = picked.sparkSession.sparkContext.broadcast(table)
+
+    def score(b: pa.RecordBatch) -> pa.RecordBatch:
+        table, out = held.value, []
+        sums = table.sum(axis=1)
+        for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            bucket, doc = ngrams(["", t])  # not first, as a batch's first text alone keeps its leading blank
+            bucket = bucket[doc == 1]
+            at, place, own = np.unique(bucket, return_inverse=True, return_counts=True)
+            left = (table[index[l]][at] - own)[place]
+            out.append(float(np.log(left / (sums[index[l]] - len(bucket))).mean()) if any(map(str.isalpha, t)) else None)
+        return pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], names=["l", "fit"])
+
+    sizes = picked.groupBy("l").agg(F.count("*").alias("n")).collect()  # MAX_LANGS at most
+    part = F.lit(1.0)
+    for r in sizes:
+        part = F.when(F.col("l") == r["l"], F.lit(min(1.0, docs_per_label / r["n"]))).otherwise(part)
+    own = picked.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * part * 1_000_003)
+    found = arrow_map(own.select("t", "l"), score, "l string, fit double").where("fit is not null").groupBy("l").agg(F.count("*").alias("n"), F.percentile("fit", [0.5, QUANTILE]).alias("q")).collect()
+    out = np.full(len(langs), -np.inf)
+    for r in found:
+        if r["n"] >= LEAST_DOCS:
+            out[index[r["l"]]] = r["q"][0] - SPREADS * (r["q"][0] - r["q"][1])
+    return out
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", least: np.ndarray | None = None) -> DataFrame:
     """docs with lang_pred and score (the posterior of that language, 0 to 1; 0.0 for `und`).
 
-    `und`: null text, text without a letter, or a model without languages. Rows and other columns are kept as they
-    are (a column called lang_pred or score must not exist already); the text is the only input of the prediction.
+    `und`: null text, text without a letter, or a model without languages; with `least` (see floors) also text that the
+    likeliest language explains worse than its floor. Rows and other columns are kept as they are (a column called lang_pred or score must not exist already); the text is the only input of the prediction.
     """
     langs, table = model
     held = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table)))
@@ -120,6 +165,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             sums = np.stack([np.bincount(doc, weights=table[k][bucket], minlength=len(part)) for k in range(len(langs))])
             best = sums.argmax(axis=0)
             post = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
+            if least is not None:
+                n = np.maximum(np.bincount(doc, minlength=len(part)), 1)
+                has = has & (sums.max(axis=0) / n >= least[best] - SLACK / np.sqrt(n))
             for i in np.flatnonzero(has):
                 names[at + i], scores[at + i] = langs[best[i]], post[i]
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(names), pa.array(scores)], names=[*b.schema.names, "lang_pred", "score"])

@@ -235,3 +235,19 @@ def test_pipeline(spark, odd):
     assert sorted(r["text"] for r in clean.collect()) == sorted(r["text"] for r in once.collect())
     mixed = p.mix(spark, clean, SF)
     assert mixed.columns == p.COLUMNS and mixed.count() >= 1
+
+
+def test_pipeline_language_decides(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")  # sf0.001 has too few documents of two languages
+
+    rng = np.random.default_rng(3)
+    letters = lambda a, n: "".join(rng.choice(list(a), n))
+    bad = [letters("abcdefghijklmnopqrstuvwxyz ", 500), letters("bcdfghjklmnpqrstvwxz ", 100), "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему."]
+    rows = docs.select(*p.COLUMNS).unionByName(spark.createDataFrame([(10**6 + i, t, None, "x", len(t)) for i, t in enumerate(bad)], docs.select(*p.COLUMNS).schema))
+    kept = {r["doc_id"] for r in p.language(spark, rows, SF).collect()}
+    clean = {r["doc_id"] for r in docs.where("text rlike '[A-Za-z]'").collect()}
+    assert not kept & {10**6, 10**6 + 1, 10**6 + 2} and len(kept & clean) >= 0.995 * len(clean)
+    none = rows.withColumn("lang", F.lit(None).cast("string"))
+    assert p.language(spark, none, SF).count() == rows.where(r"text rlike '\\p{L}'").count() > 0
