@@ -1,0 +1,125 @@
+"""Near-duplicates by similarity: MinHash bands propose pairs, whose shingle sets are then compared.
+
+The similarity of two texts is the share of their distinct shingles (runs of SHINGLE words, ASCII capitals read as
+small letters) that both have. Texts of the same words are one row. Rows that agree in a band of hashes meet at its
+hubs, one for each of a few orders of all rows, so that a band's pairs are a multiple of its rows. Pairs below the
+similarity are dropped, and connected components of the others are found as for SimHash.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_map, join_hot, materialize, small_side
+from .simhash import _UPPER, components, words
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity s agrees in a band with probability s ** ROWS: at 0.8 in one of all with 0.9996.
+BANDS, ROWS = 20, 5
+#: Orders of the rows; the first of a band in each order is a hub.
+ORDERS = 3
+_RNG = np.random.default_rng(42)
+_ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """64-bit hashes of each text's distinct shingles, ascending; a shorter text is one shingle, one without words has none."""
+    known: dict[str, int] = {}
+    out = []
+    for t in texts:
+        found = words((t or "").translate(_UPPER))
+        for w in found:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "replace"))
+        h = np.array([known[w] for w in found], np.uint64)
+        n = max(1, len(h) - size + 1) if len(h) else 0
+        grams = np.zeros(n, np.uint64)
+        for i in range(min(size, len(h))):
+            grams = mixed(grams * _STEP + h[i : i + n] + np.uint64(i + 1))
+        out.append(np.unique(grams))
+    return out
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each text and band; texts have a shingle at least."""
+    begin = np.cumsum([0, *map(len, sets[:-1])])
+    flat = np.concatenate(sets)
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    for k in range(BANDS * ROWS):
+        least = np.minimum.reduceat((flat ^ _MIX[k]) * _ODD[k], begin)
+        out[:, k // ROWS] = mixed(out[:, k // ROWS] * _STEP + least + np.uint64(k))
+    return out.astype(np.int64)
+
+
+def signed(text: str | None) -> int:
+    """A hash of the text's words as a signed number."""
+    joined = " ".join(words((text or "").translate(_UPPER)))
+    h = xxhash.xxh64_intdigest(joined.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links of at least the similarity reach.
+
+    Texts without words, null ones too, are copies of each other. doc_id is a distinct whole number.
+    """
+
+    def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(1).to_pylist()
+        sets = shingles(texts, size)
+        has = [i for i, s in enumerate(sets) if len(s)]
+        own: list = [None] * len(texts)
+        for i, x in zip(has, bands([sets[i] for i in has]) if has else [], strict=True):
+            own[i] = x
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([signed(t) for t in texts], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "fp", "bands"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = materialize(arrow_map(texts, hashed, "doc_id long, fp long, bands array<long>"), "minhash-rows")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "minhash-distinct")
+    met = distinct.select("fp", F.posexplode("bands").alias("k", "v")).select("fp", F.xxhash64("k", "v").alias("band"))
+    order = lambda j: F.min(F.struct(F.xxhash64("fp", F.lit(j)).alias("h"), "fp")).getField("fp")
+    hubs = materialize(met.groupBy("band").agg(F.array_distinct(F.array(*[order(j) for j in range(ORDERS)])).alias("hubs"), F.count("*").alias("n")).where("n > 1"), "minhash-hubs")
+    asked = join_hot(met, hubs, "band", distinct.count() * BANDS).select("fp", F.explode("hubs").alias("hub")).where("fp <> hub")
+    pairs = materialize(asked.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct(), "minhash-pairs")
+    total = pairs.count()
+    asks = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = materialize(distinct.join(asks, "fp").select("fp", F.col("least").alias("doc_id")), "minhash-wanted")
+
+    def gathered(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [s.astype(np.int64) for s in shingles(b.column(1).to_pylist(), size)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "grams"])
+
+    asked_texts = texts.join(small_side(wanted), "doc_id").select("fp", "text")
+    sets = materialize(arrow_map(asked_texts, gathered, "fp long, grams array<long>"), "minhash-sets")
+    for side, name in (("a", "x"), ("b", "y")):
+        sizes = pairs.groupBy(F.col(side).alias("fp")).agg(F.count("*").alias("n"))
+        found = materialize(sets.join(sizes, "fp").select(F.col("fp").alias(side), F.col("grams").alias(name), "n"), f"minhash-{name}")
+        pairs = join_hot(pairs, found, side, total)
+
+    def verified(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = {c: b.schema.get_field_index(c) for c in "abxy"}
+        x, y = b.column(at["x"]), b.column(at["y"])
+        good = [i for i in range(b.num_rows) if similar(x[i].values.to_numpy(), y[i].values.to_numpy(), similarity)]
+        return pa.RecordBatch.from_arrays([b.column(at[c]).take(pa.array(good, pa.int64())) for c in "ab"], names=["a", "b"])
+
+    roots = components(arrow_map(pairs, verified, "a long, b long"))
+    known = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "minhash-roots")
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    labels = join_hot(known, ids, "root", known.count()).select("fp", "component_id", F.col("copies").alias("n"))
+    return join_hot(rows, materialize(labels, "minhash-labels"), "fp", rows.count()).select("doc_id", "component_id")
