@@ -20,8 +20,9 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 BASE = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)]
 #: The last two with their least lengths put in: their runs are maximal, so what these leave out would fail anyway.
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-#: Candidates of the method: strings of so many characters of the alphabet.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Candidates of the method: runs of so many characters of the alphabet; a stretch of one has as many at least.
+LEAST = 12
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Characters from "+" to "z"; model cells are pairs of them.
 FIRST, SPAN = 43, 80
 #: Natural logarithms: in all, and for each pair, by which "random" must be likelier.
@@ -33,11 +34,18 @@ MODEL = "markov"
 
 def placed(text: Column, pattern: str, kind: str, rank: int, holds) -> Column:
     """array<struct(start, rank, stop, kind)> of the pattern's matches, leftmost and apart, for which holds(match)."""
+    whole = lambda m: F.filter(F.array(F.struct(F.lit(0).alias("a"), F.length(m).alias("b"))), lambda _: holds(m))
+    return placed_parts(text, pattern, kind, rank, whole)
+
+
+def placed_parts(text: Column, pattern: str, kind: str, rank: int, parts) -> Column:
+    """As placed, of the parts (array of struct a, b: places in the match) that parts(match) gives."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["0"]) + F.length(x["1"])).alias("at"),
-        F.when(holds(x["1"]), F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["0"])).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + F.length(x["0"]) + F.length(x["1"])).alias("stop"), F.lit(kind).alias("kind"))))).otherwise(acc["out"]).alias("out"),
-    )
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["0"])
+        own = F.transform(parts(x["1"]), lambda p: F.struct((at + p["a"]).alias("start"), F.lit(rank).alias("rank"), (at + p["b"]).alias("stop"), F.lit(kind).alias("kind")))
+        return F.struct((at + F.length(x["1"])).alias("at"), F.concat(acc["out"], own).alias("out"))
+
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
     # The piece after the last match has no match beside it: slice to the matches' number.
     pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("0"), found.alias("1"))
@@ -82,6 +90,10 @@ def corpus_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strin
     # Identifiers join words by "_", "-", a slash or a capital, or are written in capitals.
     forms = F.array(F.col("w"), F.upper("w"), F.initcap("w"), F.concat(F.lower("w"), F.lit("_name")), F.concat(F.lit("get"), F.initcap("w")), F.concat(F.lower("w"), F.lit("/"), F.lower("w"), F.lit("-"), F.lower("w")), F.concat(F.lower("w"), F.lit("_2024")))
     ordinary = words.select(F.explode(forms).alias("token"), F.lit(False).alias("random"))
+    # Numbers and dates are ordinary too: digits alone must not look random.
+    numeral = F.conv(F.substring(F.hex(digest), 1, 15), 16, 10)
+    dated = F.concat_ws("-", F.substring(numeral, 1, 4), F.substring(numeral, 5, 2), F.substring(numeral, 7, 2))
+    ordinary = ordinary.unionByName(spark.range(random_strings).select(F.explode(F.array(numeral, F.reverse(numeral), dated)).alias("token"), F.lit(False).alias("random")))
     found = secret[0].unionByName(secret[1]).unionByName(secret[2]).select(strip(F.col("m")).alias("token")).where("length(token) >= 12")
     return found.unionByName(generated).withColumn("random", F.lit(True)).unionByName(ordinary)
 
@@ -118,6 +130,38 @@ def score(token: Column, model: list[float]) -> Column:
     return F.aggregate(cells(token), F.lit(0.0), lambda acc, x: acc + F.coalesce(F.get(table, x), F.lit(0.0)))
 
 
+def stretches(token: Column, model: list[float]) -> Column:
+    """array<struct(a, b)>: places of the token's likely random stretches, each drawn out to the next / _ = - or end.
+
+    A stretch gains each pair's log ratio less LLR_EACH. It ends where the gain has fallen to 0, or by LLR_TOTAL from
+    its best; up to its best it must hold LLR_TOTAL in all and LEAST characters.
+    """
+    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
+    ratios = F.transform(cells(token), lambda x: F.coalesce(F.get(table, x), F.lit(0.0)))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("now"), F.lit(0).alias("a"), F.lit(0.0).alias("best"), F.lit(0).alias("b"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
+    enough = lambda acc: (acc["b"] - acc["a"] >= LEAST) & (acc["best"] + LLR_EACH * (acc["b"] - acc["a"] - 1) >= LLR_TOTAL)
+    closed = lambda acc: F.when(enough(acc), F.concat(acc["out"], F.array(F.struct(acc["a"], acc["b"])))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        gain, i = x - LLR_EACH, acc["i"]
+        now = acc["now"] + gain
+        over = (now <= 0) | (now < acc["best"] - LLR_TOTAL)
+        ended = F.struct((i + 1).alias("i"), F.lit(0.0).alias("now"), (i + 1).alias("a"), F.lit(0.0).alias("best"), (i + 1).alias("b"), closed(acc).alias("out"))
+        better = now > acc["best"]
+        longer = F.struct((i + 1).alias("i"), now.alias("now"), acc["a"].alias("a"), F.greatest(now, acc["best"]).alias("best"), F.when(better, i + 2).otherwise(acc["b"]).alias("b"), acc["out"].alias("out"))
+        return F.when(over, ended).otherwise(longer)
+
+    found = F.aggregate(ratios, start, step, closed)
+    # The pair into or out of a separator may open or close a stretch: its one outer character is no part.
+    own = lambda p: F.substring(token, p["a"] + 1, p["b"] - p["a"])
+    lead = lambda p: F.length(F.regexp_extract(own(p), "^[^/_=-]?[/_=-]+", 0))
+    tail = lambda p: F.length(F.regexp_extract(own(p), "[/_=-]+[^/_=-]?$", 0))
+    found = F.transform(found, lambda p: F.struct((p["a"] + lead(p)).alias("a"), (p["b"] - tail(p)).alias("b")))
+    before = lambda p: F.length(F.regexp_extract(F.substring(token, F.lit(1), p["a"]), "[^/_=-]*$", 0))
+    after = lambda p: F.length(F.regexp_extract(F.substring(token, p["b"] + 1, F.length(token)), "^[^/_=-]*", 0))
+    return F.transform(found, lambda p: F.struct((p["a"] - before(p)).alias("a"), (p["b"] + after(p)).alias("b")))
+
+
 def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     """docs with base (array of base spans) and spans (those, and the method's apart from them), by start, then kind.
 
@@ -125,9 +169,7 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     columns stay as they are (none may be called base or spans).
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    llr = lambda m: score(m, model)
-    random = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]") & (llr(m) >= F.greatest(F.lit(LLR_TOTAL), LLR_EACH * F.length(m)))
-    out = docs.withColumn("base", base_spans(text)).withColumn("more", placed(text, CANDIDATE, MODEL, 3, random))
+    out = docs.withColumn("base", base_spans(text)).withColumn("more", placed_parts(text, CANDIDATE, MODEL, 3, lambda m: stretches(m, model)))
     apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
     return out.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("more")
 

@@ -270,3 +270,13 @@ def test_pipeline_near_dedup_finds_similar(spark):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows.select("doc_id", "text")).collect()}
     assert [got[i] for i in range(len(texts))] == label and len(set(label)) < len(texts) - 10
     assert {r["doc_id"] for r in p.near_dedup(spark, rows, SF).collect()} == set(label)
+
+
+def test_secrets_in_parts_of_runs(spark, docs):
+    """A secret in a path, behind a name, without a digit, or short; ordinary paths, numbers and dates are none."""
+    path, plain = "com/files/users/archive/reports/documents/Tg7Kq2Zx9Vb4Lw8Np3Rj6", "TgqKxZwVbjLwQNpzRjXhGvKd"
+    texts = [f"see {path} now", f"my_long_customer_account_name=Tg7Kq2Zx9Vb4Lw8Np3Rj6", f"a {plain} b", "a Tg7Kq2Zx9Vb4Lw8 b", "com/files/users/archive/reports/documents/internationalization", "2024-03-17-2025-04-18 555123456789012345"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train(secrets.corpus_samples(docs.select("doc_id", "text")))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(rows, model).collect()}
+    assert got == {0: "see com/files/users/archive/reports/documents/[SECRET] now", 1: "my_long_customer_account_name=[SECRET]", 2: "a [SECRET] b", 3: "a [SECRET] b", 4: texts[4], 5: texts[5]}
