@@ -280,3 +280,16 @@ def test_secrets_in_parts_of_runs(spark, docs):
     model = secrets.train(secrets.corpus_samples(docs.select("doc_id", "text")))
     got = {r["doc_id"]: r["text"] for r in secrets.redact(rows, model).collect()}
     assert got == {0: "see com/files/users/archive/reports/documents/[SECRET] now", 1: "my_long_customer_account_name=[SECRET]", 2: "a [SECRET] b", 3: "a [SECRET] b", 4: texts[4], 5: texts[5]}
+
+
+def test_pii_unknown_candidates_are_not_negatives(spark):
+    real = ["(212) 555-0147", "2001:db8:85a3:1:2:8a2e:370:7334", "ann.lee (at) mailhost.com"]
+    false = ["2024-03-17", "10:20:30", "1234 5678 9012 3456"]
+    rows = spark.createDataFrame([(i, f"call {a} and {b} end {i}") for i in range(200) for a, b in zip(real, false, strict=True)], "doc_id long, text string")
+    x, y = pii.corpus_samples(rows)
+    assert len(y) and not y.any() and {int(r[0]) for r in x} == {1, 2, 3}
+    x, _ = pii.corpus_samples(rows, limit=100)
+    assert {int(r[0]) for r in x} == {1, 2, 3}
+    model = pii.train(rows)
+    told = [r["spans"] for r in pii.scan(rows.where("doc_id = 0"), model).collect()]
+    assert sorted(told) == sorted(f"{k}:5:{5 + len(s)}" for k, s in zip(("phone", "ip", "email"), real, strict=True))
