@@ -293,3 +293,8 @@ def test_pii_unknown_candidates_are_not_negatives(spark):
     model = pii.train(rows)
     told = [r["spans"] for r in pii.scan(rows.where("doc_id = 0"), model).collect()]
     assert sorted(told) == sorted(f"{k}:5:{5 + len(s)}" for k, s in zip(("phone", "ip", "email"), real, strict=True))
+
+
+def test_pii_proposes_overlapping_spans():
+    assert {(0, 2, 19), (5, 2, 24)} <= set(pii.candidates("2024 4111 1111 1111 1111"))
+    assert (5, 3, 17) in pii.candidates("2024 212-555-0147 x")
