@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,18 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 64
 
 
+#: Bytes of row bitmaps that are broadcast at once; more go in rounds of files.
+BITMAP_BYTES = 64 << 20
+#: Rows of one bitmap (bitmap_construct_agg's size).
+BITMAP_ROWS = 1 << 15
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), one in the warehouse."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, one in the warehouse, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/gapwise-{spark.sparkContext.applicationId}"
 
@@ -39,13 +48,62 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: all that came of them is written itself."""
+    for t in tables:
+        _delete(t.sparkSession, t._scratch_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's scratch tables, once no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_dir(spark))
+
+
+def on_file(docs: DataFrame) -> DataFrame:
+    """docs if its rows are read from files as they are, so that each has a place (file and row index), else a written copy."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return materialize(docs, "on-file")
+    return docs
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """docs (see on_file) with file and row, where each row lies."""
+    return docs.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
+def where_marked(docs: DataFrame, marks: DataFrame, keep: bool, limit: int = BITMAP_BYTES) -> DataFrame:
+    """The rows of docs (see on_file) whose place (file, row) is in marks, or with keep=False those whose place is not.
+
+    Nothing of docs is moved: marks become bitmaps, one bit for each row of a file with a mark, that are broadcast to the
+    scan. Over `limit` bytes of them the files are dealt to rounds by hash, each with a scan of its own files alone.
+    """
+    bits = marks.groupBy("file", F.shiftright("row", 15).alias("part")).agg(F.expr(f"bitmap_construct_agg(row & {BITMAP_ROWS - 1})").alias("bits"))
+    bits = materialize(bits, "row-bitmaps")
+    rounds = -(-bits.count() * BITMAP_ROWS // 8 // limit) or 1
+    names = [c for c in docs.columns]
+    out = None
+    for r in range(rounds):
+        turn = lambda file: F.pmod(F.xxhash64(file), F.lit(rounds)) == r  # noqa: B023, E731
+        own = docs.where(turn(F.col("_metadata.file_path"))) if rounds > 1 else docs
+        own = own.select(*[F.col(c) for c in names], F.col("_metadata.file_path").alias("_file"), F.shiftright(F.col("_metadata.row_index"), 15).alias("_part"), F.col("_metadata.row_index").bitwiseAND(BITMAP_ROWS - 1).alias("_bit"))
+        held = (bits.where(turn(F.col("file"))) if rounds > 1 else bits).select(F.col("file").alias("_file"), F.col("part").alias("_part"), F.col("bits").alias("_bits"))
+        at = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(_bit & 7 as int))")
+        marked = F.coalesce(at != 0, F.lit(False))
+        own = own.join(F.broadcast(held), ["_file", "_part"], "left").where(marked if keep else ~marked).select(*names)
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def small_side(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
