@@ -20,46 +20,91 @@ ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
 BASE = [("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)]
 #: The last two with their least lengths put in: their runs are maximal, so what these leave out would fail anyway.
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-#: Candidates of the method: runs of so many characters of the alphabet; a stretch of one has as many at least.
-LEAST = 12
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Candidates of the method: runs of so many characters of the alphabet, longer ones in parts; a stretch has LEAST at least.
+LEAST, RUN = 12, 4096
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},{RUN}}}"
 #: Characters from "+" to "z"; model cells are pairs of them.
 FIRST, SPAN = 43, 80
-#: Natural logarithms: in all, and for each pair, by which "random" must be likelier.
-LLR_TOTAL, LLR_EACH = 12.0, 0.35
+#: Natural logarithms: what each pair's log ratio must have over 0 to count as gain; the gain of a stretch at least; of
+#: labelled ordinary strings held out of the counts the share whose best stretch must stay under the least gain.
+LLR_EACH, LEAST_GAIN, CLEAN = 0.35, 6.0, 0.999
 #: Labelled samples: documents of the corpus read for them (in expectation, chosen by hash), generated random strings.
-SAMPLE_DOCS, SAMPLE_RANDOM = 300, 4000
+SAMPLE_DOCS, SAMPLE_RANDOM, HELD_OUT = 300, 4000, 0.3
+#: Elements of a block in running sums over arrays.
+BLOCK = 64
 MODEL = "markov"
 
 
-def placed(text: Column, pattern: str, kind: str, rank: int, holds) -> Column:
-    """array<struct(start, rank, stop, kind)> of the pattern's matches, leftmost and apart, for which holds(match)."""
-    whole = lambda m: F.filter(F.array(F.struct(F.lit(0).alias("a"), F.length(m).alias("b"))), lambda _: holds(m))
-    return placed_parts(text, pattern, kind, rank, whole)
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def before(numbers: Column, fn: str) -> Column:
+    """array<int>: at each place the "sum" or "max" of the numbers (0 or more) before it; 0 at the first.
+
+    In two levels, blocks and within them, as an array that grows by one element at a time is copied each time.
+    """
+    plus = (lambda a, x: a + x) if fn == "sum" else (lambda a, x: F.greatest(a, x))
+
+    def running(own: Column, start: Column) -> Column:
+        step = lambda acc, x: F.struct(plus(acc["now"], x).alias("now"), F.concat(acc["out"], F.array(acc["now"])).alias("out"))
+        return F.aggregate(own, F.struct(start.alias("now"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def levels(x: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.slice(x, i * BLOCK + 1, F.lit(BLOCK)))
+        sums = lambda b: running(F.transform(b, lambda own: F.aggregate(own, F.lit(0), plus)), F.lit(0))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, sums(b), running)))
+
+    return let(numbers, lambda x: F.when(F.size(x) > 0, levels(x)).otherwise(F.array().cast("array<int>")))
+
+
+SPAN_ARRAY = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+
+
+def placed(text: Column, pattern: str, kind: str, rank: int, holds=None) -> Column:
+    """array<struct(start, rank, stop, kind)> of the pattern's matches, leftmost and apart, for which holds(match), if given."""
+    whole = lambda m: F.array(F.struct(F.lit(0).alias("a"), F.length(m).alias("b")))
+    return placed_parts(text, pattern, kind, rank, (lambda m: F.filter(whole(m), lambda _: holds(m))) if holds else whole)
 
 
 def placed_parts(text: Column, pattern: str, kind: str, rank: int, parts) -> Column:
     """As placed, of the parts (array of struct a, b: places in the match) that parts(match) gives."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["0"])
-        own = F.transform(parts(x["1"]), lambda p: F.struct((at + p["a"]).alias("start"), F.lit(rank).alias("rank"), (at + p["b"]).alias("stop"), F.lit(kind).alias("kind")))
-        return F.struct((at + F.length(x["1"])).alias("at"), F.concat(acc["out"], own).alias("out"))
 
-    empty = F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")
-    # The piece after the last match has no match beside it: slice to the matches' number.
-    pairs = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    def made(found: Column, pieces: Column) -> Column:
+        # A match begins after all pieces and matches before it, and the piece beside it.
+        lengths = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m")))
+        starts = let(lengths, lambda x: F.zip_with(before(F.transform(x, lambda y: y["p"] + y["m"]), "sum"), x, lambda at, y: at + y["p"]))
+        own = lambda m, at: F.transform(parts(m), lambda p: F.struct((at + p["a"]).alias("start"), F.lit(rank).alias("rank"), (at + p["b"]).alias("stop"), F.lit(kind).alias("kind")))
+        return F.flatten(F.zip_with(found, starts, own))
+
+    all_ = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: let(F.split(text, pattern, -1), lambda pieces: made(found, pieces)))
+    return F.when(text.rlike(pattern), all_).otherwise(F.array().cast(SPAN_ARRAY))
 
 
 def base_spans(text: Column) -> Column:
     """All base spans of the text, in order of start, then kind."""
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 6
-    parts = [placed(text, ASSIGN, "assign", 0, value), placed(text, LONG_ACCESS, "access", 1, lambda m: F.lit(True)), placed(text, LONG_HEX, "hex", 2, lambda m: F.lit(True))]
+    parts = [placed(text, ASSIGN, "assign", 0, value), placed(text, LONG_ACCESS, "access", 1), placed(text, LONG_HEX, "hex", 2)]
     return F.array_sort(F.concat(*parts))
 
 
+def apart(more: Column, base: Column) -> Column:
+    """Those of the spans `more` that overlap none of `base`: the furthest stop before each, and the first start after it, tell."""
+    far = (1 << 31) - 1
+    both = F.array_sort(F.concat(base, more))
+    own = lambda x: x["rank"] < len(BASE)
+
+    def kept(x: Column) -> Column:
+        stops = before(F.transform(x, lambda y: F.when(own(y), y["stop"]).otherwise(0)), "max")
+        starts = F.reverse(before(F.transform(F.reverse(x), lambda y: F.when(own(y), F.lit(far) - y["start"]).otherwise(0)), "max"))
+        free = F.zip_with(stops, starts, lambda a, b: F.struct(a.alias("a"), (F.lit(far) - b).alias("b")))
+        told = F.zip_with(x, free, lambda y, f: F.struct(y.alias("y"), (~own(y) & (f["a"] <= y["start"]) & (y["stop"] <= f["b"])).alias("ok")))
+        return F.transform(F.filter(told, lambda t: t["ok"]), lambda t: t["y"])
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(let(both, kept))
+
+
 def codes(token: Column) -> Column:
     return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.ascii(c) - FIRST)
 
@@ -98,7 +143,7 @@ def corpus_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strin
     return found.unionByName(generated).withColumn("random", F.lit(True)).unionByName(ordinary)
 
 
-def train(samples: DataFrame) -> list[float]:
+def log_ratios(samples: DataFrame) -> list[float]:
     """Log ratios of all cells (SPAN * SPAN numbers), random over ordinary, each row smoothed towards its letters' mix.
 
     samples: token, random (boolean). Characters outside the alphabet end a pair.
@@ -124,34 +169,52 @@ def train(samples: DataFrame) -> list[float]:
     return out
 
 
-def score(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token: over 0 is likelier random."""
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded into one constant
-    return F.aggregate(cells(token), F.lit(0.0), lambda acc, x: acc + F.coalesce(F.get(table, x), F.lit(0.0)))
+def train(samples: DataFrame) -> tuple[list[float], float]:
+    """(log ratios, least gain): ratios from most of the samples, the least gain from ordinary ones that are held out.
+
+    samples: token, random (boolean). The least gain is that over which the best stretch of 1 - CLEAN of the ordinary
+    strings held out lies, LEAST_GAIN at least.
+    """
+    held = F.pmod(F.xxhash64("token"), F.lit(1000)) < int(1000 * HELD_OUT)
+    ratios = log_ratios(samples.where(~held))
+    tokens = samples.where(held & ~F.col("random")).select("token").distinct()
+    found = tokens.select(best_gain(F.col("token"), ratios).alias("g")).agg(F.percentile("g", CLEAN).alias("q")).first()["q"]
+    return ratios, max(LEAST_GAIN, round(found or 0.0, 6))
+
+
+def pair_ratios(token: Column, ratios: list[float]) -> Column:
+    """The log ratio of each pair of the token."""
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")  # folded into one constant
+    return F.transform(cells(token), lambda x: F.coalesce(F.get(table, x), F.lit(0.0)))
 
 
-def stretches(token: Column, model: list[float]) -> Column:
+def best_gain(token: Column, ratios: list[float]) -> Column:
+    """The highest gain of any stretch of the token: pairs' log ratios less LLR_EACH each."""
+    step = lambda acc, x: F.struct(F.greatest(acc["now"] + x - LLR_EACH, F.lit(0.0)).alias("now"), F.greatest(acc["best"], acc["now"] + x - LLR_EACH).alias("best"))
+    return F.aggregate(pair_ratios(token, ratios), F.struct(F.lit(0.0).alias("now"), F.lit(0.0).alias("best")), step, lambda acc: acc["best"])
+
+
+def stretches(token: Column, model: tuple[list[float], float]) -> Column:
     """array<struct(a, b)>: places of the token's likely random stretches, each drawn out to the next / _ = - or end.
 
-    A stretch gains each pair's log ratio less LLR_EACH. It ends where the gain has fallen to 0, or by LLR_TOTAL from
-    its best; up to its best it must hold LLR_TOTAL in all and LEAST characters.
+    A stretch gains each pair's log ratio less LLR_EACH. It ends where the gain has fallen to 0, or by the least gain from
+    its best; its best must reach the least gain, with LEAST characters up to there.
     """
-    table = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    ratios = F.transform(cells(token), lambda x: F.coalesce(F.get(table, x), F.lit(0.0)))
+    ratios, least = model
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("now"), F.lit(0).alias("a"), F.lit(0.0).alias("best"), F.lit(0).alias("b"), F.array().cast("array<struct<a:int,b:int>>").alias("out"))
-    enough = lambda acc: (acc["b"] - acc["a"] >= LEAST) & (acc["best"] + LLR_EACH * (acc["b"] - acc["a"] - 1) >= LLR_TOTAL)
+    enough = lambda acc: (acc["b"] - acc["a"] >= LEAST) & (acc["best"] >= least)
     closed = lambda acc: F.when(enough(acc), F.concat(acc["out"], F.array(F.struct(acc["a"], acc["b"])))).otherwise(acc["out"])
 
     def step(acc: Column, x: Column) -> Column:
         gain, i = x - LLR_EACH, acc["i"]
         now = acc["now"] + gain
-        over = (now <= 0) | (now < acc["best"] - LLR_TOTAL)
+        over = (now <= 0) | (now < acc["best"] - least)
         ended = F.struct((i + 1).alias("i"), F.lit(0.0).alias("now"), (i + 1).alias("a"), F.lit(0.0).alias("best"), (i + 1).alias("b"), closed(acc).alias("out"))
         better = now > acc["best"]
         longer = F.struct((i + 1).alias("i"), now.alias("now"), acc["a"].alias("a"), F.greatest(now, acc["best"]).alias("best"), F.when(better, i + 2).otherwise(acc["b"]).alias("b"), acc["out"].alias("out"))
         return F.when(over, ended).otherwise(longer)
 
-    found = F.aggregate(ratios, start, step, closed)
+    found = F.aggregate(pair_ratios(token, ratios), start, step, closed)
     # The pair into or out of a separator may open or close a stretch: its one outer character is no part.
     own = lambda p: F.substring(token, p["a"] + 1, p["b"] - p["a"])
     lead = lambda p: F.length(F.regexp_extract(own(p), "^[^/_=-]?[/_=-]+", 0))
@@ -162,16 +225,21 @@ def stretches(token: Column, model: list[float]) -> Column:
     return F.transform(found, lambda p: F.struct((p["a"] - before(p)).alias("a"), (p["b"] + after(p)).alias("b")))
 
 
-def scan(docs: DataFrame, model: list[float]) -> DataFrame:
-    """docs with base (array of base spans) and spans (those, and the method's apart from them), by start, then kind.
+def spans(text: Column, model: tuple[list[float], float]) -> Column:
+    """struct(base, spans): the base spans, and those with the method's apart from them, by start, then kind.
 
-    A span is struct(start, rank, stop, kind), in code points, stop exclusive. Null text has none. Rows and all
-    columns stay as they are (none may be called base or spans).
+    A span is struct(start, rank, stop, kind), in code points, stop exclusive. Null text has none.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("base", base_spans(text)).withColumn("more", placed_parts(text, CANDIDATE, MODEL, 3, lambda m: stretches(m, model)))
-    apart = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", apart))).drop("more")
+    text = F.coalesce(text, F.lit(""))
+    more = placed_parts(text, CANDIDATE, MODEL, len(BASE), lambda m: stretches(m, model))
+    every = lambda base: F.struct(base.alias("base"), let(more, lambda m: F.array_sort(F.concat(base, apart(m, base)))).alias("spans"))
+    return let(base_spans(text), every)
+
+
+def scan(docs: DataFrame, model: tuple[list[float], float]) -> DataFrame:
+    """docs with base and spans (see spans); rows and other columns stay as they are, columns of these names are replaced."""
+    out = docs.drop("base", "spans").withColumn("_found", spans(F.col("text"), model))
+    return out.select("*", "_found.base", "_found.spans").drop("_found")
 
 
 def render(spans: Column) -> Column:
@@ -179,16 +247,19 @@ def render(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, model: list[float], mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the text replaced by the mark (spans that meet or overlap by one); other rows untouched."""
-    scanned = scan(docs, model)
-    # Pieces between spans: from the furthest stop so far to each start, if that is further.
-    step = lambda acc, s: F.struct(
-        F.greatest(acc["at"], s["stop"]).alias("at"),
-        F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"]).alias("out"),
-    )
-    whole = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))).drop("base", "spans")
+def redact(docs: DataFrame, model: tuple[list[float], float], mark: str = "[SECRET]") -> DataFrame:
+    """docs with every span of the text replaced by the mark (spans that meet or overlap by one); other rows, and all other columns, untouched."""
+
+    def without(found: Column) -> Column:
+        # Four bytes for each code point, so that a piece is cut out without a walk through the text.
+        wide = F.encode("text", "UTF-32")
+        piece = lambda w, a, b: F.decode(F.substring(w, a * 4 + 1, (b - a) * 4), "UTF-32")
+        part = lambda w: lambda s, at: F.when(s["start"] >= at, F.concat(piece(w, at, s["start"]), F.lit(mark))).otherwise("")
+        stops = F.transform(found, lambda s: s["stop"])
+        return let(wide, lambda w: F.concat(F.array_join(F.zip_with(found, before(stops, "max"), part(w)), ""), piece(w, F.array_max(stops), F.length("text"))))
+
+    out = docs.withColumn("_spans", spans(F.col("text"), model)["spans"])
+    return out.withColumn("text", F.when(F.size("_spans") > 0, without(F.col("_spans"))).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def find(docs: DataFrame) -> DataFrame:
