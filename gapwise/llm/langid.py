@@ -1,7 +1,8 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 The model is one matrix of log-probabilities (languages x buckets), whose size is fixed by its parameters; it is
-broadcast, and every batch of texts is scored in numpy by gathering the columns of the n-grams that occur.
+broadcast, and every batch of texts is scored in numpy by gathering the columns of the n-grams that occur. All languages
+have the same prior.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, extend
 
-#: Sizes of the model: hash buckets, longest n-gram, languages at most.
-BUCKET_BITS, MAX_N, MAX_LANGS = 16, 4, 256
+#: Sizes of the model: bits of hash buckets, longest n-gram, bits of cells (languages times buckets) at most. More
+#: languages than fit have fewer buckets each.
+BUCKET_BITS, MAX_N, CELL_BITS = 16, 4, 24
 #: Training takes so many documents of a language at most, in expectation, chosen by hash.
 TRAIN_DOCS = 4000
 #: Floors of the mean log-likelihood an n-gram: the median of a language's training documents, each scored without its own
@@ -36,8 +38,12 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all 1..MAX_N-grams of whole lower-cased texts, runs of other characters read as one blank; the text of each."""
+def bucket_bits(langs: int) -> int:
+    return max(0, min(BUCKET_BITS, CELL_BITS - max(langs - 1, 0).bit_length()))
+
+
+def ngrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (of 2 ** bits) of all 1..MAX_N-grams of whole lower-cased texts, runs of other characters read as one blank; the text of each."""
     low = [f" {t} ".lower() for t in texts]
     cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
@@ -52,7 +58,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + cp[n - 1 :] * np.uint32(0xC2B2AE35) + np.uint32(n)
         whole = doc[: len(doc) - n + 1] == doc[n - 1 :]
         mixed = (h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F)
-        buckets.append((mixed >> np.uint32(32 - BUCKET_BITS))[whole].astype(np.int32))
+        buckets.append((mixed[whole] >> np.uint32(16) >> np.uint32(16 - bits)).astype(np.int32))
         docs.append(doc[n - 1 :][whole])
     return np.concatenate(buckets or [np.zeros(0, np.int32)]), np.concatenate(docs or [np.zeros(0, np.int32)])
 
@@ -76,31 +82,28 @@ def counts(labelled: DataFrame, text: str = "text", label: str = "lang", docs_pe
     The sample has t, l and share, the part of its language's rows that it takes.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy("l").limit(MAX_LANGS + 1).collect()}
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: raise MAX_LANGS")
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row for each language
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 1 << BUCKET_BITS)), None
-    share = F.lit(None).cast("double")
-    for name, n in sizes.items():
-        share = F.when(F.col("l") == name, F.lit(min(1.0, docs_per_label / n))).otherwise(share)
-    picked = rows.withColumn("share", share).where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    bits = bucket_bits(len(langs))
+    shares = labelled.sparkSession.createDataFrame([(name, min(1.0, docs_per_label / n)) for name, n in sizes.items()], "l string, share double")
+    picked = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("t", "l", "share")
     index = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(langs) << BUCKET_BITS, np.int64)
+        total = np.zeros(len(langs) << bits, np.int64)
         for b in batches:
             labels = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
             for at, held in pieces(b.column(0).to_pylist()):
-                bucket, doc = ngrams(held)
-                total += np.bincount((labels[at + doc] << BUCKET_BITS) + bucket, minlength=len(total))
+                bucket, doc = ngrams(held, bits)
+                total += np.bincount((labels[at + doc] << bits) + bucket, minlength=len(total))
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
     cells = picked.select("t", "l").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full(len(langs) << BUCKET_BITS, alpha)
+    table = np.full(len(langs) << bits, alpha)
     table[cells["cell"].to_numpy(np.int64)] += cells["n"].to_numpy(np.float64)
     return langs, table.reshape(len(langs), -1), picked
 
@@ -118,24 +121,21 @@ def train(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per
 def floors(langs: list[str], table: np.ndarray, picked: DataFrame, docs_per_label: int = CALIBRATE_DOCS) -> np.ndarray:
     """For each language the least mean log-likelihood an n-gram of a long text, from counts and their sample; -inf: none."""
     index = {name: i for i, name in enumerate(langs)}
-    held = picked.sparkSession.sparkContext.broadcast(table)
+    held, bits = picked.sparkSession.sparkContext.broadcast(table), bucket_bits(len(langs))
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
         table, out = held.value, []
         sums = table.sum(axis=1)
         for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            bucket, doc = ngrams(["", t])  # not first, as a batch's first text alone keeps its leading blank
+            bucket, doc = ngrams(["", t], bits)  # not first, as a batch's first text alone keeps its leading blank
             bucket = bucket[doc == 1]
             at, place, own = np.unique(bucket, return_inverse=True, return_counts=True)
             left = (table[index[l]][at] - own)[place]
             out.append(float(np.log(left / (sums[index[l]] - len(bucket))).mean()) if any(map(str.isalpha, t)) else None)
         return pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], names=["l", "fit"])
 
-    sizes = picked.groupBy("l").agg(F.count("*").alias("n")).collect()  # MAX_LANGS at most
-    part = F.lit(1.0)
-    for r in sizes:
-        part = F.when(F.col("l") == r["l"], F.lit(min(1.0, docs_per_label / r["n"]))).otherwise(part)
-    own = picked.where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * part * 1_000_003)
+    parts = picked.groupBy("l").agg(F.least(F.lit(1.0), F.lit(docs_per_label) / F.count("*")).alias("part"))  # one row for each language
+    own = picked.join(F.broadcast(parts), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * F.col("part") * 1_000_003)
     found = arrow_map(own.select("t", "l"), score, "l string, fit double").where("fit is not null").groupBy("l").agg(F.count("*").alias("n"), F.percentile("fit", [0.5, QUANTILE]).alias("q")).collect()
     out = np.full(len(langs), -np.inf)
     for r in found:
@@ -148,9 +148,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     """docs with lang_pred and score (the posterior of that language, 0 to 1; 0.0 for `und`).
 
     `und`: null text, text without a letter, or a model without languages; with `least` (see floors) also text that the
-    likeliest language explains worse than its floor. Rows and other columns are kept as they are (a column called lang_pred or score must not exist already); the text is the only input of the prediction.
+    likeliest language explains worse than its floor. Rows and other columns are kept as they are (columns called
+    lang_pred or score are replaced); the text is the only input of the prediction. Null ids and repeated rows are like
+    any row; an empty table gives an empty result.
     """
     langs, table = model
+    docs, bits = docs.drop("lang_pred", "score"), bucket_bits(len(langs))
     held = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(table)))
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,7 +164,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             has = [any(map(str.isalpha, t)) for t in part]
             if not langs or not any(has):
                 continue
-            bucket, doc = ngrams(part)
+            bucket, doc = ngrams(part, bits)
             sums = np.stack([np.bincount(doc, weights=table[k][bucket], minlength=len(part)) for k in range(len(langs))])
             best = sums.argmax(axis=0)
             post = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
@@ -181,7 +184,12 @@ def fold(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """docs with held_out, lang_pred and score, by a model of the labelled documents that are not held out."""
+    """docs with held_out, lang_pred and score, by a model of the labelled documents that are not held out.
+
+    Columns of these names are replaced, all others stay. A null doc_id is not held out; repeated rows are like any row.
+    Null text, and text without a letter, is `und`, and so is every text if no row is labelled. An empty table gives an
+    empty result.
+    """
     model = train(docs.where(~fold(F.col("doc_id"))))
     return predict(docs.withColumn("held_out", fold(F.col("doc_id"))), model)
 
