@@ -1,36 +1,44 @@
 """Exact top-k by inner product with an M-tree, searched best-first.
 
-Inner products become distances by one more component: with x' = (x, sqrt(M - |x|^2)) and q' = (q, 0), where M is the
-largest |x|^2 of the tree, |q' - x'|^2 = |q|^2 + M - 2 q.x, so that the nearest x' has the highest q.x. The tree is
+Rows are dealt to the nearest of some pivots, a bounded sample of themselves, and so to pages of a bounded number of rows.
+A page is an M-tree: it is built once, where its rows meet, and kept with its centre and covering radius; its own queries are
+searched there, which gives each query a first k-th best score. By |q.x| <= q.c + |q| r for a page of centre c and radius r,
+a query then goes only to those other pages that could pass that score. Nothing but these pairs of query and page is moved,
+and a page goes once to each block of BLOCK queries that visit it.
+
+In a tree, inner products become distances by one more component: with x' = (x, sqrt(M - |x|^2)) and q' = (q, 0), where M is the
+largest |x|^2 of the page, |q' - x'|^2 = |q|^2 + M - 2 q.x, so that the nearest x' has the highest q.x. The tree is
 metric: a routing object and a covering radius for each node, and for each entry its distance to the node's routing
-object. The vectors are dealt to pages of a bounded number of rows; each page is a tree of its own, and the queries,
-in blocks of bounded size, visit each page: nodes in the order of their lower bounds, until the k-th best score so
-far cannot be passed; entries whose stored distance to the routing object rules them out are never compared.
-Scores are exact integers; bounds are slackened against rounding, so that they never cost a result.
+object. Nodes are visited in the order of their lower bounds, until the k-th best score so far cannot be passed; entries whose
+stored distance to the routing object rules them out are never compared. Scores are exact integers; bounds are slackened
+against rounding, so that they never cost a result. Where vectors are near no others (many dimensions, no clusters), bounds
+rule out little, and the work is that of comparing all queries with all rows, in blocks.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import arrow_map, materialize, small_side
 
 K, SCALE, EVERY = 5, 256, 50
-#: Rows of a page (one tree), entries of a node, queries of a block.
-PAGE_ROWS, NODE, BLOCK = 8192, 64, 1024
+#: Rows of a page (one tree) in the mean, pivots at most (beyond, pages of a pivot are several), entries of a node, queries of a block.
+PAGE_ROWS, PIVOTS, NODE, BLOCK = 8192, 20_000, 256, 4096
 SLACK = 1e-6
 
 
 class MTree:
     """A two-level M-tree, built in bulk: leaves of at most NODE entries around routing objects, under one root page."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, node: int = NODE):
-        order = np.lexsort((ids,))
-        self.ids, self.x = ids[order], vectors[order]
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, node: int = NODE):
+        order = np.lexsort((rows, ids))
+        self.ids, self.rows, self.x = ids[order], rows[order], vectors[order]
         norm = np.einsum("ij,ij->i", self.x, self.x)
         self.top = float(norm.max()) if len(norm) else 0.0
         full = np.column_stack([self.x, np.sqrt(np.maximum(self.top - norm, 0))])
@@ -57,34 +65,51 @@ class MTree:
             by = np.argsort(a - b, kind="stable")
             todo += [own[by[: len(own) // 2]], own[by[len(own) // 2 :]]]
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vector id, score) of each query's k best here, the query's own id left out."""
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        sizes = np.array([len(own) for own in self.leaves], np.int64)
+        np.savez(out, ids=self.ids, rows=self.rows, x=self.x, top=self.top, route=self.route, radius=self.radius, sizes=sizes, entries=np.concatenate(self.leaves), far=np.concatenate(self.to_parent))
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> MTree:
+        held, tree = np.load(io.BytesIO(data)), cls.__new__(cls)
+        tree.ids, tree.rows, tree.x, tree.top, tree.route, tree.radius = held["ids"], held["rows"], held["x"], float(held["top"]), held["route"], held["radius"]
+        cuts = np.cumsum(held["sizes"])[:-1]
+        tree.leaves, tree.to_parent = np.split(held["entries"], cuts), np.split(held["far"], cuts)
+        return tree
+
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, vector id, score) of each query's k best here, its own row left out; with least only scores of at least that."""
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         norm = np.einsum("ij,ij->i", queries, queries)
         flat = np.column_stack([queries, np.zeros(len(queries))])
         gap = (flat**2).sum(axis=1)[:, None] + (self.route**2).sum(axis=1)[None, :] - 2 * flat @ self.route.T
         gap = np.sqrt(np.maximum(gap, 0))
-        least = np.maximum(gap - self.radius[None, :], 0)
-        for i, (q_id, q) in enumerate(zip(query_ids, queries, strict=True)):
+        bound = np.maximum(gap - self.radius[None, :], 0)
+        reach_of = lambda i, score: np.sqrt(max(norm[i] + self.top - 2 * score, 0)) * (1 + SLACK) + SLACK * (1 + np.sqrt(norm[i] + self.top))
+        for i, (row, q) in enumerate(zip(query_rows, queries, strict=True)):
             best_score, best_id = np.zeros(0), np.zeros(0, np.int64)
-            reach = np.inf  # distance that the k-th best has; nothing further can pass it
-            for leaf in np.argsort(least[i], kind="stable"):
-                if least[i, leaf] > reach:
+            reach = reach_of(i, least[i]) if least is not None else np.inf  # distance that the k-th best has; nothing further can pass it
+            for leaf in np.argsort(bound[i], kind="stable"):
+                if bound[i, leaf] > reach:
                     break
                 d = self.to_parent[leaf]
                 lo, hi = (0, len(d)) if reach == np.inf else (np.searchsorted(d, gap[i, leaf] - reach), np.searchsorted(d, gap[i, leaf] + reach, side="right"))
                 own = self.leaves[leaf][lo:hi]
-                own = own[self.ids[own] != q_id]
+                own = own[self.rows[own] != row]
                 if not len(own):
                     continue
-                best_score = np.concatenate([best_score, self.x[own] @ q])
+                score = self.x[own] @ q
+                if least is not None:
+                    own, score = own[score >= least[i]], score[score >= least[i]]
+                best_score = np.concatenate([best_score, score])
                 best_id = np.concatenate([best_id, self.ids[own]])
                 keep = np.lexsort((best_id, -best_score))[:k]
                 best_score, best_id = best_score[keep], best_id[keep]
                 if len(keep) == k:
-                    away = norm[i] + self.top - 2 * best_score[-1]
-                    reach = np.sqrt(max(away, 0)) * (1 + SLACK) + SLACK * (1 + np.sqrt(norm[i] + self.top))
-            out.append((np.full(len(best_id), q_id), best_id, best_score.astype(np.int64)))
+                    reach = min(reach, reach_of(i, best_score[-1]))
+            out.append((np.full(len(best_id), row), best_id, best_score.astype(np.int64)))
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
 
@@ -95,44 +120,121 @@ def usable(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(ok).select(F.col("vec_id").cast("long"), F.transform(column, lambda c: F.floor(c.cast("double") * SCALE).cast("double")).alias("v"))
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def in_pages(rows: DataFrame, page_rows: int) -> DataFrame:
+    """rows (row, vec_id, v) with page: that of the nearest pivot among those of their length."""
+    spark = rows.sparkSession
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # one row for each length
+    pivots, first, parts = {}, {}, {}
+    base = 0
+    for r in sizes:
+        want = max(1, -(-r["n"] // page_rows))
+        few = min(want, PIVOTS)
+        picked = rows.where(F.size("v") == r["d"]).orderBy(F.xxhash64("row"), "row").limit(few).select("v").toArrow()
+        pivots[r["d"]] = _matrix(picked.column("v"), picked.num_rows) if r["d"] else np.zeros((few, 0))
+        first[r["d"]], parts[r["d"]] = base, -(-want // few)
+        base += few * parts[r["d"]]
+    held = spark.sparkContext.broadcast((pivots, first, parts))
+
+    def deal(b: pa.RecordBatch) -> pa.RecordBatch:
+        pivots, first, parts = held.value
+        length = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        row, page = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64)
+        for d in np.unique(length):
+            at = np.flatnonzero(length == d)
+            p = pivots[int(d)]
+            x = _matrix(b.column(2).take(pa.array(at)), len(at)) if d else np.zeros((len(at), 0))
+            near = ((p**2).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1)
+            page[at] = first[int(d)] + near * parts[int(d)] + row[at] % parts[int(d)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(page)], names=["row", "vec_id", "v", "page"])
+
+    return arrow_map(rows.select("row", "vec_id", "v"), deal, "row long, vec_id long, v array<double>, page long")
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "embedding", page_rows: int = PAGE_ROWS, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k others with the highest
     inner product, ties to the smaller vec_id; all others, if there are fewer.
 
-    Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. A repeated
-    query row is one query; repeated candidate rows are candidates each. Only vectors of the most common length take
-    part if lengths differ. An empty table gives an empty result. Extra columns are not read.
+    Vectors that are null or hold null or non-finite components, and rows without vec_id, take no part. A query is a row: of
+    rows with one vec_id each is a query, and a candidate for all but itself. Only vectors of one length are compared with
+    each other. An empty table gives an empty result. Extra columns are not read.
     """
-    rows = materialize(usable(vectors, column), "vectors")
-    lengths = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.col("c").desc(), "n").limit(1).collect()
-    if lengths:
-        rows = rows.where(F.size("v") == lengths[0]["n"])
-    n = rows.count()
-    pages, blocks = max(1, -(-n // page_rows)), max(1, -(-n // (every * block)))
-    # A page is about page_rows rows, each row at one page; a query goes once to each page, with its block.
-    paged = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(pages)).cast("int").alias("page"), F.lit(-1).alias("block"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    spread = queries.select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(pages - 1))).alias("page"), "block")
-    # The rows of a page are read once for each block of queries, so that a (page, block) is a task of bounded size.
-    held = paged.drop("block").select("vec_id", "v", "page", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"))
-    both = held.unionByName(spread.withColumn("asks", F.lit(True)))
-
-    def search(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-        x = flat.flatten().to_numpy().reshape(len(ids), -1)
-        if asks.all() or not asks.any():
-            q, v, s = (np.zeros(0, np.int64),) * 3
-        else:
-            order = np.argsort(ids[asks], kind="stable")
-            q, v, s = MTree(ids[~asks], x[~asks]).search(ids[asks][order], x[asks][order], k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
-
-    found = both.groupBy("page", "block").applyInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    numbered = usable(vectors, column).withColumn("row", F.monotonically_increasing_id())
+    rows = materialize(numbered.select("row", "vec_id", "v"), "vectors")
+    dealt = in_pages(rows, page_rows)
+    # A page that far outgrows the mean (copies of one vector, say) is cut into several.
+    sizes = materialize(dealt.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > 2 * page_rows), "page-sizes")
+    cut = F.coalesce(F.ceil(F.col("n") / page_rows), F.lit(1))
+    dealt = dealt.join(small_side(sizes), "page", "left").withColumn("cut", F.pmod(F.xxhash64("row"), cut).cast("int")).drop("n")
+
+    def build(table: pa.Table) -> pa.Table:
+        row, ids, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), _matrix(table.column("v"), table.num_rows)
+        tree = MTree(ids, row, x)
+        centre = x.mean(axis=0)
+        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        asks = ids % every == 0
+        order = np.flatnonzero(asks)
+        q, v, score = tree.search(row[order], x[order], k) if len(order) else (np.zeros(0, np.int64),) * 3
+        kth = {int(r): int(s[-1]) if len(s) == k else None for r in row[order] for s in [score[q == r]]}
+        page, part = table.column("page")[0].as_py(), table.column("cut")[0].as_py()
+        name = lambda n: ([page] * n, [part] * n)
+        none = lambda n, kind: pa.nulls(n, kind)
+        vector = pa.list_(pa.float64())
+        made = [
+            {"what": ["page"], "query": none(1, pa.int64()), "vec_id": none(1, pa.int64()), "score": none(1, pa.int64()), "v": pa.array([centre.tolist()], vector), "radius": [radius], "tree": pa.array([tree.dump()], pa.binary())},
+            {"what": ["found"] * len(q), "query": q, "vec_id": v, "score": score, "v": none(len(q), vector), "radius": none(len(q), pa.float64()), "tree": none(len(q), pa.binary())},
+            {"what": ["query"] * len(order), "query": row[order], "vec_id": ids[order], "score": pa.array([kth[int(r)] for r in row[order]], pa.int64()), "v": pa.array(list(x[order]), vector), "radius": none(len(order), pa.float64()), "tree": none(len(order), pa.binary())},
+        ]
+        return pa.concat_tables([pa.table({"page": pa.array(name(len(m["what"]))[0], pa.int64()), "cut": pa.array(name(len(m["what"]))[1], pa.int32()), **m}).cast(shape) for m in made])
+
+    kind = "page long, cut int, what string, query long, vec_id long, score long, v array<double>, radius double, tree binary"
+    shape = pa.schema([("page", pa.int64()), ("cut", pa.int32()), ("what", pa.string()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("v", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())])
+    built = materialize(dealt.groupBy("page", "cut").applyInArrow(build, kind), "pages")
+    pages = built.where("what = 'page'")
+    outlines = pages.select("page", "cut", "v", "radius").toArrow()  # one row for each page, bounded as the pivots are
+    held = rows.sparkSession.sparkContext.broadcast([(outlines.column("page").to_numpy(), outlines.column("cut").to_numpy(), outlines.column("v").to_pylist(), outlines.column("radius").to_numpy())])
+
+    def visits(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        page, part, centres, radius = held.value[0]
+        out = []
+        for own, own_cut, q, least, v in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            fits = np.array([len(c) == len(v) for c in centres])
+            x = np.array(v)
+            at = np.flatnonzero(fits & ((page != own) | (part != own_cut)))
+            if not len(at):
+                continue
+            high = np.array([centres[i] for i in at]) @ x + np.sqrt(x @ x) * radius[at]
+            if least is not None:
+                at = at[high * (1 + np.sign(high) * SLACK) + SLACK >= least]
+            out += [(int(page[i]), int(part[i]), q, least, v) for i in at]
+        if not out:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["page", "cut", "query", "least", "v"])
+
+    queries = built.where("what = 'query'")
+    pairs = materialize(arrow_map(queries.select("page", "cut", "query", "score", "v"), visits, "page long, cut int, query long, least long, v array<double>"), "page-visits")
+    blocks = materialize(pairs.groupBy("page", "cut").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "page-blocks")
+    asked = pairs.join(small_side(blocks), ["page", "cut"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
+    sent = pages.select("page", "cut", "tree").join(small_side(blocks), ["page", "cut"]).select("page", "cut", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+
+    def search(asked: pa.Table, sent: pa.Table) -> pa.Table:
+        q, v, score = (np.zeros(0, np.int64),) * 3
+        if asked.num_rows and sent.num_rows:
+            least = asked.column("least").to_pylist()
+            bounds = np.array([-np.inf if x is None else x for x in least], float)
+            q, v, score = MTree.load(sent.column("tree")[0].as_py()).search(asked.column("query").to_numpy(), _matrix(asked.column("v"), asked.num_rows), k, bounds)
+        return pa.table({"query": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(score, pa.int64())})
+
+    far = asked.groupBy("page", "cut", "block").cogroup(sent.groupBy("page", "cut", "block")).applyInArrow(search, "query long, vec_id long, score long")
+    found = built.where("what = 'found'").select("query", "vec_id", "score").unionByName(far)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "vec_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = queries.select("query", F.col("vec_id").alias("query_id"))
+    return best.join(small_side(names), "query").select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:
@@ -142,11 +244,11 @@ def op10_topk(spark, sf_dir: str) -> DataFrame:
 #: The same by comparing every query with every row.
 OP10_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 256)) AS x FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 p AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.r <> q.r AND len(q.x) = len(c.x)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
