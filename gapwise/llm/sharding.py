@@ -3,7 +3,7 @@
 A partial partition is a tuple of k sums. The two with the largest spread are combined, the largest sum of one with
 the smallest of the other, until one is left. Groups of equal texts are summed first (a hot group is one row of
 the sums, however many rows it has), dealt to cells of bounded size, and differenced in each cell; the cells' partial
-partitions, k numbers each, are differenced in the same way on the driver.
+partitions, k numbers each, are differenced in the same way: in cells of cells while they are many, at last on the driver.
 """
 
 from __future__ import annotations
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, local_ranks, materialize, small_side
+from .common import gapless, join_hot, local_ranks, materialize, small_side
 
 SHARDS = 24
-#: Groups in a cell, on average; cells at most, beyond which cells grow.
-CELL_GROUPS, CELLS = 20_000, 50_000
+#: Groups in a cell, on average; partial partitions that are differenced at once.
+CELL_GROUPS, CELLS = 20_000, 20_000
 
 
 def difference(parts: list[np.ndarray]) -> list[np.ndarray]:
@@ -62,7 +62,33 @@ def difference_items(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return place, np.bincount(place, weights=sizes, minlength=k).astype(np.int64) if len(sizes) else np.zeros(k, np.int64)
 
 
-def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+def settle(sums: DataFrame, cells: int, most: int = CELLS) -> DataFrame:
+    """(cell, places): for each cell's partial partition (cell from 0, sums) the final place of each of its sums."""
+    spark = sums.sparkSession
+    if cells <= most:
+        rows = sums.select("cell", "sums").orderBy("cell").collect()
+        found = difference([np.array(r["sums"], np.int64) for r in rows])
+        return spark.createDataFrame([(r["cell"], f.tolist()) for r, f in zip(rows, found, strict=True)], "cell long, places array<int>")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("cell")
+        parts = [np.array(x, np.int64) for x in table.column("sums").to_pylist()]
+        found = difference(parts)
+        total = np.zeros(len(parts[0]), np.int64)
+        for p, f in zip(parts, found, strict=True):
+            np.add.at(total, f, p)
+        n = table.num_rows
+        return pa.table({"cell": table.column("cell"), "up": table.column("up"), "places": pa.array([f.tolist() for f in found], pa.list_(pa.int32())), "sums": pa.array([total.tolist()] + [None] * (n - 1), pa.list_(pa.int64()))})
+
+    above = -(-cells // most)
+    dealt = sums.select("cell", "sums", F.pmod(F.col("cell"), F.lit(above)).alias("up"))
+    held = materialize(dealt.groupBy("up").applyInArrow(run, "cell long, up long, places array<int>, sums array<long>"), "shard-cells")
+    final = settle(held.where("sums is not null").select(F.col("up").alias("cell"), "sums"), above, most)
+    both = held.select("cell", "up", "places").join(small_side(final.select(F.col("cell").alias("up"), F.col("places").alias("far"))), "up")
+    return both.select("cell", F.transform("places", lambda p: F.get("far", p)).alias("places"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, cell_groups: int = CELL_GROUPS, most: int = CELLS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) under the law `bytes`; equal texts share a shard.
 
     Size: UTF-8 bytes of the text plus 8. Null text counts as, and goes with, empty text. Null doc_id and repeated
@@ -71,28 +97,36 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialize(docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("grp")), "shard-rows")
-    groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
-    cells = int(max(1, min(CELLS, -(-groups.count() // CELL_GROUPS))))
-    dealt = groups.withColumn("cell", F.pmod(F.xxhash64("grp"), F.lit(cells)).cast("int")).repartition(cells, "cell").sortWithinPartitions("cell", F.col("bytes").desc(), "grp")
+    groups = materialize(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    cells = int(max(1, -(-groups.count() // cell_groups)))
+    tasks = min(cells, 20_000)
+    dealt = groups.withColumn("cell", F.pmod(F.xxhash64("grp"), F.lit(cells)).cast("long")).repartition(tasks, "cell").sortWithinPartitions("cell", F.col("bytes").desc(), "grp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables).combine_chunks()
-        cell = t.column("cell").to_numpy()
-        for lo, hi in zip(starts := np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)), [*starts[1:], len(cell)], strict=True):
-            part = t.slice(lo, hi - lo)
-            place, sums = difference_items(part.column("bytes").to_numpy(), shards)
-            yield pa.RecordBatch.from_arrays([part.column("grp").combine_chunks(), pa.array(np.full(len(place), cell[lo], np.int32)), pa.array(place.astype(np.int32)), pa.array([sums.tolist()] + [None] * (len(place) - 1), pa.list_(pa.int64()))], names=["grp", "cell", "part", "sums"])
-
-    placed = materialize(dealt.select("grp", "bytes", "cell").mapInArrow(run, "grp binary, cell int, part int, sums array<long>"), "shard-parts")
-    sums = placed.where("sums is not null").select("cell", "sums").orderBy("cell").toPandas()
-    final = difference([np.array(x, np.int64) for x in sums["sums"]])
-    table = [(int(c), p, int(f[p])) for c, f in zip(sums["cell"], final, strict=True) for p in range(shards)]
-    names = docs.sparkSession.createDataFrame(table, "cell int, part int, shard int")
-    shard_of = placed.select("grp", "cell", "part").join(small_side(names, len(table)), ["cell", "part"]).select("grp", "shard")
-    staged = materialize(local_ranks(rows.join(shard_of, "grp").select("doc_id", "size", "text_crc32", "shard"), "shard"), "shard-ranks")
+        held: list[pa.Table] = []
+
+        def close() -> pa.RecordBatch:
+            t = pa.concat_tables(held).combine_chunks()
+            place, sums = difference_items(t.column("bytes").to_numpy(), shards)
+            return pa.RecordBatch.from_arrays([t.column("grp").combine_chunks(), t.column("n").combine_chunks(), t.column("cell").combine_chunks(), pa.array(place.astype(np.int32)), pa.array([sums.tolist()] + [None] * (len(place) - 1), pa.list_(pa.int64()))], names=["grp", "n", "cell", "part", "sums"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            cell = t.column("cell").to_numpy()
+            for lo, hi in zip(starts := np.flatnonzero(np.diff(cell, prepend=-1)), [*starts[1:], len(cell)], strict=True):
+                if held and held[0].column("cell")[0].as_py() != cell[lo]:
+                    yield close()
+                    held = []
+                held.append(t.slice(lo, hi - lo))
+        if held:
+            yield close()
+
+    placed = materialize(dealt.select("grp", "n", "bytes", "cell").mapInArrow(run, "grp binary, n long, cell long, part int, sums array<long>"), "shard-parts")
+    places = settle(placed.where("sums is not null").select("cell", "sums"), cells, most)
+    shard_of = placed.select("grp", "n", "cell", "part").join(small_side(places), "cell").select("grp", "n", F.get("places", F.col("part")).alias("shard"))
+    shard_of = materialize(shard_of, "shard-of")
+    rows_in = join_hot(rows, shard_of, "grp", rows.count())
+    staged = materialize(local_ranks(rows_in.select("doc_id", "size", "text_crc32", "shard"), "shard"), "shard-ranks")
     out = gapless(staged, "shard", "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
