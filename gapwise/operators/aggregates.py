@@ -59,8 +59,8 @@ def merge_by_name(df: DataFrame) -> DataFrame:
     return df.where("name is not null").groupBy("chrom", "name").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
-def group_runs(df: DataFrame, keys: list[str], column: str, ops: list[str]) -> DataFrame:
-    """Aggregates of consecutive rows (by ord) with equal keys: run, the keys, and a column for each op.
+def group_runs(df: DataFrame, keys: list[str], wanted: list[tuple[str, str]]) -> DataFrame:
+    """Aggregates of consecutive rows (by ord) with equal keys: run, the keys, and a column op_column for each (column, op).
 
     ops: sum, mean, min, max, count (of numbers), stdev (of the population; 0 for one), collapse, distinct (in the
     order of first appearance), count_distinct, first, last. Cells that are no numbers are left out of the first six.
@@ -69,12 +69,16 @@ def group_runs(df: DataFrame, keys: list[str], column: str, ops: list[str]) -> D
     rows = running(df, [], ["ord"], "ord", _p=("max", F.struct("ord", key.alias("k")), "before"))
     new = F.col("_p").isNull() | ~F.col("_p.k").eqNullSafe(key)
     rows = running(rows.withColumn("_n", new.cast("long")), [], ["ord"], "ord", run=("sum", "_n", "upto"))
-    text, number = F.col(column).cast("string"), F.expr(f"try_cast(`{column}` as double)")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("v")))), lambda x: x["v"])
-    made = {
-        "sum": F.sum(number), "mean": F.avg(number), "min": F.min(number), "max": F.max(number), "count": F.count(number), "stdev": F.stddev_pop(number),
-        "collapse": F.array_join(listed, ","), "distinct": F.array_join(F.array_distinct(listed), ","), "count_distinct": F.count_distinct(text), "first": F.min_by(text, "ord"), "last": F.max_by(text, "ord"),
-    }
-    if bad := set(ops) - set(made):
-        raise ValueError(f"no such operations: {sorted(bad)}")
-    return rows.groupBy("run", *keys).agg(*[made[op].alias(op) for op in ops])
+
+    def made(column: str, op: str) -> Column:
+        text, number = F.col(column).cast("string"), F.expr(f"try_cast(`{column}` as double)")
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("v")))), lambda x: x["v"])
+        ops = {
+            "sum": F.sum(number), "mean": F.avg(number), "min": F.min(number), "max": F.max(number), "count": F.count(number), "stdev": F.stddev_pop(number),
+            "collapse": F.array_join(listed, ","), "distinct": F.array_join(F.array_distinct(listed), ","), "count_distinct": F.count_distinct(text), "first": F.min_by(text, "ord"), "last": F.max_by(text, "ord"),
+        }
+        if op not in ops:
+            raise ValueError(f"no such operation: {op}")
+        return ops[op].alias(f"{op}_{column}")
+
+    return rows.groupBy("run", *keys).agg(*[made(c, op) for c, op in wanted])

@@ -46,6 +46,6 @@ def cluster(df: DataFrame, distance: int = 0) -> DataFrame:
 
 
 def spacing(df: DataFrame) -> DataFrame:
-    """Gaps between a row and the one before it in ord on the same chromosome: chrom, start, stop, gap; overlaps give none."""
-    rows = running(df, ["chrom"], ["ord"], "ord", _p=("max", F.struct("ord", "stop"), "before"))
-    return rows.where(F.col("start") >= F.col("_p.stop")).select("chrom", F.col("_p.stop").alias("start"), F.col("start").alias("stop"), (F.col("start") - F.col("_p.stop")).alias("gap"))
+    """Gaps between a row and the one before it in ord, if that is of the same chromosome: chrom, start, stop, gap; overlaps give none."""
+    rows = running(df, [], ["ord"], "ord", _p=("max", F.struct("ord", "chrom", "stop"), "before"))
+    return rows.where((F.col("chrom") == F.col("_p.chrom")) & (F.col("start") >= F.col("_p.stop"))).select("chrom", F.col("_p.stop").alias("start"), F.col("start").alias("stop"), (F.col("start") - F.col("_p.stop")).alias("gap"), "ord").drop("ord")

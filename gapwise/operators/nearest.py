@@ -4,31 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .rangejoin import overlap_pairs
 from .scan import as_of
 
 
-def closest(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Each row of a with all rows of b that overlap it, else all at the least gap; no row of b: b_chrom ".", -1, -1."""
+def closest(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """Each row of a with all rows of b that overlap it, else all at the least gap; no row of b: b_chrom ".", -1, -1.
+
+    Overlaps come from the range join; the nearest ends on both sides, from two as-of scans of all of a, are joined to
+    b's rows by position in one join. Of a row's candidates those of the least gap stay, overlaps before all others.
+    """
     bb = b.select("chrom", "start", "stop", "ord")
     inside = (F.col("b_start") >= F.col("a_start")) & (F.col("b_start") < F.col("a_stop"))
     around = (F.col("b_start") < F.col("a_start")) & (F.col("b_stop") > F.col("a_start"))
-    hits = overlap_pairs(a, bb, inside | around)
-    rest = a.join(hits.select(F.col("a_ord").alias("ord")).distinct(), "ord", "left_anti").select(*a.columns)
-    left = as_of(rest, F.col("start"), bb, F.col("stop"), F.col("stop"), "l")
-    right = as_of(rest, -F.col("stop"), bb, -F.col("start"), -F.col("start"), "r")
-    near = rest.join(left, "ord").join(right, "ord").withColumn("r", -F.col("r"))
-    gap_l, gap_r = F.col("start") - F.col("l"), F.col("r") - F.col("stop")
+    hits = overlap_pairs(a, bb, inside | around, levels).withColumn("_gap", F.lit(-1).cast("long"))
+    near = as_of(as_of(a, F.col("start"), bb, F.col("stop"), F.col("stop"), "_l"), -F.col("stop"), bb, -F.col("start"), -F.col("start"), "_r").withColumn("_r", -F.col("_r"))
+    gap_l, gap_r = F.col("start") - F.col("_l"), F.col("_r") - F.col("stop")
     best = F.least(gap_l, gap_r)  # null only if both are
-    own = near.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.when(gap_l == best, F.col("l")).alias("l"), F.when(gap_r == best, F.col("r")).alias("r"), best.isNull().alias("none"))
-    bs = bb.select(*[F.col(c).alias(f"b_{c}") for c in bb.columns])
-    same = F.col("a_chrom") == F.col("b_chrom")
-    lefts = own.join(bs, same & (F.col("b_stop") == F.col("l")) & (F.col("b_start") < F.col("a_start")))
-    rights = own.join(bs, same & (F.col("b_start") == F.col("r")))
-    none = own.where("none").withColumns({"b_chrom": F.lit("."), "b_start": F.lit(-1).cast("long"), "b_stop": F.lit(-1).cast("long"), "b_ord": F.lit(None).cast("long")})
+    at = lambda side, pos, gap: F.struct(F.lit(side).alias("side"), pos.cast("long").alias("pos"), gap.cast("long").alias("gap"))
+    sides = F.array(F.when(gap_l == best, at("l", F.col("_l"), gap_l)), F.when(gap_r == best, at("r", F.col("_r"), gap_r)), F.when(best.isNull(), at("none", F.lit(None), F.lit(None))))
+    own = near.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("_at"))
+    ends = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("stop").alias("pos")), F.struct(F.lit("r").alias("side"), F.col("start").alias("pos"))))
+    bs = bb.select(*[F.col(c).alias(f"b_{c}") for c in bb.columns], ends.alias("_end"))
+    met = (F.col("a_chrom") == F.col("b_chrom")) & (F.col("_at.side") == F.col("_end.side")) & (F.col("_at.pos") == F.col("_end.pos"))
+    found = own.join(bs, met & ((F.col("_at.side") == "r") | (F.col("b_start") < F.col("a_start"))), "left").where((F.col("_at.side") == "none") | F.col("b_ord").isNotNull())
     columns = [f"a_{c}" for c in a.columns] + [f"b_{c}" for c in bb.columns]
-    return hits.select(*columns).unionByName(lefts.select(*columns)).unionByName(rights.select(*columns)).unionByName(none.select(*columns))
+    every = hits.select(*columns, "_gap").unionByName(found.select(*columns, F.col("_at.gap").alias("_gap")))
+    best = every.withColumn("_least", F.min("_gap").over(W.partitionBy("a_ord"))).where("_gap <=> _least")
+    lone = {"b_chrom": F.lit("."), "b_start": F.lit(-1).cast("long"), "b_stop": F.lit(-1).cast("long")}
+    return best.select(*[F.coalesce(c, lone[c]).alias(c) if c in lone else F.col(c) for c in columns])
 
 
 def annotate(a: DataFrame, features: DataFrame) -> DataFrame:
@@ -42,8 +48,7 @@ def annotate(a: DataFrame, features: DataFrame) -> DataFrame:
     within = overlap_pairs(m, f).groupBy(F.col("a_ord").alias("ord")).agg(F.min(F.struct(F.lit(0).cast("long").alias("dist"), F.col("b_start").alias("start"), F.col("b_ord").alias("o"), F.col("b_name").alias("name"))).alias("hit"))
     rest = m.join(within, "ord", "left_anti").select("chrom", F.col("start").alias("mid"), "ord")
     left = as_of(rest, F.col("mid"), f, F.col("stop"), F.struct(F.col("stop").alias("k"), (-F.col("start")).alias("s"), (-F.col("ord")).alias("o"), "name"), "l")
-    right = as_of(rest, -F.col("mid"), f, -F.col("start"), F.struct((-F.col("start")).alias("k"), (-F.col("ord")).alias("o"), "name"), "r")
-    both = rest.join(left, "ord").join(right, "ord")
+    both = as_of(left, -F.col("mid"), f, -F.col("start"), F.struct((-F.col("start")).alias("k"), (-F.col("ord")).alias("o"), "name"), "r")
     cand_l = F.when(F.col("l").isNotNull(), F.struct((F.col("mid") - F.col("l.k") + 1).alias("dist"), (-F.col("l.s")).alias("start"), (-F.col("l.o")).alias("o"), F.col("l.name").alias("name")))
     cand_r = F.when(F.col("r").isNotNull(), F.struct((-F.col("r.k") - F.col("mid")).alias("dist"), (-F.col("r.k")).alias("start"), (-F.col("r.o")).alias("o"), F.col("r.name").alias("name")))
     found = within.unionByName(both.select("ord", F.least(cand_l, cand_r).alias("hit")))
@@ -56,9 +61,9 @@ def reldist(a: DataFrame, b: DataFrame) -> DataFrame:
     q = a.select("chrom", mid.alias("mid"), "ord")
     v = b.select("chrom", mid.alias("mid"))
     left = as_of(q, F.col("mid") - 1, v, F.col("mid"), F.col("mid"), "l")
-    right = as_of(q, -F.col("mid"), v, -F.col("mid"), -F.col("mid"), "r")
+    both = as_of(left, -F.col("mid"), v, -F.col("mid"), -F.col("mid"), "r")
     lone = v.groupBy("chrom").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
-    rows = q.join(left, "ord").join(right, "ord").join(lone, "chrom").withColumn("r", -F.col("r"))
+    rows = both.join(lone, "chrom").withColumn("r", -F.col("r"))
     rows = rows.where(F.col("r").isNotNull() & (F.col("l").isNotNull() | (F.col("mid") == F.col("first")) & (F.col("n") >= 2)))
     least = F.least(F.col("mid") - F.col("l"), F.col("r") - F.col("mid"))
     rel = F.when(F.col("l").isNull() | (least == 0), F.lit(0.0)).otherwise(least / (F.col("r") - F.col("l")))

@@ -25,57 +25,73 @@ def random_intervals(spark: SparkSession, genome: DataFrame, n: int, length: int
         raise ValueError("the genome is no longer than an interval")
     q = spark.range(n).select(F.lit("*").alias("chrom"), F.col("id").alias("ord"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - length)).alias("p"))
     v = cum.where("size > 0").select(F.lit("*").alias("chrom"), "at", F.col("chrom").alias("c"))
-    placed = q.join(as_of(q, F.col("p"), v, F.col("at"), F.struct("at", "c"), "hit"), "ord")
+    placed = as_of(q, F.col("p"), v, F.col("at"), F.struct("at", "c"), "hit")
     start = F.col("p") - F.col("hit.at")
     return placed.select("ord", F.col("hit.c").alias("chrom"), start.alias("start"), (start + length).alias("stop"))
 
 
+def _hash(x: np.ndarray, seed: int) -> np.ndarray:
+    """64 well-mixed bits of each number."""
+    x = x + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for odd, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
 def shuffle(df: DataFrame, genome: DataFrame, seed: int = 42, exclude: DataFrame | None = None, same_chrom: bool = False) -> DataFrame:
     """df (unique ord) with each row at a random place of its own length, within a chromosome and apart from exclusions.
 
-    A chromosome is chosen by the number of places that it has; same_chrom keeps each row's own. No place after
-    TRIES tries is an error. The genome and merged exclusions are sent to all tasks; more than MOST rows are an error.
+    All places in all chromosomes are equally likely; same_chrom keeps each row's own. Numbers come from a hash of the seed,
+    ord and the try. No place after TRIES tries is an error. The genome and merged exclusions are sent to all tasks; more
+    than MOST rows are an error.
     """
     sizes = genome.select("chrom", "size").orderBy("ord").limit(MOST + 1).collect()
     held = merge(exclude).orderBy("chrom", "start").limit(MOST + 1).collect() if exclude is not None else []
     if max(len(sizes), len(held)) > MOST:
         raise ValueError("genome or exclusions are too large to send to all tasks")
     names, size = [r["chrom"] for r in sizes], np.array([r["size"] for r in sizes], np.int64)
-    by: dict[str, list[tuple[int, int]]] = {}
-    for r in held:
-        by.setdefault(r["chrom"], []).append((r["start"], r["stop"]))
-    shared = df.sparkSession.sparkContext.broadcast((names, size, {k: np.array(v, np.int64) for k, v in by.items()}))
+    index = {c: i for i, c in enumerate(names)}
+    line = np.concatenate([[0], np.cumsum(size + 1)])  # chromosomes laid end to end, one place more in each than bases
+    # Exclusions on that line, in order and apart, so that one search finds the next one.
+    blocked = np.array(sorted((line[index[r["chrom"]]] + r["start"], line[index[r["chrom"]]] + r["stop"]) for r in held if r["chrom"] in index), np.int64).reshape(-1, 2)
+    shared = df.sparkSession.sparkContext.broadcast((names, size, line, blocked))
     at = [df.columns.index(c) for c in ("chrom", "start", "stop", "ord")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, size, blocked = shared.value
+        names, size, line, blocked = shared.value
         index = {c: i for i, c in enumerate(names)}
         for b in batches:
-            chrom, start, stop, ord_ = (b.column(i).to_pylist() for i in at)
-            new_c, new_s, new_e = [], [], []
-            for c, s, e, o in zip(chrom, start, stop, ord_, strict=True):
-                n = max(e - s, 0)
-                rng = np.random.default_rng([seed & 0xFFFFFFFF, o & 0xFFFFFFFFFFFFFFFF])
-                places = np.maximum(size - n + 1, 0)
+            if not b.num_rows:
+                continue
+            start, stop, order = (b.column(i).to_numpy().astype(np.int64) for i in at[1:])
+            n = np.maximum(stop - start, 0)
+            own = np.array([index.get(c, -1) for c in b.column(at[0]).to_pylist()]) if same_chrom else None
+            chrom, place = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+            most = np.where(own >= 0, size[own], -1) if same_chrom else np.full(len(n), size.max() if len(size) else -1)
+            if (n > most).any():
+                raise ValueError(f"no chromosome has room for row {order[np.flatnonzero(n > most)[0]]}")
+            left = np.arange(len(n))
+            for k in range(TRIES):
+                draw = _hash(order[left].astype(np.uint64) * np.uint64(TRIES) + np.uint64(k), seed)
                 if same_chrom:
-                    places = np.where(np.arange(len(names)) == index.get(c, -1), places, 0)
-                cum = np.cumsum(places)
-                if not len(cum) or not cum[-1]:
-                    raise ValueError(f"no chromosome has room for row {o}")
-                for _ in range(TRIES):
-                    p = int(rng.integers(cum[-1]))
-                    k = int(np.searchsorted(cum, p, side="right"))
-                    s2 = p - int(cum[k] - places[k])
-                    x = blocked.get(names[k])
-                    j = int(np.searchsorted(x[:, 1], s2, side="right")) if x is not None else 0
-                    if x is None or j == len(x) or x[j, 0] >= s2 + n:
-                        break
+                    c = own[left]
+                    s = (draw % (size[c] - n[left] + 1).astype(np.uint64)).astype(np.int64)
                 else:
-                    raise ValueError(f"no place found for row {o}")
-                new_c.append(names[k])
-                new_s.append(s2)
-                new_e.append(s2 + n)
-            new = {at[0]: pa.array(new_c, pa.string()), at[1]: pa.array(new_s, pa.int64()), at[2]: pa.array(new_e, pa.int64())}
+                    p = (draw % np.uint64(line[-1])).astype(np.int64)
+                    c = np.searchsorted(line, p, side="right") - 1
+                    s = p - line[c]
+                fits = s + n[left] <= size[c]
+                if len(blocked):
+                    j = np.searchsorted(blocked[:, 1], line[c] + s, side="right")
+                    free = (j == len(blocked)) | (blocked[np.minimum(j, len(blocked) - 1), 0] >= line[c] + s + n[left])
+                    fits &= free
+                chrom[left[fits]], place[left[fits]] = c[fits], s[fits]
+                left = left[~fits]
+                if not len(left):
+                    break
+            else:
+                raise ValueError(f"no place found for row {order[left[0]]}")
+            new = {at[0]: pa.array([names[c] for c in chrom], pa.string()), at[1]: pa.array(place), at[2]: pa.array(place + n)}
             yield pa.RecordBatch.from_arrays([new.get(i, b.column(i)) for i in range(b.num_columns)], names=b.schema.names)
 
     return df.mapInArrow(run, df.schema)

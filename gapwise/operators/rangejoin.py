@@ -12,16 +12,23 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import fisher_row
 from .islands import merge
+from .scan import running, with_next
 
 MAX_BINS = 64
 
 
 def bin_levels(*sides: DataFrame) -> list[int]:
-    """Bin widths, finest first: twice the 90th percentile of lengths, then 64 times wider until the longest fits."""
-    width, longest = 1, 1
-    for s in sides:
-        r = s.select((F.col("stop") - F.col("start")).alias("n")).agg(F.percentile_approx("n", 0.9).alias("p"), F.max("n").alias("m")).first()
-        width, longest = max(width, 2 * (r["p"] or 1)), max(longest, r["m"] or 1)
+    """Bin widths, finest first: twice the 90th percentile of lengths, then 64 times wider until the longest fits.
+
+    One job over all sides; where the lengths are known, pass levels to the operators instead.
+    """
+    lengths = None
+    for i, s in enumerate(sides):
+        own = s.select(F.lit(i).alias("side"), (F.col("stop") - F.col("start")).alias("n"))
+        lengths = own if lengths is None else lengths.unionByName(own)
+    found = lengths.groupBy("side").agg(F.percentile_approx("n", 0.9, 1000).alias("p"), F.max("n").alias("m")).collect()
+    width = max([1, *(2 * (r["p"] or 1) for r in found)])
+    longest = max([1, *(r["m"] or 1 for r in found)])
     out = [width]
     while out[-1] * MAX_BINS < longest:
         out.append(out[-1] * MAX_BINS)
@@ -60,62 +67,67 @@ def _own(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col(f"a_{c}").alias(c) for c in columns]
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+def intersect(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """For each pair a's row, clipped to what is shared; empty parts are dropped."""
     lo, hi = F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop")
-    p = overlap_pairs(a, b.select("chrom", "start", "stop")).where(lo < hi)
+    p = overlap_pairs(a, b.select("chrom", "start", "stop"), levels=levels).where(lo < hi)
     return p.select(*[lo.alias(c) if c == "start" else hi.alias(c) if c == "stop" else F.col(f"a_{c}").alias(c) for c in a.columns])
 
 
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    """What of each row of a (unique ord) b leaves, in parts; a's other columns are kept, empty rows vanish."""
-    hits = overlap_pairs(a, merge(b))
-    w = W.partitionBy("a_ord").orderBy("b_start")
-    lo, hi = F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop")
-    parts = F.array(F.struct(F.coalesce(F.lag(hi).over(w), F.col("a_start")).alias("start"), lo.alias("stop")), F.when(F.lead(lo).over(w).isNull(), F.struct(hi.alias("start"), F.col("a_stop").alias("stop"))))
-    cut = hits.withColumn("_p", parts).withColumn("_p", F.explode(F.filter("_p", lambda p: p["start"] < p["stop"])))
-    cut = cut.select(*[F.col(f"_p.{c}").alias(c) if c in ("start", "stop") else F.col(f"a_{c}").alias(c) for c in a.columns])
-    whole = a.join(hits.select(F.col("a_ord").alias("ord")).distinct(), "ord", "left_anti").where("start < stop").select(*a.columns)
-    return whole.unionByName(cut)
+def subtract(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
+    """What of each row of a (unique ord) b leaves, in parts; a's other columns are kept, empty rows vanish.
 
+    A row's hits are in order, and the row itself comes last, as a hit at its stop: before each lies a gap, or nothing.
+    """
+    hits = overlap_pairs(a, merge(b), levels=levels or bin_levels(a, b))
+    ends = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], F.col("stop").alias("b_start"), F.col("stop").alias("b_stop"), F.lit(True).alias("_last"))
+    rows = hits.drop("b_chrom").withColumn("_last", F.lit(False)).unionByName(ends)
+    w = W.partitionBy("a_ord").orderBy("_last", "b_start")
+    begin = F.coalesce(F.lag(F.least("a_stop", "b_stop")).over(w), F.col("a_start"))
+    rows = rows.withColumn("_from", begin).withColumn("_to", F.greatest("a_start", "b_start")).where("_from < _to")
+    return rows.select(*[F.col({"start": "_from", "stop": "_to"}.get(c, f"a_{c}")).alias(c) for c in a.columns])
 
-def window(a: DataFrame, b: DataFrame, w: int = 1000) -> DataFrame:
+
+def window(a: DataFrame, b: DataFrame, w: int = 1000, levels: list[int] | None = None) -> DataFrame:
     """Pairs of rows within w of each other: all columns of both, a_* and b_*."""
     near = a.withColumn("_from", F.col("start")).withColumn("_to", F.col("stop")).withColumn("start", F.greatest(F.col("start") - w, F.lit(0))).withColumn("stop", F.col("stop") + w)
-    return overlap_pairs(near, b).withColumn("a_start", F.col("a__from")).withColumn("a_stop", F.col("a__to")).drop("a__from", "a__to")
+    return overlap_pairs(near, b, levels=levels).withColumn("a_start", F.col("a__from")).withColumn("a_stop", F.col("a__to")).drop("a__from", "a__to")
 
 
-def map_values(a: DataFrame, b: DataFrame, op: str = "mean", column: str = "score") -> DataFrame:
+def map_values(a: DataFrame, b: DataFrame, op: str = "mean", column: str = "score", levels: list[int] | None = None) -> DataFrame:
     """a (unique ord) with value: op (mean, sum, min, max, count) of b's column over overlapping rows; null if none."""
     ops = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     if op not in ops:
         raise ValueError(f"no such operation: {op}")
-    hits = overlap_pairs(a.select("chrom", "start", "stop", "ord"), b.select("chrom", "start", "stop", F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("v")))
+    hits = overlap_pairs(a.select("chrom", "start", "stop", "ord"), b.select("chrom", "start", "stop", F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("v")), levels=levels)
     found = hits.groupBy(F.col("a_ord").alias("ord")).agg(ops[op]("b_v").cast("double").alias("value"))
     return a.join(found, "ord", "left").select(*a.columns, "value")
 
 
-def overlap_stats(a: DataFrame, b: DataFrame) -> DataFrame:
+def overlap_stats(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """One row: counts, rows with a partner, bases, shared bases (pair by pair, unmerged) and their Jaccard ratio."""
     ids = lambda d: d.select("chrom", "start", "stop", "ord")
-    p = overlap_pairs(ids(a), ids(b))
     shared = F.greatest(F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start"), F.lit(0))
-    hit = p.agg(F.coalesce(F.sum(shared), F.lit(0)).alias("overlap_bases"))
-    with_a = p.select("a_ord").distinct().agg(F.count("*").alias("a_with_overlap"))
-    with_b = p.select("b_ord").distinct().agg(F.count("*").alias("b_with_overlap"))
+    hit = overlap_pairs(ids(a), ids(b), levels=levels).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("overlap_bases"), F.count_distinct("a_ord").alias("a_with_overlap"), F.count_distinct("b_ord").alias("b_with_overlap"))
     size = lambda d, k: d.agg(F.count("*").alias(f"{k}_count"), F.coalesce(F.sum(F.greatest(F.col("stop") - F.col("start"), F.lit(0))), F.lit(0)).alias(f"{k}_bases"))
-    one = size(a, "a").crossJoin(size(b, "b")).crossJoin(with_a).crossJoin(with_b).crossJoin(hit)  # one row each
+    one = size(a, "a").crossJoin(size(b, "b")).crossJoin(hit)  # one row each
     every = F.greatest(F.col("a_bases") + F.col("b_bases") - F.col("overlap_bases"), F.lit(0))
-    return one.withColumn("jaccard", F.when(every > 0, F.col("overlap_bases") / every).otherwise(0.0))
+    return one.select("a_count", "b_count", "a_with_overlap", "b_with_overlap", "a_bases", "b_bases", "overlap_bases").withColumn("jaccard", F.when(every > 0, F.col("overlap_bases") / every).otherwise(0.0))
 
 
 def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: bases in both merged sets, in either, their ratio, and the number of shared parts."""
-    ma, mb = merge(a), merge(b)
-    shared = F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start")
-    hit = overlap_pairs(ma, mb).where(shared > 0).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("intersection"), F.count("*").alias("n_intersections"))
-    size = lambda d, k: d.agg(F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias(k))
-    one = hit.crossJoin(size(ma, "_a")).crossJoin(size(mb, "_b")).withColumn("union", F.col("_a") + F.col("_b") - F.col("intersection"))
+    """One row: bases in both merged sets, in either, their ratio, and the number of shared parts.
+
+    One sweep over both sets' ends: how many intervals of each hold from an end to the next.
+    """
+    ends = lambda d, x, y: d.where("start < stop").select("chrom", F.explode(F.array(*[F.struct(F.col(c).alias("pos"), F.lit(s * x).alias("x"), F.lit(s * y).alias("y")) for c, s in (("start", 1), ("stop", -1))])).alias("e"))
+    at = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.x").alias("dx"), F.sum("e.y").alias("dy"))
+    on = with_next(running(at, ["chrom"], ["pos"], "pos", x=("sum", "dx", "upto"), y=("sum", "dy", "upto")))
+    width = F.coalesce(F.col("next") - F.col("pos"), F.lit(0))
+    both = (F.col("x") > 0) & (F.col("y") > 0)
+    begins = both & ((F.col("x") <= F.col("dx")) | (F.col("y") <= F.col("dy")))  # just before, one of them was not there
+    total = lambda c: F.coalesce(F.sum(F.when(c, width)), F.lit(0))
+    one = on.agg(total(both).alias("intersection"), total((F.col("x") > 0) | (F.col("y") > 0)).alias("union"), F.count(F.when(begins, 1)).alias("n_intersections"))
     return one.select("intersection", "union", F.when(F.col("union") > 0, F.col("intersection") / F.col("union")).otherwise(0.0).alias("jaccard"), "n_intersections")
 
 

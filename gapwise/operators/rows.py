@@ -1,5 +1,6 @@
 """Row-wise operators: coordinates, filters, sorts, samples. Intervals: chrom, start, stop, and more columns that are kept
-unless it is said otherwise. All of them are plain projections, so that they also run on streams."""
+unless it is said otherwise. Those that change or drop rows one by one are projections and run on streams too; unique, tail,
+rename's map, sorts and samples look at the whole table."""
 
 from __future__ import annotations
 
@@ -7,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .scan import running
+
 UNBOUNDED = (1 << 63) - 1
 
 
@@ -113,10 +116,14 @@ def permutation(n: int, seed: int = 42) -> list[int]:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int = 42, most: int = 5_000_000) -> DataFrame:
-    """The first n rows of the permutation of df by ord, with place; for tables of at most `most` rows."""
+    """The first n rows of the permutation of df by ord (an integer), with place; for tables of at most `most` rows.
+
+    Each step of the permutation depends on all before it, so it is a list of row numbers on the driver; larger tables
+    are an error, and have `sample`. Rows are numbered in two levels.
+    """
     rows = df.count()
     if rows > most:
         raise ValueError("too many rows for an exact permutation: use sample")
     places = df.sparkSession.createDataFrame([(r, p) for p, r in enumerate(permutation(rows, seed)[:n])], "_r long, place int")
-    ranked = df.withColumn("_r", (F.row_number().over(W.orderBy("ord")) - 1).cast("long"))
+    ranked = running(df, [], ["ord"], "ord", _r=("sum", F.lit(1).cast("long"), "before")).withColumn("_r", F.coalesce("_r", F.lit(0).cast("long")))
     return ranked.join(places, "_r").drop("_r")

@@ -1,7 +1,8 @@
 """Running aggregates that don't put a whole key in one task.
 
 A window over a chromosome alone would give one task per chromosome. Here rows are windowed within stretches of the
-position, and what comes before a stretch is a window over one row for each stretch.
+position, and what comes before a stretch is a window over one row for each stretch; without a key it is found in the
+same way, from stretches of stretches, so that no task holds a row for each of them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-WIDTH = 1 << 17
+#: Positions of a stretch; stretches of a stretch of stretches.
+WIDTH, FAN = 1 << 17, 1 << 14
 _FN = {"sum": F.sum, "max": F.max}
 
 
@@ -23,20 +25,42 @@ def running(df: DataFrame, by: list[str], order: list[str], pos: str, width: int
     rows = df.withColumn("_s", F.floor(F.col(pos) / width))
     near = W.partitionBy(*by, "_s").orderBy(*order)
     frame = {"upto": near.rowsBetween(W.unboundedPreceding, 0), "before": near.rowsBetween(W.unboundedPreceding, -1)}
-    far = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
-    totals = rows.groupBy(*by, "_s").agg(*[fn(e).alias(k) for k, (fn, e, _) in cols.items()])
-    carry = totals.select(*by, "_s", *[fn(k).over(far).alias(f"_far_{k}") for k, (fn, _, _) in cols.items()])
+    totals = rows.groupBy(*by, "_s").agg(*[fn(e).alias(f"_all_{k}") for k, (fn, e, _) in cols.items()])
+    if by:
+        far = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+        carry = totals.select(*by, "_s", *[fn(f"_all_{k}").over(far).alias(f"_far_{k}") for k, (fn, _, _) in cols.items()])
+    else:
+        carry = _carry(totals, {k: fn for k, (fn, _, _) in cols.items()})
     out = rows.select("*", *[fn(e).over(frame[where]).alias(f"_near_{k}") for k, (fn, e, where) in cols.items()]).join(carry, [*by, "_s"])
     for k, (fn, _, _) in cols.items():
-        a, b = F.col(f"_near_{k}"), F.col(f"_far_{k}")
-        both = F.greatest(a, b) if fn is F.max else a + b
-        out = out.withColumn(k, F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both))
+        out = out.withColumn(k, _both(fn, F.col(f"_near_{k}"), F.col(f"_far_{k}")))
     return out.select(*df.columns, *cols)
 
 
-def as_of(queries: DataFrame, at: Column, values: DataFrame, pos: Column, value: Column, name: str, key: str = "ord", width: int = WIDTH) -> DataFrame:
-    """(key, name): for each query the largest value at a pos <= at on its chromosome; queries without one have null."""
-    q = queries.select("chrom", at.cast("long").alias("_p"), F.lit(1).alias("_q"), F.col(key).alias("_k"))
+def _carry(totals: DataFrame, fns: dict) -> DataFrame:
+    """(_s, _far_*): what all stretches before each add up to, in two levels."""
+    rows = totals.withColumn("_t", F.floor(F.col("_s") / FAN))
+    near = W.partitionBy("_t").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
+    far = W.partitionBy(F.lit(0)).orderBy("_t").rowsBetween(W.unboundedPreceding, -1)
+    above = rows.groupBy("_t").agg(*[fn(f"_all_{k}").alias(f"_all_{k}") for k, fn in fns.items()]).select("_t", *[fn(f"_all_{k}").over(far).alias(f"_top_{k}") for k, fn in fns.items()])
+    out = rows.select("_s", "_t", *[fn(f"_all_{k}").over(near).alias(f"_own_{k}") for k, fn in fns.items()]).join(above, "_t")
+    return out.select("_s", *[_both(fn, F.col(f"_own_{k}"), F.col(f"_top_{k}")).alias(f"_far_{k}") for k, fn in fns.items()])
+
+
+def _both(fn, a: Column, b: Column) -> Column:
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.greatest(a, b) if fn is F.max else a + b)
+
+
+def with_next(df: DataFrame) -> DataFrame:
+    """df (unique chrom, pos) with next, the position that follows on the chromosome."""
+    back = running(df.withColumn("_m", -F.col("pos")), ["chrom"], ["_m"], "_m", _n=("max", "_m", "before"))
+    return back.withColumn("next", -F.col("_n")).drop("_m", "_n")
+
+
+def as_of(queries: DataFrame, at: Column, values: DataFrame, pos: Column, value: Column, name: str, width: int = WIDTH) -> DataFrame:
+    """queries with name: the largest value at a pos <= at on the chromosome, null where there is none; no row is joined."""
+    own = F.struct(*[F.col(c) for c in queries.columns]).alias("_k")
+    q = queries.select("chrom", at.cast("long").alias("_p"), F.lit(1).alias("_q"), own)
     v = values.select("chrom", pos.cast("long").alias("_p"), F.lit(0).alias("_q"), value.alias("_v"))
     rows = q.unionByName(v, allowMissingColumns=True)
-    return running(rows, ["chrom"], ["_p", "_q"], "_p", width, **{name: ("max", "_v", "upto")}).where("_q = 1").select(F.col("_k").alias(key), name)
+    return running(rows, ["chrom"], ["_p", "_q"], "_p", width, _found=("max", "_v", "upto")).where("_q = 1").select("_k.*", F.col("_found").alias(name))

@@ -45,10 +45,14 @@ def mask_fasta(fasta: DataFrame, bed: DataFrame, soft: bool = False, mask: str =
         raise ValueError("the mask is one character")
     held = merge(bed).where("start < stop").groupBy(F.col("chrom").alias("name")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("a"), F.col("stop").cast("int").alias("b")))).alias("_m"))
     n = F.length("seq")
-    piece = lambda a, b: F.substring(F.col("seq"), a + 1, F.greatest(b - a, F.lit(0)))
-    hidden = lambda m: F.lower(piece(m["a"], F.least(m["b"], n))) if soft else F.repeat(F.lit(mask), F.greatest(F.least(m["b"], n) - m["a"], F.lit(0)))
-    step = lambda acc, m: F.struct(m["b"].alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], m["a"]), hidden(m))).alias("out"))
-    whole = F.aggregate("_m", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), piece(acc["at"], n)))
+    # Bytes are cut out in place; a sequence with wider characters is cut by characters, with a walk to each.
+    plain = F.octet_length("seq") == n
+    cut = lambda a, b: F.when(plain, F.substring(F.col("seq").cast("binary"), a + 1, F.greatest(b - a, F.lit(0))).cast("string")).otherwise(F.substring(F.col("seq"), a + 1, F.greatest(b - a, F.lit(0))))
+    stop = lambda m: F.least(m["b"], n)
+    hidden = lambda m: F.lower(cut(m["a"], stop(m))) if soft else F.repeat(F.lit(mask), F.greatest(stop(m) - m["a"], F.lit(0)))
+    ends = F.concat(F.array(F.lit(0)), F.transform("_m", lambda m: m["b"]))  # one more than masks: the last is where the rest begins
+    parts = F.zip_with("_m", F.slice(ends, F.lit(1), F.size("_m")), lambda m, before: F.concat(cut(before, m["a"]), hidden(m)))
+    whole = F.concat(F.array_join(parts, ""), cut(F.element_at(ends, -1), n))
     return fasta.join(held, "name", "left").withColumn("seq", F.when(F.col("_m").isNull(), F.col("seq")).otherwise(whole)).select(*fasta.columns)
 
 

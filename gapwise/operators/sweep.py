@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .islands import merge
-from .scan import running
-
-
-def _with_next(df: DataFrame) -> DataFrame:
-    """df (unique chrom, pos) with next, the position that follows on the chromosome."""
-    back = running(df.withColumn("_m", -F.col("pos")), ["chrom"], ["_m"], "_m", _n=("max", "_m", "before"))
-    return back.withColumn("next", -F.col("_n")).drop("_m", "_n")
+from .scan import running, with_next
 
 
 def genomecov(bed: DataFrame, genome: DataFrame) -> DataFrame:
@@ -24,7 +18,7 @@ def genomecov(bed: DataFrame, genome: DataFrame) -> DataFrame:
     g = genome.select("chrom", "size").where("size > 0")
     rows = bed.select("chrom", "start", "stop").join(g, "chrom").select("chrom", "start", F.least("stop", "size").alias("stop")).where("start < stop")
     events = rows.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    steps = _with_next(running(events, ["chrom"], ["pos"], "pos", depth=("sum", "d", "upto"))).where("next is not null and depth > 0")
+    steps = with_next(running(events, ["chrom"], ["pos"], "pos", depth=("sum", "d", "upto"))).where("next is not null and depth > 0")
     deep = steps.groupBy("chrom", "depth").agg(F.sum(F.col("next") - F.col("pos")).alias("bases"))
     bare = g.join(deep.groupBy("chrom").agg(F.sum("bases").alias("b")), "chrom", "left").select("chrom", F.lit(0).cast("long").alias("depth"), (F.col("size") - F.coalesce("b", F.lit(0))).alias("bases")).where("bases > 0")
     each = deep.unionByName(bare)
@@ -43,7 +37,7 @@ def multiinter(files: list[DataFrame], names: list[str]) -> DataFrame:
     for p in parts[1:]:
         events = events.unionByName(p)
     at = events.groupBy("chrom", F.col("e.pos").alias("pos")).agg(*[F.sum(F.when(F.col("f") == i, F.col("e.d")).otherwise(0)).alias(f"d{i}") for i in range(len(files))])
-    on = _with_next(running(at, ["chrom"], ["pos"], "pos", **{f"f{i}": ("sum", f"d{i}", "upto") for i in range(len(files))})).where("next is not null")
+    on = with_next(running(at, ["chrom"], ["pos"], "pos", **{f"f{i}": ("sum", f"d{i}", "upto") for i in range(len(files))})).where("next is not null")
     n = sum((F.col(f"f{i}") for i in range(len(files))), F.lit(0))
     listed = F.concat_ws(",", *[F.when(F.col(f"f{i}") > 0, F.lit(x)) for i, x in enumerate(names)])
     return on.select("chrom", F.col("pos").alias("start"), F.col("next").alias("stop"), n.cast("long").alias("n"), listed.alias("list"), *[F.col(f"f{i}").cast("long").alias(x) for i, x in enumerate(names)]).where("n > 0")
@@ -63,7 +57,7 @@ def unionbedg(files: list[DataFrame], names: list[str], filler: str = "0") -> Da
         e = f.where("start < stop").select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("k"), F.col("value").cast("string").alias("v")), F.struct(F.col("stop").alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("v")))).alias("e"), F.lit(i).alias("f"))
         events = e if events is None else events.unionByName(e)
     at = events.groupBy("chrom", F.col("e.pos").alias("pos")).agg(*[F.max(F.when(F.col("f") == i, F.struct("e.pos", "e.k", "e.v"))).alias(f"e{i}") for i in range(len(files))])
-    on = _with_next(running(at, ["chrom"], ["pos"], "pos", **{f"v{i}": ("max", f"e{i}", "upto") for i in range(len(files))}))
+    on = with_next(running(at, ["chrom"], ["pos"], "pos", **{f"v{i}": ("max", f"e{i}", "upto") for i in range(len(files))}))
     live = F.lit(False)
     for i in range(len(files)):
         live = live | F.coalesce(F.col(f"v{i}.k") == 1, F.lit(False))

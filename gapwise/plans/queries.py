@@ -117,7 +117,7 @@ _add("merge_by_name", _on_a(agg.merge_by_name), "SELECT chrom, name, min(start)
 def _group(op: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
         status = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("status"))
-        return agg.group_runs(rel(s, d, "a").join(status, "ord"), ["status"], "score", [op])
+        return agg.group_runs(rel(s, d, "a").join(status, "ord"), ["status"], [("score", op)]).withColumnRenamed(f"{op}_score", op)
 
     return query
 
@@ -130,6 +130,14 @@ for _op, _sql in _GROUPED.items():
     else:
         _add(f"groupby_{_op}", _group(_op), f'SELECT run, status, {_sql} AS "{_op}" FROM runs GROUP BY 1, 2', _RUN)
 
+
+
+def _group_lists(s: SparkSession, d: str) -> DataFrame:
+    status = s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("status"))
+    return agg.group_runs(rel(s, d, "a").join(status, "ord"), ["status", "strand"], [("score", "sum"), ("start", "max"), ("name", "collapse")])
+
+
+_add("groupby_lists", _group_lists, "SELECT run, status, strand, CAST(sum(score) AS DOUBLE) AS sum_score, CAST(max(start) AS DOUBLE) AS max_start, string_agg(name, ',' ORDER BY ord) AS collapse_name FROM runs GROUP BY 1, 2, 3", _RUN.replace("status = lag(status) OVER (ORDER BY ord)", "status = lag(status) OVER (ORDER BY ord) AND strand = lag(strand) OVER (ORDER BY ord)"))
 _add("intersect", _on_a(rangejoin.intersect, "b"), f"SELECT a.chrom, greatest(a.start,b.start) AS start, least(a.stop,b.stop) AS stop, a.name, a.score, a.strand, a.ord FROM {_HIT}")
 _add("subtract", _on_a(rangejoin.subtract, "b"), "SELECT chrom, CAST(lo AS BIGINT) AS start, CAST(hi AS BIGINT) AS stop, name, score, strand, ord FROM (SELECT a.*, coalesce(lag(least(m.stop,a.stop)) OVER w, a.start) AS lo, CASE WHEN m.start IS NULL THEN a.stop ELSE greatest(m.start,a.start) END AS hi FROM a LEFT JOIN mb m ON a.chrom=m.chrom AND a.start<m.stop AND m.start<a.stop WINDOW w AS (PARTITION BY a.ord ORDER BY m.start) UNION ALL SELECT a.*, max(least(m.stop,a.stop)) AS lo, a.stop AS hi FROM a JOIN mb m ON a.chrom=m.chrom AND a.start<m.stop AND m.start<a.stop GROUP BY ALL) WHERE lo<hi", _MB)
 _add("window", lambda s, d: rangejoin.window(rel(s, d, "a"), rel(s, d, "b"), 200), "SELECT " + ", ".join(f"a.{c} AS a_{c}" for c in ("chrom", "start", "stop", "name", "score", "strand", "ord")) + ", " + ", ".join(f"b.{c} AS b_{c}" for c in ("chrom", "start", "stop", "name", "score", "ord")) + " FROM a JOIN b ON a.chrom=b.chrom AND greatest(a.start-200,0)<b.stop AND b.start<a.stop+200")
@@ -140,10 +148,14 @@ _add("jaccard", _on_a(rangejoin.jaccard, "b"), 'SELECT i AS intersection, x+y-i
 
 
 def _fisher(s: SparkSession, d: str) -> DataFrame:
-    return rangejoin.fisher(rel(s, d, "a"), rel(s, d, "b"), rel(s, d, "g")).select("n11", "n12", "n21", "n22", "ratio")
+    out = rangejoin.fisher(rel(s, d, "a"), rel(s, d, "b"), rel(s, d, "g"))
+    return out.select("n11", "n12", "n21", "n22", *[F.round(c, 6).alias(c) for c in ("left", "right", "two_tail")], "ratio")
 
 
-_add("fisher", _fisher, "SELECT n11, n12, n21, n22, CASE WHEN n12=0 OR n21=0 THEN CAST('inf' AS DOUBLE) ELSE CAST(n11*n22 AS DOUBLE)/CAST(n12*n21 AS DOUBLE) END AS ratio FROM (SELECT n11, n12, n21, greatest(n11+n12+n21, CAST(trunc((SELECT sum(size) FROM g)/(2+(SELECT sum(stop-start)/count(*) FROM a)+(SELECT sum(stop-start)/count(*) FROM b))) AS BIGINT))-n11-n12-n21 AS n22 FROM (SELECT n AS n11, greatest((SELECT count(*) FROM a)-n,0) AS n12, greatest((SELECT count(*) FROM b)-n,0) AS n21 FROM (SELECT count(*) AS n FROM a JOIN b ON a.chrom=b.chrom AND (a.start<b.stop AND b.start<a.stop OR a.start=b.start))))")
+_TABLE = "t AS (SELECT n11, n12, n21, greatest(n11+n12+n21, CAST(trunc((SELECT sum(size) FROM g)/(2+(SELECT sum(stop-start)/count(*) FROM a)+(SELECT sum(stop-start)/count(*) FROM b))) AS BIGINT))-n11-n12-n21 AS n22 FROM (SELECT n AS n11, greatest((SELECT count(*) FROM a)-n,0) AS n12, greatest((SELECT count(*) FROM b)-n,0) AS n21 FROM (SELECT count(*) AS n FROM a JOIN b ON a.chrom=b.chrom AND (a.start<b.stop AND b.start<a.stop OR a.start=b.start))))"
+_CHOOSE = lambda n, k: f"lgamma({n}+1)-lgamma({k}+1)-lgamma({n}-({k})+1)"
+_TERMS = f"p AS (SELECT *, {_CHOOSE('r1', 'k')}+{_CHOOSE('nn-r1', 'c1-k')}-({_CHOOSE('nn', 'c1')}) AS l FROM (SELECT *, unnest(range(greatest(0, r1+c1-nn), least(r1, c1)+1)) AS k FROM (SELECT *, (n11+n12)::DOUBLE::BIGINT AS r1, n11+n21 AS c1, n11+n12+n21+n22 AS nn FROM t)))"
+_add("fisher", _fisher, 'SELECT n11, n12, n21, n22, round(least(1, sum(exp(l)) FILTER (k<=n11)), 6) AS "left", round(least(1, sum(exp(l)) FILTER (k>=n11)), 6) AS "right", round(least(1, sum(exp(l)) FILTER (l<=o+1e-7)), 6) AS two_tail, CASE WHEN n12=0 OR n21=0 THEN CAST(\'inf\' AS DOUBLE) ELSE CAST(n11*n22 AS DOUBLE)/CAST(n12*n21 AS DOUBLE) END AS ratio FROM (SELECT *, max(CASE WHEN k=n11 THEN l END) OVER () AS o FROM p) GROUP BY n11, n12, n21, n22', _TABLE, _TERMS)
 _add("closest", _on_a(nearest.closest, "b"), "SELECT " + ", ".join(f"p.a_{c} AS a_{c}" for c in ("chrom", "start", "stop", "name", "score", "strand", "ord")) + ", coalesce(b_chrom,'.') AS b_chrom, coalesce(b_start,-1) AS b_start, coalesce(b_stop,-1) AS b_stop, b_ord FROM (SELECT *, rank() OVER (PARTITION BY a_ord ORDER BY gap) AS k FROM (SELECT " + ", ".join(f"a.{c} AS a_{c}" for c in ("chrom", "start", "stop", "name", "score", "strand", "ord")) + ", b.chrom AS b_chrom, b.start AS b_start, b.stop AS b_stop, b.ord AS b_ord, CASE WHEN b.start<a.stop AND a.start<b.stop THEN -1 WHEN b.stop<=a.start THEN a.start-b.stop ELSE b.start-a.stop END AS gap FROM a LEFT JOIN b ON a.chrom=b.chrom)) p WHERE k=1")
 _add("annotate", lambda s, d: nearest.annotate(rel(s, d, "a"), text.features(rel(s, d, "feat"))), "SELECT chrom, start, stop, name, score, strand, ord, fname AS feature, dist FROM (SELECT a.*, f.fname, CASE WHEN f.fs IS NULL THEN NULL WHEN (a.start+a.stop)>>1 < f.fs THEN f.fs-((a.start+a.stop)>>1) WHEN (a.start+a.stop)>>1 > f.fe THEN ((a.start+a.stop)>>1)-f.fe ELSE 0 END AS dist, row_number() OVER (PARTITION BY a.ord ORDER BY dist, f.fs, f.fo) AS k FROM a LEFT JOIN (SELECT chrom AS fc, start AS fs, stop AS fe, split_part(attributes,'gene_name=',2) AS fname, ord AS fo FROM feat WHERE ftype='gene') f ON a.chrom=f.fc) WHERE k=1")
 _add("reldist", _on_a(nearest.reldist, "b"), "SELECT bin/100 AS reldist, n AS \"count\", CAST(sum(n) OVER () AS BIGINT) AS total, n/sum(n) OVER () AS fraction FROM (SELECT CAST(floor((CASE WHEN l IS NULL OR least(m-l,r-m)=0 THEN 0.0::DOUBLE ELSE least(m-l,r-m)/(r-l) END)*100) AS BIGINT) AS bin, count(*) AS n FROM (SELECT q.ord, q.m, max(CASE WHEN v.m<q.m THEN v.m END) AS l, min(CASE WHEN v.m>=q.m THEN v.m END) AS r, count(*) AS c, min(v.m) AS f FROM (SELECT chrom, (start+stop)//2 AS m, ord FROM a) q JOIN (SELECT chrom, (start+stop)//2 AS m FROM b) v ON q.chrom=v.chrom GROUP BY 1, 2) WHERE r IS NOT NULL AND (l IS NOT NULL OR m=f AND c>=2) GROUP BY 1)")
@@ -153,7 +165,7 @@ _add("merge_overlaps", lambda s, d: islands.merge(rel(s, d, "b")), "SELECT chrom
 _add("union", _on_a(islands.union, "b"), "SELECT chrom, start, stop FROM mu", "ab AS (SELECT chrom, start, stop FROM a UNION ALL SELECT chrom, start, stop FROM b)", _islands("mu", "ab"))
 _add("complement", _on_a(islands.complement, "g"), "SELECT * FROM (SELECT g.chrom, coalesce(lag(m.stop) OVER (PARTITION BY g.chrom ORDER BY m.start),0) AS start, coalesce(least(m.start,g.size),g.size) AS stop FROM g LEFT JOIN ma m ON g.chrom=m.chrom UNION ALL SELECT g.chrom, max(m.stop), any_value(g.size) FROM g JOIN ma m ON g.chrom=m.chrom GROUP BY g.chrom) WHERE start<stop", _MA)
 _add("cluster", lambda s, d: islands.cluster(rel(s, d, "a"), 30), "SELECT chrom, start, stop, name, score, strand, ord, CAST(sum(fresh) OVER (ORDER BY chrom, start, stop, ord) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN start <= 30+max(stop) OVER (PARTITION BY chrom ORDER BY start, stop, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM a)")
-_add("spacing", _on_a(islands.spacing), "SELECT chrom, p AS start, start AS stop, start-p AS gap FROM (SELECT chrom, start, lag(stop) OVER (PARTITION BY chrom ORDER BY ord) AS p FROM a) WHERE start>=p")
+_add("spacing", _on_a(islands.spacing), "SELECT chrom, p AS start, start AS stop, start-p AS gap FROM (SELECT chrom, start, lag(stop) OVER (ORDER BY ord) AS p, lag(chrom) OVER (ORDER BY ord) AS pc FROM a) WHERE start>=p AND chrom=pc")
 
 _CUTS = "cov AS (SELECT chrom, pos AS start, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS stop FROM (SELECT DISTINCT chrom, unnest([0, size, least(start,size), least(stop,size)]) AS pos FROM g LEFT JOIN (SELECT chrom, start, stop FROM a) USING (chrom)) WHERE pos IS NOT NULL)"
 _add("genomecov", _on_a(sweep.genomecov, "g"), "SELECT *, bases/size AS fraction FROM (SELECT 'chrom' AS scope, chrom, depth, CAST(sum(w) AS BIGINT) AS bases, size FROM dep JOIN g USING (chrom) GROUP BY chrom, depth, size UNION ALL SELECT 'genome', 'genome', depth, CAST(sum(w) AS BIGINT), (SELECT CAST(sum(size) AS BIGINT) FROM g) FROM dep GROUP BY depth)", _CUTS, "dep AS (SELECT c.chrom, c.stop-c.start AS w, count(a.ord) AS depth FROM cov c LEFT JOIN a ON a.chrom=c.chrom AND a.start<c.stop AND c.start<a.stop WHERE c.stop IS NOT NULL GROUP BY c.chrom, c.start, c.stop)")

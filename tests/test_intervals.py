@@ -5,7 +5,7 @@ import math
 import pytest
 
 from gapwise.functions.stats import fisher_tails, g, stripped
-from gapwise.operators import aggregates, islands, nearest, rangejoin, rows, sequences, sweep
+from gapwise.operators import aggregates, islands, nearest, randomness, rangejoin, rows, sequences, sweep
 from gapwise.sources import text
 
 SMALL = [("chr1", 10, 30, "geneA", 100, "+", 0), ("chr1", 20, 50, "geneB", 200, "-", 1), ("chr1", 80, 100, "geneC", 300, "+", 2), ("chr2", 0, 40, "geneD", 150, "+", 3), ("chr2", 60, 90, "geneE", 250, "-", 4), ("chr2", 60, 90, "geneE", 250, "-", 5)]
@@ -46,6 +46,8 @@ def test_merge_fuses_neighbours_and_keeps_empty_tables_empty(spark):
 
 def test_spacing_cluster(spark, small):
     assert spans(islands.spacing(small), "gap") == [("chr1", 50, 80, 30), ("chr2", 40, 60, 20)]
+    mixed = spark.createDataFrame([("c1", 0, 5, 0), ("c2", 0, 5, 1), ("c1", 10, 20, 2), ("c1", 25, 30, 3), ("c1", 28, 40, 4)], "chrom string, start long, stop long, ord long")
+    assert spans(islands.spacing(mixed), "gap") == [("c1", 20, 25, 5)]
     df = spark.createDataFrame([("a", 0, 10, 0), ("a", 5, 20, 1), ("a", 30, 40, 2), ("b", 0, 10, 3), ("b", 25, 30, 4)], "chrom string, start long, stop long, ord long")
     assert [r["cluster"] for r in islands.cluster(df).orderBy("ord").collect()] == [1, 1, 2, 3, 4]
     assert [r["cluster"] for r in islands.cluster(df, 20).orderBy("ord").collect()] == [1, 1, 1, 2, 2]
@@ -99,6 +101,56 @@ def test_unionbedg_neighbours(spark):
     assert spans(sweep.multiinter([x, y], ["x", "y"]), "n", "list") == [("c", 0, 5, 1, "x"), ("c", 5, 15, 2, "x,y"), ("c", 15, 20, 1, "x")]
 
 
+def test_shuffle_keeps_lengths_bounds_chromosomes_and_exclusions(spark, genome):
+    rows_ = spark.createDataFrame([("chr1" if i % 2 else "chr2", 5, 5 + i % 90, i) for i in range(400)], "chrom string, start long, stop long, ord long")
+    out = spark.createDataFrame([("chr1", 100, 700), ("chr1", 120, 130), ("chr2", 0, 200)], "chrom string, start long, stop long")
+    for kept in (False, True):
+        got = randomness.shuffle(rows_, genome, 7, out, kept).collect()
+        assert sorted(r["ord"] for r in got) == list(range(400)) and got == randomness.shuffle(rows_, genome, 7, out, kept).collect()
+        for r in got:
+            assert 0 <= r["start"] and r["stop"] <= {"chr1": 1000, "chr2": 500}[r["chrom"]] and r["stop"] - r["start"] == r["ord"] % 90
+            assert not any(r["chrom"] == c and a < r["stop"] and r["start"] < b for c, a, b in (("chr1", 100, 700), ("chr2", 0, 200)))
+            assert not kept or r["chrom"] == ("chr1" if r["ord"] % 2 else "chr2")
+    starts = [r["start"] for r in randomness.shuffle(rows_, genome, 7).where("chrom = 'chr1'").collect()]
+    assert 150 < len(starts) and 350 < sum(starts) / len(starts) < 600
+    with pytest.raises(Exception, match="no chromosome has room"):
+        randomness.shuffle(rows_.withColumn("stop", rows_.stop + 2000), genome).collect()
+
+
+def test_sample_exact_is_the_permutation(spark):
+    df = spark.range(300).selectExpr("id * 7 as ord", "id as x")
+    got = {r["place"]: r["x"] for r in rows.sample_exact(df, 40, 9).collect()}
+    assert [got[p] for p in range(40)] == rows.permutation(300, 9)[:40]
+
+
+def test_subtract_closest_jaccard_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    make = lambda n: [(f"c{rng.randrange(3)}", s, s + rng.randrange(0 if k % 5 == 0 else 1, 30), k) for k in range(n) for s in [rng.randrange(400)]]
+    a, b = make(60), make(40)
+    b = [x for x in b if x[0] != "c2"]
+    da, db = (spark.createDataFrame(x, "chrom string, start long, stop long, ord long") for x in (a, b))
+    held = {(c, p) for c, s, e, _ in b for p in range(s, e)}
+    want = []
+    for c, s, e, o in a:
+        free = [p for p in range(s, e) if (c, p) not in held]
+        want += [(c, p, o) for p in free]
+    got = [(r["chrom"], p, r["ord"]) for r in rangejoin.subtract(da, db).collect() for p in range(r["start"], r["stop"])]
+    assert sorted(got) == sorted(want)
+    near = []
+    for c, s, e, o in a:
+        hits = [k for d, x, y, k in b if d == c and (s <= x < e or x < s < y)]
+        gaps = {k: (s - y if y <= s and x < s else x - e if x >= e else None) for d, x, y, k in b if d == c}
+        gaps = {k: g for k, g in gaps.items() if g is not None}
+        near += [(o, k) for k in hits or [k for k, g in gaps.items() if g == min(gaps.values())] or [None]]
+    assert sorted(near, key=str) == sorted(((r["a_ord"], r["b_ord"]) for r in nearest.closest(da, db).collect()), key=str)
+    one = {(c, p) for c, s, e, _ in a for p in range(s, e)}
+    j = rangejoin.jaccard(da, db).first()
+    both = one & held
+    assert (j["intersection"], j["union"], j["n_intersections"]) == (len(both), len(one | held), sum((c, p - 1) not in both for c, p in both))
+
+
 def test_rows(small, genome):
     assert rows.unique(small).count() == 5
     assert rows.makewindows(genome, 100).count() == 15
@@ -110,8 +162,11 @@ def test_rows(small, genome):
 def test_stats_and_groups(small):
     s = aggregates.stats(small).first()
     assert (s["n"], s["total_bases"], round(s["mean_len"], 1), s["median_len"], s["min_len"], s["max_len"]) == (6, 170, 28.3, 30.0, 20, 40)
-    got = [(r["chrom"], r["sum"], r["collapse"], r["first"], r["count_distinct"]) for r in aggregates.group_runs(small, ["chrom"], "score", ["sum", "collapse", "first", "count_distinct"]).orderBy("run").collect()]
-    assert got == [("chr1", 600.0, "100,200,300", "100", 3), ("chr2", 650.0, "150,250,250", "150", 2)]
+    wanted = [("score", "sum"), ("score", "collapse"), ("name", "first"), ("name", "count_distinct")]
+    got = [tuple(r)[1:] for r in aggregates.group_runs(small, ["chrom"], wanted).orderBy("run").collect()]
+    assert got == [("chr1", 600.0, "100,200,300", "geneA", 3), ("chr2", 650.0, "150,250,250", "geneD", 2)]
+    with pytest.raises(ValueError, match="no such operation"):
+        aggregates.group_runs(small, ["chrom"], [("score", "mode")])
 
 
 def test_text_round_trip(spark, tmp_path):
