@@ -24,6 +24,8 @@ BROADCAST_ROWS = 200_000
 HOT_ROWS = 64
 
 
+#: Rows of an Arrow batch at most.
+ARROW_ROWS = 2000
 #: Bytes of row bitmaps that are broadcast at once; more go in rounds of files.
 BITMAP_BYTES = 64 << 20
 #: Rows of one bitmap (bitmap_construct_agg's size).
@@ -191,8 +193,26 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
     return df.mapInArrow(run, schema)
 
 
+def pieces(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about so many characters in all, so that a batch's arrays stay small; a text is never cut."""
+    at, held, n = 0, [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= chars:
+            yield at, held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors once for each application, so that Python workers can import it anywhere."""
+    """Send this package to the executors once for each application, so that Python workers can import it anywhere.
+
+    Batches to Python are made of ARROW_ROWS rows at most, as texts may be long.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     done = getattr(spark.sparkContext, "_gapwise_shipped", False)
     if not done:
         package = Path(__file__).resolve().parents[1]

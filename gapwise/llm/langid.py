@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extend
+from .common import arrow_map, extend, pieces
 
 #: Sizes of the model: bits of hash buckets, longest n-gram, bits of cells (languages times buckets) at most. More
 #: languages than fit have fewer buckets each.
@@ -63,19 +63,6 @@ def ngrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.nd
     return np.concatenate(buckets or [np.zeros(0, np.int32)]), np.concatenate(docs or [np.zeros(0, np.int32)])
 
 
-def pieces(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about so many characters in all, so that a batch's arrays stay small; a text is never cut."""
-    at, held, n = 0, [], 0
-    for t in texts:
-        held.append(t)
-        n += len(t)
-        if n >= chars:
-            yield at, held
-            at, held, n = at + len(held), [], 0
-    if held:
-        yield at, held
-
-
 def counts(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per_label: int = TRAIN_DOCS, alpha: float = 0.5) -> tuple[list[str], np.ndarray, DataFrame | None]:
     """(languages, n-gram counts plus alpha, the sample that was counted) of labelled rows; rows without text or label are left out.
 

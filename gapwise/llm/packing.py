@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extend, gapless, materialize, running_ranks
+from .common import arrow_map, extend, gapless, materialize, pieces, running_ranks
 from .tokens import encoder
 
 Block = tuple[int, tuple[int, ...]]  # so many sequences, each with pieces of these lengths
@@ -153,10 +153,9 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, ids: bool) ->
 
         pid, seen, tail, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end], "<u4").tobytes(), encoder(tokenizer)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo, texts in pieces([t or "" for t in b.column(1).to_pylist()]):
                 rows: list[tuple] = []
-                for doc, ids_of in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, ids_of in zip(b.column(0).slice(lo, len(texts)).to_pylist(), enc.encode(texts), strict=True):
                     data = ids_of + tail
                     n = len(data) // 4
                     start, k = 0, 0

@@ -2,8 +2,9 @@
 
 The words of a batch of texts form one sequence of numbers. Its suffix array (prefix doubling, with the text's number
 as the first key, so that suffixes of different texts never tie) and the common prefixes of neighbours in it give,
-at each place, the longest passage from there that the same text holds once more. Intervals of equal common prefix
-are the maximal repeated passages; their spans are unioned, and the covered fraction and the longest are limited.
+at each place, the longest passage from there that the same text holds once more: intervals of the suffix array with a
+common prefix are the maximal repeated passages, and the deepest one that holds a suffix has the larger of the prefixes it shares with its two
+neighbours. The passages' spans are unioned, and the covered fraction and the longest are limited.
 """
 
 from __future__ import annotations
@@ -15,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
-from .langid import pieces
+from .common import arrow_map, pieces
 from .simhash import words
 
 #: Base rules (fixed values of the contract): fewest words; most words, in percent, within repeated windows of three.
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 50, 3, 50
 #: The method's limits: repeats of fewer words don't count; covered words in percent; longest repeat in percent of the words.
-#: A passage and its repeat cover twice its words, so the last is under half of the one before, or it would decide nothing.
-MIN_PASSAGE, MAX_COVERED_PERCENT, MAX_LONGEST_PERCENT = 8, 40, 15
+#: The base rule fails over half of the words in repeats, so the second is well under that; a passage and its repeat cover
+#: twice its words, so the last is under half of the second, or it would decide nothing.
+MIN_PASSAGE, MAX_COVERED_PERCENT, MAX_LONGEST_PERCENT = 8, 30, 14
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 
 
@@ -41,7 +42,7 @@ def common_prefixes(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
     step, ranks = 1, []
     while True:
         new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # all of them are kept
         rank[order] = np.cumsum(new)
         ranks.append(rank)
         if new.all():
@@ -49,7 +50,7 @@ def common_prefixes(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np
         after = np.zeros(n, np.int64)
         has = np.arange(n) + step < ends
         after[has] = rank[np.flatnonzero(has) + step]
-        key = rank * (n + 1) + after
+        key = rank.astype(np.int64) * (n + 1) + after
         # Only places whose rank is still shared need sorting anew; they keep their part of the order.
         tied = ~new | ~np.concatenate([new[1:], [True]])
         at = np.flatnonzero(tied)

@@ -19,7 +19,7 @@ import regex
 from tokenizers import Tokenizer
 
 #: Pieces kept at most; then the cache begins anew.
-CACHE = 600_000
+CACHE = 300_000
 #: The pattern that byte-level vocabularies of this kind split by, and the bytes that stand for themselves.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VISIBLE = [(33, 126), (161, 172), (174, 255)]
