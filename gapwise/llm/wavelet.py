@@ -2,19 +2,23 @@
 
 A file holds the ids of consecutive documents as bit-planes, highest bit first. At each plane the ids whose bit is 0
 go, in order, before those whose bit is 1, and the next plane is of that order. With the number of ones before
-each block of a plane (rank) a single token, a token's count in any span, and its n-th place (select) are found
-by one step for each plane. Layout, all numbers little-endian:
+each chunk of a plane (rank) a single token, a token's count in any span, and its n-th place (select) are found
+by one step for each plane, for which one chunk of the plane is opened. Layout, all numbers little-endian:
 
-    b"WVM1", u32 bits, u64 tokens, u64 documents, then for each plane u64 zeros, u32 compressed bytes;
-    then zstd of the documents' lengths (u32 each); then each plane's zstd-compressed bits (eight to a byte, first highest)
+    b"WVM2", u32 bits, u64 tokens, u64 documents, u32 bytes of each of the three parts below
+    zstd of the documents' lengths (u32 each), their ids (i64 each) and whether they have one (u8 each)
+    zstd of, for each plane, u64 zeros and for each chunk u64 ones before it, u64 where it begins, the last one's end too
+    the chunks: zstd of CHUNK bits each (eight to a byte, first highest), plane after plane
 
-Files are written and read by Spark, one row (shard, first_doc, payload) for each, so that a lost executor's
-files are written again or not at all, and any store that Spark can reach will do.
+A file stands for itself: nothing else is needed to read it. Spark's text writer writes the bytes as they are, a file for each
+shard and one byte more at its end, so that its commit protocol holds: a lost executor's files are written again or not
+at all, and any store that Spark can reach will do. Spark's binary reader reads them back.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,60 +29,77 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize, small_side
+from .common import forget, materialize, pieces, scratch_dir, small_side
 from .tokens import encoder
 
-HEAD, PLANE, MAGIC = struct.Struct("<4sIQQI"), struct.Struct("<QI"), b"WVM1"
-#: A shard is closed once it has so many tokens; a document is never cut.
-SHARD_TOKENS = 1 << 20
+HEAD, MAGIC = struct.Struct("<4sIQQIII"), b"WVM2"
+#: A shard is closed once it has so many tokens; a document is never cut. Bits of a chunk. Bytes of ids in a range of documents, ranges at most.
+SHARD_TOKENS, CHUNK, RANGE_BYTES, RANGES = 1 << 20, 1 << 16, 16 << 20, 20_000
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of `ids`, which are those of documents of these lengths."""
+def encode(ids: np.ndarray, lengths: np.ndarray, docs: list[int | None] | None = None) -> bytes:
+    """The file of `ids`, which are those of documents of these lengths and doc_ids (without: 0, 1, 2 ...)."""
+    docs = list(range(len(lengths))) if docs is None else docs
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    ids, planes, press = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], zstandard.ZstdCompressor(level=1).compress
+    press = zstandard.ZstdCompressor(level=1).compress
+    ids, chunks, index, at = ids.astype(np.uint16 if bits <= 16 else np.uint32), [], [], 0
     for level in range(bits - 1, -1, -1):
         bit = (ids >> level & 1).astype(bool)
-        planes.append((len(ids) - int(np.count_nonzero(bit)), press(np.packbits(bit).tobytes())))
+        ones = np.concatenate([[0], np.cumsum(np.add.reduceat(bit, np.arange(0, len(bit), CHUNK), dtype=np.int64))]) if len(bit) else np.zeros(1, np.int64)
+        index.append(len(ids) - int(ones[-1]))
+        packed = np.packbits(bit).tobytes()
+        for k in range(-(-len(bit) // CHUNK)):
+            index += [int(ones[k]), at]
+            chunks.append(press(packed[k * CHUNK // 8 : (k + 1) * CHUNK // 8]))
+            at += len(chunks[-1])
+        index.append(at)
         ids = np.concatenate([ids[~bit], ids[bit]])
-    docs = press(lengths.astype("<u4").tobytes())
-    head = HEAD.pack(MAGIC, bits, len(ids), len(lengths), len(docs))
-    return b"".join([head, *(PLANE.pack(z, len(p)) for z, p in planes), docs, *(p for _, p in planes)])
+    names = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + np.array([d is not None for d in docs], np.uint8).tobytes()
+    parts = [press(lengths.astype("<u4").tobytes()), press(names), press(np.array(index, "<u8").tobytes())]
+    return b"".join([HEAD.pack(MAGIC, bits, len(ids), len(lengths), *map(len, parts)), *parts, *chunks])
 
 
 class WaveletMatrix:
-    """Reads a file; rank, select, access and count work on the planes, decode() gives all ids back."""
-
-    BLOCK = 512
+    """Reads a file; rank, select, access and count open the chunks that they need, decode() gives all ids back."""
 
     def __init__(self, data: bytes):
-        magic, self.bits, self.n, docs, size = HEAD.unpack_from(data)
+        magic, self.bits, self.n, docs, *sizes = HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet-matrix file")
-        heads = [PLANE.unpack_from(data, HEAD.size + k * PLANE.size) for k in range(self.bits)]
-        at, open_ = HEAD.size + self.bits * PLANE.size, zstandard.ZstdDecompressor().decompress
-        self.lengths = np.frombuffer(open_(data[at : at + size]), "<u4") if docs else np.zeros(0, np.uint32)
-        at, self.zeros, self.planes = at + size, [z for z, _ in heads], []
-        for _, size in heads:
-            self.planes.append(np.frombuffer(open_(data[at : at + size]), np.uint8) if self.n else np.zeros(0, np.uint8))
+        self._open, at, held = zstandard.ZstdDecompressor().decompress, HEAD.size, []
+        for size in sizes:
+            held.append(self._open(data[at : at + size]))
             at += size
-        self.ranks: list[np.ndarray] = []
+        self.data, self.at = data, at
+        self.lengths = np.frombuffer(held[0], "<u4")
+        has = np.frombuffer(held[1], np.uint8, docs, 8 * docs)
+        self.docs = [d if h else None for d, h in zip(np.frombuffer(held[1], "<i8", docs).tolist(), has.tolist(), strict=True)]
+        index, k = np.frombuffer(held[2], "<u8").astype(np.int64), -(-self.n // CHUNK)
+        index = index.reshape(self.bits, 2 * k + 2)
+        self.zeros, self.before, self.begin, self.end = index[:, 0].tolist(), index[:, 1:-1:2], index[:, 2:-1:2], index[:, -1]
+        self.chunks: dict[tuple[int, int], np.ndarray] = {}
+
+    def _bytes(self, level: int, k: int) -> bytes:
+        stop = self.begin[level, k + 1] if k + 1 < self.begin.shape[1] else self.end[level]
+        return self._open(self.data[self.at + self.begin[level, k] : self.at + stop])
+
+    def _chunk(self, level: int, k: int) -> np.ndarray:
+        """A chunk's bits; those opened are kept."""
+        if (level, k) not in self.chunks:
+            self.chunks[level, k] = np.unpackbits(np.frombuffer(self._bytes(level, k), np.uint8))
+        return self.chunks[level, k]
 
     def _ones(self, level: int, i: int) -> int:
         """Number of ones among the first i bits of a plane."""
-        if not self.ranks:
-            for p in self.planes:
-                ones = np.bitwise_count(p)
-                ones = np.pad(ones, (0, -len(ones) % (self.BLOCK // 8))).reshape(-1, self.BLOCK // 8).sum(axis=1)
-                self.ranks.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.int64))
-        block, plane = i // self.BLOCK, self.planes[level]
-        part = plane[block * self.BLOCK // 8 : (i + 7) // 8]
-        return int(self.ranks[level][block]) + int(np.unpackbits(part)[: i - block * self.BLOCK].sum())
+        k, rest = divmod(i, CHUNK)
+        if not rest:
+            return int(self.before[level, k]) if k < self.before.shape[1] else self.n - self.zeros[level]
+        return int(self.before[level, k]) + int(np.count_nonzero(self._chunk(level, k)[:rest]))
 
     def access(self, i: int) -> int:
         value = 0
         for level in range(self.bits):
-            bit = int(self.planes[level][i // 8]) >> (7 - i % 8) & 1
+            bit = int(self._chunk(level, i // CHUNK)[i % CHUNK])
             ones = self._ones(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
@@ -117,7 +138,8 @@ class WaveletMatrix:
         """All ids, undoing the planes from the last to the first."""
         ids = np.zeros(self.n, np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level])[: self.n].astype(bool)
+            plane = b"".join(self._bytes(level, k) for k in range(self.begin.shape[1]))
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8))[: self.n].astype(bool)
             out = np.empty_like(ids)
             out[~bit] = ids[: self.zeros[level]]
             out[bit] = ids[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
@@ -126,32 +148,31 @@ class WaveletMatrix:
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(doc_id, tie, ids): ids as little-endian numbers, two bytes each where the vocabulary allows it."""
+    """(doc_id, tie, wide, ids): ids as little-endian numbers, two bytes each where the vocabulary allows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         kind = "<u2" if max(enc.lib.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
         tail = np.array([end], kind).tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in enc.encode([t or "" for t in part.column(2).to_pylist()])]
-                wide = [kind == "<u4"] * len(ids)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(wide), pa.array(ids, pa.binary())], names=["doc_id", "tie", "wide", "ids"])
+            for lo, texts in pieces([t or "" for t in b.column(2).to_pylist()]):
+                ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in enc.encode(texts)]
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array([kind == "<u4"] * n), pa.array(ids, pa.binary())], names=["doc_id", "tie", "wide", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tie"), "text")
     return rows.mapInArrow(run, "doc_id long, tie long, wide boolean, ids binary")
 
 
-def write(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Encode all documents, in ascending doc_id order (null first; equal ids by a hash of the text), into files.
+def write(docs: DataFrame, tokenizer: str, end: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> None:
+    """Encode all documents, in ascending doc_id order (null first; equal ids by a hash of the text), into files under folder.
 
-    Returns the written table: part and shard (together in the order of the documents), tokens, payload (the file).
-    The ids alone are moved to sort them, never the texts.
+    A file's path has part=, shard= (together in the order of the documents) and tokens=. The ids alone are moved to sort
+    them, never the texts.
     """
     staged = materialize(tokenize(docs, tokenizer, end), "ids")
-    spark = docs.sparkSession
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), staged.count()))
+    size = staged.agg(F.sum(F.octet_length("ids")).alias("s")).first()["s"] or 0
+    parts = max(1, min(RANGES, -(-size // RANGE_BYTES)))
     ordered = staged.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,9 +182,8 @@ def write(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = SHARD_T
 
         def close() -> pa.RecordBatch:
             ids, lengths = np.concatenate(held), np.array([len(x) for x in held])
-            row = [[part], [shard], [len(ids)], [encode(ids, lengths)], [names]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "tokens", "payload", "docs"])
+            row = [[encode(ids, lengths, names)], [part], [shard], [len(ids)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.binary(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=["payload", "part", "shard", "tokens"])
 
         for b in batches:
             for doc, wide, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -176,11 +196,17 @@ def write(docs: DataFrame, tokenizer: str, end: int, shard_tokens: int = SHARD_T
         if held:
             yield close()
 
-    return materialize(ordered.mapInArrow(run, "part int, shard int, tokens long, payload binary, docs array<long>"), "wavelet")
+    files = ordered.mapInArrow(run, "payload binary, part int, shard int, tokens long")
+    files.withColumn("payload", F.col("payload").cast("string")).write.partitionBy("part", "shard", "tokens").text(folder)
+    forget(staged)
 
 
-def read(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from its file; start counts all ids before it."""
+def read(files: DataFrame, end: int | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from its file; start counts all ids before it.
+
+    files: part, shard, tokens, content. With end, the last token of each file's first document is looked up by rank as
+    well, and must be that.
+    """
     sizes = files.select("part", "shard", "tokens")
     before = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     parts = sizes.groupBy("part").agg(F.sum("tokens").alias("all"))
@@ -189,24 +215,37 @@ def read(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for payload, docs, base in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                matrix = WaveletMatrix(payload)
-                data, ends = matrix.decode().astype("<u4").tobytes(), np.cumsum(matrix.lengths, dtype=np.int64)
-                starts = ends - matrix.lengths
+            for content, base in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                matrix = WaveletMatrix(content.as_py())
+                ids, ends = matrix.decode(), np.cumsum(matrix.lengths, dtype=np.int64)
+                last = int(ends[0]) - 1
+                if end is not None and not matrix.access(last) == ids[last] == end:
+                    raise ValueError("a file's ranks and its tokens disagree")
+                data, starts = ids.astype("<u4").tobytes(), ends - matrix.lengths
                 crc = [zlib.crc32(data[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts + base), pa.array(matrix.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(matrix.docs, pa.int64()), pa.array(starts + base), pa.array(matrix.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(small_side(base), ["part", "shard"]).select("payload", "docs", "base")
+    rows = files.join(small_side(base), ["part", "shard"]).select("content", "base")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def files_of(spark, folder: str) -> DataFrame:
+    """part, shard, tokens and content of the files that `write` wrote; none if there were no documents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    told = lambda name, kind: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast(kind).alias(name)
+    return files.select(told("part", "int"), told("shard", "int"), told("tokens", "long"), "content")
+
+
 def token_stats(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
     """Write docs into files and read them back: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     Null text: as empty text, the end id alone. Null doc_ids come first, repeated rows side by side. An empty table
     gives no file and an empty result. Extra columns are not read.
     """
-    return read(write(docs, tokenizer, end))
+    spark = docs.sparkSession
+    folder = f"{scratch_dir(spark)}/wavelet-{uuid.uuid4().hex}"
+    write(docs, tokenizer, end, folder)
+    return read(files_of(spark, folder), end)
 
 
 def op8_wavelet(spark, sf_dir: str) -> DataFrame:
