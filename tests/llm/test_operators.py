@@ -102,6 +102,10 @@ def test_wavelet(odd):
     assert all(m.access(i) == ids[i] for i in range(0, 3000, 61))
     assert all(m.count(t, 50, 2000) == (ids[50:2000] == t).sum() for t in range(0, 400, 7))
     assert all(m.select(5, k) == x for k, x in enumerate(np.flatnonzero(ids == 5)))
+    big = rng.integers(0, 70_000, 200_000)  # several chunks
+    m = wavelet.WaveletMatrix(wavelet.encode(big, np.array([200_000]), [None]))
+    assert m.docs == [None] and all(m.access(i) == big[i] for i in range(0, 200_000, 9973)) and len(m.chunks) < 17 * 4
+    assert all(m.count(t) == (big == t).sum() for t in big[:20]) and m.select(int(big[150_000]), int((big[:150_000] == big[150_000]).sum())) == 150_000
     path = public_tokenizers.path("word_bpe_49k.json")
     got = wavelet.token_stats(odd, path).toPandas().sort_values("start")
     assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]] and len(got) == len(ODD)
@@ -109,6 +113,22 @@ def test_wavelet(odd):
     assert wavelet.token_stats(odd.limit(0), path).count() == 0
 
 
+def test_a_wavelet_file_stands_for_itself(odd, tmp_path):
+    """A file read by open() alone: ids are the library's, of the documents that it names, also token by token."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = tokens.Encoder(path).lib
+    wavelet.write(odd, path, 1, f"file://{tmp_path}/w", shard_tokens=100)
+    found = []
+    for f in sorted(tmp_path.glob("w/part=*/shard=*/tokens=*/part-*")):
+        m = wavelet.WaveletMatrix(f.read_bytes())
+        ids, ends = m.decode().tolist(), np.cumsum(m.lengths).tolist()
+        assert [m.access(i) for i in range(0, m.n, 997)] == ids[::997] and m.count(1) == ids.count(1)
+        found += [(d, ids[e - n : e]) for d, n, e in zip(m.docs, m.lengths.tolist(), ends, strict=True)]
+    want = [(d, [*lib.encode(t or "", add_special_tokens=False).ids, 1]) for d, t, *_ in ODD]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(found, key=key) == sorted(want, key=key) and [d for d, _ in found] == [None, 1, 2, 3, 3, 3, 5, 6]
+
+
 def test_join_hot(spark):
     rows = spark.createDataFrame([(k, i) for k, n in ((1, 200), (2, 3), (3, 1), (None, 2)) for i in range(n)], "k long, x long")
     side = rows.groupBy("k").agg(F.count("*").alias("n"), (F.max("k") * 10).alias("y")).where("k < 3")
@@ -161,8 +181,10 @@ def test_pii(odd, docs):
         assert pii.base_spans(t) == brute_pii(t)
     x, y = pii.made_up(150, seed=99)
     trees, least = pii.train(docs)
-    picked = trees.log_odds(x) > least
-    assert y[picked].mean() > 0.95 and picked[y == 1].mean() > 0.9
+    picked = trees.log_odds(x) >= least[x[:, 0].astype(int)]
+    for kind in range(4):
+        own = x[:, 0] == kind
+        assert y[own & picked].mean() > 0.95 and picked[own & (y == 1)].mean() > 0.8, kind
     rows = pii.scan(odd, (trees, least)).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" for r in rows)
     assert pii.find(odd.limit(0)).count() == 0
@@ -204,11 +226,14 @@ def test_quality(odd):
 
 def test_quality_longest_repeat_alone(spark):
     passage, rest = [f"p{i}" for i in range(190)], [f"r{i}" for i in range(620)]
-    short = [w for i in range(12) for w in [*(f"s{i}x{j}" for j in range(15))] * 2]  # 36% in passages of 15 words
-    texts = [[*passage, *rest, *passage], [*short, *(f"t{i}" for i in range(640))]]
+    short = [w for i in range(9) for w in [*(f"s{i}x{j}" for j in range(15))] * 2]  # 27% in passages of 15 words
+    passage, rest = passage[:145], [*rest, *(f"q{i}" for i in range(90))]
+    texts = [[*passage, *rest, *passage], [*short, *(f"t{i}" for i in range(730))]]
+    more = [w for i in range(12) for w in [*(f"s{i}x{j}" for j in range(15))] * 2]  # 36%: over the covered limit, no base rule
+    texts.append([*more, *(f"t{i}" for i in range(640))])
     rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_covered"], r["longest_repeat"], r["base_failed"], r["kept"]) for r in quality.judge(rows).collect()}
-    assert got == {0: (1000, 380, 190, False, False), 1: (1000, 360, 15, False, True)}
+    assert got == {0: (1000, 290, 145, False, False), 1: (1000, 270, 15, False, True), 2: (1000, 360, 15, False, False)}
 
 
 def test_sharding(odd, docs):
@@ -286,12 +311,38 @@ def test_pii_unknown_candidates_are_not_negatives(spark):
     x, y = pii.corpus_samples(rows)
     assert len(y) and not y.any() and {int(r[0]) for r in x} == {1, 2, 3}
     x, _ = pii.corpus_samples(rows, limit=100)
-    assert {int(r[0]) for r in x} == {1, 2, 3}
+    assert {int(r[0]) for r in x} == {1, 2, 3} and max(np.bincount(x[:, 0].astype(int))) <= 12
     model = pii.train(rows)
     told = [r["spans"] for r in pii.scan(rows.where("doc_id = 0"), model).collect()]
     assert sorted(told) == sorted(f"{k}:5:{5 + len(s)}" for k, s in zip(("phone", "ip", "email"), real, strict=True))
 
 
+def test_pii_adds_spans_of_each_kind_and_no_look_alikes(spark, docs):
+    """What base patterns miss is found, of every kind; dates, times, versions and wrong numbers are not; brute-force overlaps agree."""
+    good = [("email", "ann.lee [at] mailhost.com"), ("ip", "192[.]168[.]7[.]23"), ("card", "4111/1111/1111/1111"), ("phone", "(212) 555-0147")]
+    bad = ["2024-03-17", "10:20:30", "1234/5678/9012/3456", "512.700.300.999", "12 34 56"]
+    rows = spark.createDataFrame([(i, f"contact {g} please") for i, (_, g) in enumerate(good)] + [(100 + i, f"see {b} here") for i, b in enumerate(bad)], "doc_id long, text string")
+    model = pii.train(docs)
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(rows, model).collect()}
+    assert [got[i] for i in range(4)] == [f"{k}:8:{8 + len(g)}" for k, g in good] and not any(got[100 + i] for i in range(len(bad)))
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        spans = sorted((a, 0, a + n) for a, n in zip(rng.integers(0, 60, 6).tolist(), rng.integers(1, 20, 6).tolist(), strict=True))
+        a, e = sorted(rng.integers(0, 80, 2).tolist())
+        assert pii.Covered(spans).meets(a, e + 1) == any(p < e + 1 and a < q for p, _, q in spans)
+
+
+def test_pii_time_is_linear(spark, docs):
+    import time
+
+    text = "mail ann.lee@mailhost.com or +49 30 1234567, host 10.2.3.4; " * 34_000  # 2 MB
+    began = time.time()
+    base = pii.base_spans(text)
+    covered = pii.Covered(base)
+    assert sum(not covered.meets(a, e) for a, _, e in pii.candidates(text)) == 0 and len(base) == 3 * 34_000
+    assert time.time() - began < 30
+
+
 def test_pii_proposes_overlapping_spans():
     assert {(0, 2, 19), (5, 2, 24)} <= set(pii.candidates("2024 4111 1111 1111 1111"))
     assert (5, 3, 17) in pii.candidates("2024 212-555-0147 x")
