@@ -10,7 +10,7 @@ from .scan import running
 
 
 def _heads(df: DataFrame, distance: int) -> DataFrame:
-    """df with head, the start of each row's island, and first, whether the row begins it."""
+    """df with head, the start of each row's island, and first, whether the row begins it; no two rows tie in start, stop and ord."""
     order = ["start", "stop"] + ["ord"] * ("ord" in df.columns)
     prev = running(df, ["chrom"], order, "start", _prev=("max", "stop", "before"))
     first = F.col("_prev").isNull() | (F.col("start") > F.col("_prev") + distance)
@@ -19,7 +19,9 @@ def _heads(df: DataFrame, distance: int) -> DataFrame:
 
 def merge(df: DataFrame, distance: int = 0) -> DataFrame:
     """Overlapping and bookended intervals (or within distance) as one: chrom, start, stop. No order of rows is needed."""
-    return _heads(df.select("chrom", "start", "stop"), distance).groupBy("chrom", F.col("head").alias("start")).agg(F.max("stop").alias("stop"))
+    # Rows that tie in the order would be told apart differently by each window; of one start only the last stop counts.
+    longest = df.groupBy("chrom", "start").agg(F.max("stop").alias("stop"))
+    return _heads(longest, distance).groupBy("chrom", F.col("head").alias("start")).agg(F.max("stop").alias("stop"))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -42,6 +42,8 @@ def test_merge_fuses_neighbours_and_keeps_empty_tables_empty(spark):
     df = spark.createDataFrame([("c", 0, 5), ("c", 5, 9), ("c", 11, 12)], "chrom string, start long, stop long")
     assert spans(islands.merge(df)) == [("c", 0, 9), ("c", 11, 12)]
     assert islands.merge(df.limit(0)).count() == 0
+    same = spark.createDataFrame([("c", s, s + 3) for s in (0, 10, 20, 30) for _ in range(25)], "chrom string, start long, stop long").repartition(4)
+    assert spans(islands.merge(same)) == [("c", s, s + 3) for s in (0, 10, 20, 30)]
 
 
 def test_spacing_cluster(spark, small):
