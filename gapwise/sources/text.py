@@ -41,15 +41,27 @@ def _coordinate(i: int, on_bad: str) -> Column:
     return number
 
 
-def read_bed(spark: SparkSession, path: str | list[str], on_bad: str = "error", skip_track: bool = True) -> DataFrame:
-    """chrom, start, stop, name, score, strand, rest (all fields after the third), ord; rows of fewer than three fields go."""
+def parse_bed(lines: DataFrame, on_bad: str = "error", skip_track: bool = True, short_is_bad: bool = False) -> DataFrame:
+    """chrom, start, stop, name, score, strand, rest (all fields after the third), ord of lines (line, ord).
+
+    Rows of fewer than three fields go, or are an error if short_is_bad.
+    """
     if on_bad not in ("error", "zero", "skip"):
         raise ValueError("on_bad: error, zero or skip")
-    rows = records(read_lines(spark, path), skip_track).where(F.size("f") >= 3)
+    rows = records(lines, skip_track)
+    enough = F.size("f") >= 3
+    if short_is_bad:
+        rows = rows.where(F.when(enough, True).otherwise(F.raise_error(F.concat(F.lit("fewer than 3 fields: "), F.col("line"))).cast("boolean")))
+    rows = rows.where(enough)
     out = rows.select(F.col("f")[0].alias("chrom"), _coordinate(1, on_bad).alias("start"), _coordinate(2, on_bad).alias("stop"), *[F.get("f", F.lit(i)).alias(c) for i, c in ((3, "name"), (4, "score"), (5, "strand"))], F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))).alias("rest"), "ord")
     return out.where("start is not null and stop is not null")
 
 
+def read_bed(spark: SparkSession, path: str | list[str], on_bad: str = "error", skip_track: bool = True) -> DataFrame:
+    """The rows of files (see parse_bed)."""
+    return parse_bed(read_lines(spark, path), on_bad, skip_track)
+
+
 def read_bedgraph(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """chrom, start, stop, value (as written; "0" if there is none), ord."""
     return read_bed(spark, path, "skip").select("chrom", "start", "stop", F.coalesce(F.rtrim("name"), F.lit("0")).alias("value"), "ord")
