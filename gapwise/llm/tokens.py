@@ -18,8 +18,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Pieces kept at most; then the cache begins anew.
-CACHE = 300_000
+#: Pieces and words kept at most; then the cache of either begins anew. Words cost more to make, so they have one of their own.
+CACHE, WORD_CACHE = 500_000, 600_000
 #: The pattern that byte-level vocabularies of this kind split by, and the bytes that stand for themselves.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VISIBLE = [(33, 126), (161, 172), (174, 255)]
@@ -86,6 +86,7 @@ class Encoder:
             except KeyError:
                 if len(self.pieces) > CACHE:
                     self.pieces.clear()
+                if len(self.words) > WORD_CACHE:
                     self.words.clear()
                 for p in set(parts):
                     if p not in self.pieces:
