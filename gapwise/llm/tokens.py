@@ -13,6 +13,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import regex
@@ -24,7 +25,7 @@ CACHE, WORD_CACHE = 500_000, 600_000
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VISIBLE = [(33, 126), (161, 172), (174, 255)]
 
-_UNSURE = re.compile(r"[\x1c-\x1f\x85\xa0İΣ]|[^\x00-߿]")
+_UNSURE = re.compile(r"[\x1c-\x1f\x85\xa0İΣࠀ-\U0010ffff]")
 _PIECE = re.compile(r"\s*\S+|\s+")
 _HELD: dict[str, Encoder] = {}
 
@@ -38,6 +39,21 @@ def _byte_letters() -> dict[int, int]:
     return table
 
 
+class _Learned(dict):
+    """Ids by text, made when a text is first met; begins anew once it holds `most`."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.make(text)
+        if len(self) >= self.most:
+            self.clear()
+        self[text] = ids
+        return ids
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) has them."""
 
@@ -56,8 +72,8 @@ class Encoder:
         elif lower and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and not steps[1].get("use_regex"):
             self.split, self.pattern = str.split, regex.compile(steps[0]["pattern"]["Regex"])
         self.letters = _byte_letters()
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = _Learned(self._word, WORD_CACHE)
+        self.pieces = _Learned(self._piece, CACHE)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,34 +81,19 @@ class Encoder:
     def _whole(self, text: str) -> bool:
         return self.split is None or _UNSURE.search(text) is not None or any(s in text for s in self.special) or self.lower and not text.isascii() and not unicodedata.is_normalized("NFC", text)
 
-    def _learn(self, piece: str) -> None:
-        out = []
-        for word in self.pattern.findall(piece.lower() if self.lower else piece):
-            if (ids := self.words.get(word)) is None:
-                letters = word.encode().decode("latin-1").translate(self.letters)
-                ids = self.words[word] = array("I", [t.id for t in self.merge(letters)]).tobytes()
-            out.append(ids)
-        self.pieces[piece] = b"".join(out)
+    def _word(self, word: str) -> bytes:
+        letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        text = piece.lower() if self.lower else piece
+        if text.isalpha() or text[0] == " " and text[1:].isalpha():  # the pattern takes it whole
+            return self.words[text]
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if self._whole(text):
-                out.append(self._plain(text))
-                continue
-            parts = self.split(text)
-            try:
-                out.append(b"".join(map(self.pieces.__getitem__, parts)))
-            except KeyError:
-                if len(self.pieces) > CACHE:
-                    self.pieces.clear()
-                if len(self.words) > WORD_CACHE:
-                    self.words.clear()
-                for p in set(parts):
-                    if p not in self.pieces:
-                        self._learn(p)
-                out.append(b"".join(map(self.pieces.__getitem__, parts)))
-        return out
+        known = self.pieces.__getitem__
+        return [self._plain(t) if self._whole(t) else b"".join(map(known, self.split(t))) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
