@@ -53,7 +53,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, docs: list[int | None] | None =
             chunks.append(press(packed[k * CHUNK // 8 : (k + 1) * CHUNK // 8]))
             at += len(chunks[-1])
         index.append(at)
-        ids = np.concatenate([ids[~bit], ids[bit]])
+        ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
     names = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + np.array([d is not None for d in docs], np.uint8).tobytes()
     parts = [press(lengths.astype("<u4").tobytes()), press(names), press(np.array(index, "<u8").tobytes())]
     return b"".join([HEAD.pack(MAGIC, bits, len(ids), len(lengths), *map(len, parts)), *parts, *chunks])
@@ -136,13 +136,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids, undoing the planes from the last to the first."""
-        ids = np.zeros(self.n, np.uint32)
+        ids = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             plane = b"".join(self._bytes(level, k) for k in range(self.begin.shape[1]))
-            bit = np.unpackbits(np.frombuffer(plane, np.uint8))[: self.n].astype(bool)
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
             out = np.empty_like(ids)
-            out[~bit] = ids[: self.zeros[level]]
-            out[bit] = ids[self.zeros[level] :] | np.uint32(1 << (self.bits - 1 - level))
+            out[np.flatnonzero(~bit)] = ids[: self.zeros[level]]
+            out[np.flatnonzero(bit)] = ids[self.zeros[level] :] | ids.dtype.type(1 << (self.bits - 1 - level))
             ids = out
         return ids
 
