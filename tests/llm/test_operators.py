@@ -68,6 +68,19 @@ def test_tokens_are_the_librarys():
             assert np.frombuffer(ids, "<u4").tolist() == enc.lib.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_random_texts_and_small_caches():
+    """Blanks, contractions, digits, marks and cases in any order, with caches that begin anew all the time."""
+    rng = np.random.default_rng(6)
+    letters = list("abcXYZ  '\n\t.,12éßñ'sǅ\u0301ªµĀж²١")
+    texts = ["", " ", "  a", " a", "'s", " 's", *("".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(1500))]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        enc = tokens.Encoder(public_tokenizers.path(name))
+        for most in (500_000, 20):
+            enc.pieces.most = enc.words.most = most
+            for t, ids in zip(texts, enc.encode(texts), strict=True):
+                assert np.frombuffer(ids, "<u4").tolist() == enc.lib.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(odd, path, ids=True).toPandas()
