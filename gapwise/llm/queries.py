@@ -16,4 +16,4 @@ def _shipped(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
 
 _OPERATORS = [mixing.op1_mixing, langid.op2_langid, packing.op3_packing, simhash.op4_simhash, pii.op5_pii, quality.op6_quality, sharding.op7_sharding, wavelet.op8_wavelet, secrets.op9_secrets, topk.op10_topk]
 QUERIES = {f.__name__: _shipped(f) for f in _OPERATORS}
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op10_topk": topk.OP10_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op6_quality": quality.OP6_SQL, "op10_topk": topk.OP10_SQL}
