@@ -18,6 +18,7 @@ rule out little, and the work is that of comparing all queries with all rows, in
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import arrow_map, materialize, small_side
 K, SCALE, EVERY = 5, 256, 50
 #: Rows of a page (one tree) in the mean, pivots at most (beyond, pages of a pivot are several), entries of a node, queries of a block.
 PAGE_ROWS, PIVOTS, NODE, BLOCK = 8192, 20_000, 256, 4096
+#: Pairs of a query and a page whose bounds are held at once.
+VISIT_CELLS = 1 << 18
 SLACK = 1e-6
 
 
@@ -196,27 +199,33 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "emb
     built = materialize(dealt.groupBy("page", "cut").applyInArrow(build, kind), "pages")
     pages = built.where("what = 'page'")
     outlines = pages.select("page", "cut", "v", "radius").toArrow()  # one row for each page, bounded as the pivots are
-    held = rows.sparkSession.sparkContext.broadcast([(outlines.column("page").to_numpy(), outlines.column("cut").to_numpy(), outlines.column("v").to_pylist(), outlines.column("radius").to_numpy())])
-
-    def visits(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        page, part, centres, radius = held.value[0]
-        out = []
-        for own, own_cut, q, least, v in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            fits = np.array([len(c) == len(v) for c in centres])
-            x = np.array(v)
-            at = np.flatnonzero(fits & ((page != own) | (part != own_cut)))
-            if not len(at):
-                continue
-            high = np.array([centres[i] for i in at]) @ x + np.sqrt(x @ x) * radius[at]
-            if least is not None:
-                at = at[high * (1 + np.sign(high) * SLACK) + SLACK >= least]
-            out += [(int(page[i]), int(part[i]), q, least, v) for i in at]
-        if not out:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64())), strict=True)], names=["page", "cut", "query", "least", "v"])
+    page, part, radius, centres = outlines.column("page").to_numpy(), outlines.column("cut").to_numpy(), outlines.column("radius").to_numpy(), outlines.column("v").to_pylist()
+    length, by_length = np.array([len(c) for c in centres], np.int64), {}
+    for d in np.unique(length).tolist():
+        at = np.flatnonzero(length == d)
+        by_length[d] = page[at], part[at], radius[at], np.array([centres[i] for i in at]).reshape(len(at), d)
+    held = rows.sparkSession.sparkContext.broadcast(by_length)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length = b.column(4).value_lengths().to_numpy(zero_copy_only=False)
+            own, own_part, least = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            for d in np.unique(length).tolist():
+                page, part, radius, centres = held.value[d]
+                asked = np.flatnonzero(length == d)
+                step = max(1, VISIT_CELLS // len(page))
+                for at in (asked[i : i + step] for i in range(0, len(asked), step)):
+                    x = _matrix(b.column(4).take(pa.array(at)), len(at))
+                    high = x @ centres.T + np.sqrt((x**2).sum(axis=1))[:, None] * radius[None, :]
+                    goes = high * (1 + np.sign(high) * SLACK) + SLACK >= least[at][:, None]
+                    goes &= (page[None, :] != own[at][:, None]) | (part[None, :] != own_part[at][:, None])
+                    q, to = np.nonzero(goes)
+                    if len(q):
+                        sent = b.take(pa.array(at[q]))
+                        yield pa.RecordBatch.from_arrays([pa.array(page[to]), pa.array(part[to], pa.int32()), sent.column(2), sent.column(3), sent.column(4)], names=["page", "cut", "query", "least", "v"])
 
     queries = built.where("what = 'query'")
-    pairs = materialize(arrow_map(queries.select("page", "cut", "query", "score", "v"), visits, "page long, cut int, query long, least long, v array<double>"), "page-visits")
+    pairs = materialize(queries.select("page", "cut", "query", "score", "v").mapInArrow(visits, "page long, cut int, query long, least long, v array<double>"), "page-visits")
     blocks = materialize(pairs.groupBy("page", "cut").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "page-blocks")
     asked = pairs.join(small_side(blocks), ["page", "cut"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
     sent = pages.select("page", "cut", "tree").join(small_side(blocks), ["page", "cut"]).select("page", "cut", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
