@@ -1,0 +1,188 @@
+"""Source divergence, token counts and sort-means against SQL, the tokenizers library and plain Python, on whole tables and odd rows."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from test_operators import KIND, ODD, SF, same_as_sql
+
+from gapwise.llm import divergence, sortmeans, token_counts, tokens
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+BYTE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def brute_audit(rows, least=10, k=10):
+    """rows: (lang, source, text)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    found = [(lang, source, [re.sub("[A-Z]", lambda m: m.group().lower(), t) for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text)]) for lang, source, text in rows]
+    out = []
+    for lang in {r[0] for r in rows}:
+        df = Counter(t for g, _, ts in found if g == lang for t in set(ts))
+        kept = {t for t, n in df.items() if n >= least}
+        counts = defaultdict(Counter)
+        for g, source, ts in found:
+            if g == lang:
+                counts[source].update(t for t in ts if t in kept)
+        prob = lambda c: {t: 1 + 10**9 * (c[t] + 2) // (sum(c.values()) + 2 * len(kept)) for t in kept}
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        p, q = {s: prob(c) for s, c in counts.items()}, prob(sum(counts.values(), Counter()))
+        for s in p:
+            pairs = [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in p if o != s]
+            terms = [(f(p[s][t], q[t]), t) for t in kept if counts[s][t] > 0 and p[s][t] > q[t]]
+            for part, items in (("pair", pairs), ("term", terms)):
+                for rank, (v, item) in enumerate(sorted(items, key=lambda x: (-x[0], x[1].encode())), 1):
+                    if part == "pair" or rank <= k:
+                        out.append((lang, s, part, item, v, rank))
+    return sorted(out)
+
+
+def told(df):
+    return sorted((r["lang"], r["source"], r["part"], r["item"], r["value"], r["rank"]) for r in df.collect())
+
+
+def test_divergence_is_what_sql_counts(spark):
+    same_as_sql(divergence.op11_divergence(spark, SF), divergence.OP11_SQL, "documents")
+
+
+def test_divergence_of_odd_rows(spark):
+    odd = spark.createDataFrame(ODD, KIND).select("*", *[F.lit("clash").alias(c) for c in ("n", "term", "gid", "p", "rank", "part", "item", "docs")])
+    want = brute_audit([(r[2], r[3], r[1]) for r in ODD], least=1)
+    assert told(divergence.audit(odd, least_docs=1)) == want and any(r[2] == "term" for r in want)
+    none = told(divergence.audit(odd))  # no term is in ten documents
+    assert none == brute_audit([(r[2], r[3], r[1]) for r in ODD]) and {r[4] for r in none} == {0}
+    assert divergence.audit(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_divergence_with_ties_turns_and_parts(spark, monkeypatch, seed):
+    """Many equal values at the k-th place, a hot source, one bucket a turn, several parts and texts split in between."""
+    monkeypatch.setattr(divergence, "PAIRS", 50)
+    monkeypatch.setattr(divergence, "HELD_TERMS", 100)
+    rng = random.Random(seed)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["É", "é", "straße", "日本"]
+    rows = [(rng.choice(["x", "y", None]), rng.choice(["hot"] * 5 + ["a", "b", "ü", "", None]), " ".join(rng.choices(words, [1 / (1 + i) for i in range(len(words))], k=rng.randrange(60)))) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(7)
+    assert told(divergence.audit(docs, least_docs=3)) == brute_audit(rows, least=3)
+    postings = spark.createDataFrame([(1, f"t{i:03}", i // 7, 100 + i // 3, 90) for i in range(200)], "gid long, term string, bucket int, p long, q long")
+    top = sorted((r["rank"], r["term"]) for r in divergence.top_terms(postings, 10, first=1).collect())
+    want = sorted(((100 + i // 3 - 90) ** 2 // (190 + i // 3), f"t{i:03}") for i in range(200))
+    assert [t for _, t in top] == [t for _, t in sorted(want, key=lambda x: (-x[0], x[1]))[:10]]
+
+
+def test_terms_are_cut_at_separators(monkeypatch):
+    monkeypatch.setattr(divergence, "SPLIT_BYTES", 5)
+    text = "Abc dé-fgh\x00 IJK1lmn ÄÖ zzzzzzzzzzzzzzz y"
+    found = [t.decode() for part in divergence.terms_of(text.encode()) for t in part]
+    assert found == ["abc", "dé", "fgh", "ijk", "lmn", "ÄÖ", "zzzzzzzzzzzzzzz", "y"]
+
+
+def library_counts(texts, path=BYTE):
+    lib = tokens.Tokenizer.from_file(path)
+    return [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def test_token_counts_are_the_librarys(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.count_tokens(docs, BYTE).collect()}
+    want = library_counts(texts.values())
+    assert got == {d: (len((t or "").encode()), n, n > 1024) for (d, t), n in zip(texts.items(), want, strict=True)}
+
+
+HARD = ["a<|endoftext|>b", "<|endoftext|><|endoftext|> <|endoftext", "  two  blanks \n\n lines\t tabs ", "é" * 50 + " " + "日本語 text " * 30, "x" * 5000, " " * 5000, "don't we'll I'm 's 't " * 50, "a b c 12 345 6a7 " * 40, "<|endof text|> " * 40, "𝒳 😀 " * 60, "", None]
+
+
+def test_token_counts_of_cut_texts(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE_CHARS", 7)
+    for t in filter(None, HARD):
+        parts = list(token_counts.cut(t, 7))
+        assert "".join(parts) == t and sum(library_counts(parts)) == library_counts([t])[0]
+    got = [0] * len(HARD)
+    for numbers, held in token_counts.batched(iter(HARD), True, 300, 40):
+        assert len(held) == 1 or sum(len(x.encode()) for x in held) <= 300
+        for i, n in zip(numbers, token_counts.counter(BYTE).lengths(held), strict=True):
+            got[i] += n
+    assert got == library_counts(HARD)
+    rows = spark.createDataFrame([(i if i else None, t, "kept", "gone") for i, t in enumerate(HARD + HARD)], "doc_id long, text string, other string, n_tokens string")
+    out = token_counts.count_tokens(rows, BYTE, limit=50).collect()
+    assert Counter((r["other"], r["n_tokens"], r["over_limit"]) for r in out) == Counter(("kept", n, n > 50) for n in library_counts(HARD) * 2)
+    assert token_counts.count_tokens(rows.limit(0), BYTE).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_token_counts_of_other_vocabularies(spark, name):
+    path = public_tokenizers.path(name)
+    rows = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(rows, path).collect()}
+    if name.endswith(".json"):
+        want = library_counts(HARD, path)
+    else:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        want = [len(model.encode(t or "")) for t in HARD]
+    assert got == dict(enumerate(want))
+    with pytest.raises(ValueError):
+        token_counts.counter("some.txt")
+
+
+def brute_clusters(rows, k, rounds, size):
+    """rows: (vec_id, integer components)."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, hashlib.sha256(f"2:{rows[i][0]}".encode()).hexdigest() if rows[i][0] is not None else "", rows[i][1]))
+    cents = [list(rows[i][1]) for i in order[:k]]
+    near = lambda x: min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), j) for j, c in enumerate(cents))
+    for _ in range(rounds):
+        own = [near(x)[1] for _, x in rows]
+        for j in set(own):
+            of = [x for (_, x), o in zip(rows, own, strict=True) if o == j]
+            cents[j] = [sum(c) // len(of) for c in zip(*of, strict=True)]
+    last = [near(x) for _, x in rows]
+    each = Counter()
+    for d, j in last:
+        each[j] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in cents]
+    return Counter((v, j, d, each[j], sum(each.values()), sha[j]) for (v, _), (d, j) in zip(rows, last, strict=True))
+
+
+def clusters(df):
+    return Counter((r["vec_id"], r["cluster"], r["distance"], r["cluster_inertia"], r["inertia"], r["centroid_sha256"]) for r in df.collect())
+
+
+def test_clusters_are_what_sql_counts(spark):
+    same_as_sql(sortmeans.op13_clusters(spark, SF), sortmeans.OP13_SQL, "embeddings")
+
+
+def test_clusters_of_odd_rows(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(30)]), [rng.choice([-2.5, -1.0, 0.0, 0.001, 3.0]) for _ in range(3)]) for _ in range(150)] + [(7, [1.0, 1.0, 1.0])] * 60
+    bad = [(1, None), (2, [1.0, 2.0]), (3, [1.0, None, 2.0]), (4, [float("nan"), 0.0, 0.0]), (5, [float("inf"), 0.0, 0.0]), (6, []), (8, [1.0] * 4)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").select("*", *[F.lit("clash").alias(c) for c in ("v", "cluster", "n", "_h", "sums")]).repartition(5)
+    whole = [(v, [int(np.floor(256 * c)) for c in x]) for v, x in rows]
+    for k, rounds in ((6, 4), (500, 1), (1, 2)):
+        assert clusters(sortmeans.cluster(df, k, rounds, size=3)) == brute_clusters(whole, k, rounds, 3)
+    assert sortmeans.cluster(df.limit(0), size=3).count() == 0
+    huge = spark.createDataFrame([(1, [1e30]), (2, [-1e30]), (3, [0.0])], "vec_id long, embedding array<double>")
+    top = 1 << 27
+    assert clusters(sortmeans.cluster(huge, 2, 2, size=1)) == brute_clusters([(1, [top]), (2, [-top]), (3, [0])], 2, 2, 1)
+
+
+def test_scan_stops_early_and_keeps_ties():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-2000, 2000, (40, 8))
+    x = np.concatenate([centres[rng.integers(0, 40, 3000)] + rng.integers(-60, 60, (3000, 8)), rng.integers(-3, 3, (500, 8)), (centres[:20] + centres[20:]) // 2])
+    scan = sortmeans.Scan(centres)
+    d = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    start = d.argmin(axis=1)
+    for first in (start, rng.integers(0, 40, len(x))):
+        best, least, made = scan.nearest(x, first)
+        assert (best == d.argmin(axis=1)).all() and (least == d.min(axis=1)).all()
+        if first is start:
+            assert made < d.size / 4
+    line = sortmeans.Scan(np.array([[10], [0], [20], [0]]))  # 10 is as far from 0 as from 20, and twice as far as 5 is from both
+    assert line.nearest(np.array([[5], [15], [0]]), np.array([3, 2, 3]))[0].tolist() == [0, 0, 1]
