@@ -130,6 +130,23 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFram
     return marked.where("_side is not null").select(*out).unionByName(rest.select(*out))
 
 
+def least_hashed(rows: DataFrame, text: str, n: int, by: str | None = None) -> DataFrame:
+    """One row for each of the n distinct texts of the least 63-bit hashes, or of the n of each value of `by`, with _h, the hash.
+
+    A bounded sample of any table: copies of a text are one, and n are taken wherever there are as many. One number for each
+    distinct text is shuffled, no text. Null texts take no part.
+    """
+    keys = [by] if by else []
+    hashed = rows.where(F.col(text).isNotNull()).withColumn("_h", F.shiftrightunsigned(F.xxhash64(text), 1))
+    distinct = hashed.select(*keys, "_h").distinct()
+    if not by:
+        cut = distinct.orderBy("_h").limit(n).agg(F.max("_h").alias("c")).first()["c"]
+        return hashed.where(F.col("_h") <= F.lit(cut).cast("long")).dropDuplicates(["_h"])
+    rank = F.row_number().over(W.partitionBy(by).orderBy("_h"))
+    cuts = distinct.withColumn("_r", rank).where(F.col("_r") <= n).groupBy(by).agg(F.max("_h").alias("_cut"))
+    return hashed.join(small_side(materialize(cuts, "sample-cuts")), by).where(F.col("_h") <= F.col("_cut")).drop("_cut").dropDuplicates([by, "_h"])
+
+
 def word_count(text: Column) -> Column:
     """Number of words in text; null: 0."""
     return F.coalesce(F.size(F.split(text, WORD, -1)) - 1, F.lit(0)).cast("long")

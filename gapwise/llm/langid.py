@@ -13,17 +13,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import arrow_map, extend, pieces
+from .common import arrow_map, extend, least_hashed, pieces
 
 #: Sizes of the model: bits of hash buckets, longest n-gram, bits of cells (languages times buckets) at most. More
 #: languages than fit have fewer buckets each.
 BUCKET_BITS, MAX_N, CELL_BITS = 16, 4, 24
-#: Training takes so many documents of a language at most, in expectation, chosen by hash.
+#: Training takes so many distinct texts of a language at most, those of the least hashes.
 TRAIN_DOCS = 4000
 #: Floors of the mean log-likelihood an n-gram: the median of a language's training documents, each scored without its own
 #: counts, less SPREADS times the distance to their QUANTILE, less SLACK over the root of the text's n-grams. Of a language
-#: CALIBRATE_DOCS are scored, in expectation; with under LEAST_DOCS it has no floor.
+#: CALIBRATE_DOCS are scored at most; with under LEAST_DOCS it has no floor.
 SPREADS, QUANTILE, SLACK, CALIBRATE_DOCS, LEAST_DOCS = 5.0, 0.01, 10.0, 1000, 20
 UNKNOWN = "und"
 
@@ -49,6 +50,7 @@ def ngrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.nd
     doc = np.repeat(np.arange(len(low), dtype=np.int32), [len(t) for t in low])
     letter = _letters()[np.minimum(cp, 65535)]
     keep = letter | np.concatenate([[True], letter[:-1]]) if len(cp) else letter
+    keep[np.cumsum([0, *map(len, low)])[:-1]] = True  # each text's leading blank, wherever it lies among others
     cp, doc = np.where(letter, cp, 32).astype(np.uint32)[keep], doc[keep]
     buckets, docs, h = [], [], cp * np.uint32(0x9E3779B1)
     for n in range(1, MAX_N + 1):
@@ -66,16 +68,14 @@ def ngrams(texts: list[str], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.nd
 def counts(labelled: DataFrame, text: str = "text", label: str = "lang", docs_per_label: int = TRAIN_DOCS, alpha: float = 0.5) -> tuple[list[str], np.ndarray, DataFrame | None]:
     """(languages, n-gram counts plus alpha, the sample that was counted) of labelled rows; rows without text or label are left out.
 
-    The sample has t, l and share, the part of its language's rows that it takes.
+    The sample (t, l, and _h, the text's hash) has the docs_per_label distinct texts of the least hashes of each language.
     """
     rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # one row for each language
-    langs = sorted(sizes)
+    langs = [r["l"] for r in rows.select("l").distinct().orderBy("l").collect()]  # one row for each language
     if not langs:
         return [], np.zeros((0, 1 << BUCKET_BITS)), None
     bits = bucket_bits(len(langs))
-    shares = labelled.sparkSession.createDataFrame([(name, min(1.0, docs_per_label / n)) for name, n in sizes.items()], "l string, share double")
-    picked = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * 1_000_003).select("t", "l", "share")
+    picked = least_hashed(rows, "t", docs_per_label, "l")
     index = {name: i for i, name in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +114,14 @@ def floors(langs: list[str], table: np.ndarray, picked: DataFrame, docs_per_labe
         table, out = held.value, []
         sums = table.sum(axis=1)
         for t, l in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            bucket, doc = ngrams(["", t], bits)  # not first, as a batch's first text alone keeps its leading blank
-            bucket = bucket[doc == 1]
+            bucket, _ = ngrams([t], bits)
             at, place, own = np.unique(bucket, return_inverse=True, return_counts=True)
             left = (table[index[l]][at] - own)[place]
             out.append(float(np.log(left / (sums[index[l]] - len(bucket))).mean()) if any(map(str.isalpha, t)) else None)
         return pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.float64())], names=["l", "fit"])
 
-    parts = picked.groupBy("l").agg(F.least(F.lit(1.0), F.lit(docs_per_label) / F.count("*")).alias("part"))  # one row for each language
-    own = picked.join(F.broadcast(parts), "l").where(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < F.col("share") * F.col("part") * 1_000_003)
+    rank = F.row_number().over(W.partitionBy("l").orderBy("_h"))
+    own = picked.withColumn("_r", rank).where(F.col("_r") <= docs_per_label)
     found = arrow_map(own.select("t", "l"), score, "l string, fit double").where("fit is not null").groupBy("l").agg(F.count("*").alias("n"), F.percentile("fit", [0.5, QUANTILE]).alias("q")).collect()
     out = np.full(len(langs), -np.inf)
     for r in found:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_map
+from .common import arrow_map, least_hashed
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Base patterns (fixed values of the contract). A lookbehind marks where a run of digits begins: later starts in it fail alike.
@@ -255,13 +255,11 @@ def made_up(n: int = MADE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
 
 
 def corpus_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, limit: int = SAMPLE_CANDIDATES) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of candidates in a bounded sample of documents, those of unknown label left out (see label).
+    """Features and labels of candidates in the sample_docs distinct texts of the least hashes, those of unknown label left out (see label).
 
     Of each kind and label the `limit` / 8 rows of the least hashes of text and place stay.
     """
-    n = docs.count()
-    share = min(1.0, sample_docs / n) if n else 0.0
-    picked = docs.select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + (share >= 1)))
+    picked = least_hashed(docs.select("text"), "text", sample_docs).select("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x, y, h = [], [], []

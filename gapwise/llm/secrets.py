@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
+
 #: Base patterns (fixed values of the contract), their kinds in order, and what a match must have.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]+"
@@ -118,11 +120,9 @@ def cells(token: Column) -> Column:
 def corpus_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, random_strings: int = SAMPLE_RANDOM) -> DataFrame:
     """(token, random) labelled samples: base matches and generated strings are random, other words are ordinary.
 
-    A bounded number of documents, chosen by a hash of their text, is read for them.
+    The `sample_docs` distinct texts of the least hashes are read for them (see least_hashed), however many there are.
     """
-    n = docs.count()
-    share = min(1.0, sample_docs / n) if n else 0.0
-    picked = docs.select(F.col("text").alias("t")).where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(share * 1_000_003) + (share >= 1))
+    picked = least_hashed(docs.select(F.col("text").alias("t")), "t", sample_docs).select("t")
     strip = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9+/_=-]", "")
     secret = [picked.select(F.explode(F.regexp_extract_all("t", F.lit(p), F.lit(g))).alias("m")) for p, g in ((ASSIGN, 2), (LONG_ACCESS, 0), (LONG_HEX, 0))]
     rest = F.col("t")
@@ -173,8 +173,11 @@ def train(samples: DataFrame) -> tuple[list[float], float]:
     """(log ratios, least gain): ratios from most of the samples, the least gain from ordinary ones that are held out.
 
     samples: token, random (boolean). The least gain is that over which the best stretch of 1 - CLEAN of the ordinary
-    strings held out lies, LEAST_GAIN at least.
+    strings held out lies, LEAST_GAIN at least. Without ordinary words among the samples it is infinite: the method then
+    finds nothing.
     """
+    if not samples.where(~F.col("random") & F.col("token").rlike("[A-Za-z]")).limit(1).count():
+        return [0.0] * (SPAN * SPAN), math.inf
     held = F.pmod(F.xxhash64("token"), F.lit(1000)) < int(1000 * HELD_OUT)
     ratios = log_ratios(samples.where(~held))
     tokens = samples.where(held & ~F.col("random")).select("token").distinct()
