@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 import pandas as pd
@@ -29,7 +29,7 @@ class Printed(NamedTuple):
     cells: list[Column | str]
     order: list[Column | str]
     head: list[str] = []
-    notes: list[str] = []
+    notes: Iterable[str] = ()
     code: int = 0
 
 
@@ -39,6 +39,7 @@ READS = {
     **dict.fromkeys(["closest", "multiinter", "unionbedg", "reldist", "maskfasta", "shuffle"], "skip"),
 }
 SHORT = {"fisher", "jaccard", "intersect", "subtract"}
+SIGNED = {"cluster", "shift", "reldist"}
 SKIPS_TRACKS = {"intersect", "subtract", "fisher", "jaccard", "unionbedg", "sort", "merge", "complement"}
 
 
@@ -60,7 +61,7 @@ class Command:
         self.s, self.a, self.op = spark, a, a.operator
 
     def bed(self, i: int) -> DataFrame:
-        return text.parse_bed(_lines(self.s, self.a.files[i]), READS.get(self.op, "zero"), self.op in SKIPS_TRACKS, self.op in SHORT)
+        return text.parse_bed(_lines(self.s, self.a.files[i]), READS.get(self.op, "zero"), self.op in SKIPS_TRACKS, self.op in SHORT, self.op in SIGNED)
 
     def records(self, i: int) -> DataFrame:
         return text.records(_lines(self.s, self.a.files[i]))
@@ -69,7 +70,7 @@ class Command:
         return text.read_genome(self.s, self.a.files[i])
 
     def fasta(self, i: int) -> DataFrame:
-        return text.read_fasta(self.s, self.a.files[i])
+        return text.read_fasta_blocks(self.s, self.a.files[i])
 
     def names(self, default: str = "{}") -> list[str]:
         return self.a.names.split(",") if self.a.names else [default.format(i + 1) for i in range(len(self.a.files))]
@@ -170,7 +171,7 @@ class Command:
         return self._pairs(found, "b_chrom", "b_start", "b_stop", "b_rest")
 
     def do_annotate(self) -> Printed:
-        out = nearest.annotate(self.bed(0), text.features(text.read_gff(self.s, self.a.files[1]), self.a.type, self.a.attribute))
+        out = nearest.annotate(self.bed(0), text.features(text.read_gff(self.s, self.a.files[1]), self.a.type or "gene", self.a.attribute))
         return Printed(out, ["chrom", "start", "stop", "rest", "feature", "dist"], ["ord"])
 
     def do_map(self) -> Printed:
@@ -313,9 +314,11 @@ class Command:
     def do_getfasta(self) -> Printed:
         bed, fa = self.bed(0), self.fasta(1)
         out = sequences.get_fasta(bed, fa, strict=True)
-        left = bed.join(out.select("ord"), "ord", "left_anti").select("chrom", "start", "stop").orderBy("ord").limit(100).collect()
+        bare = F.format_string("Feature (%s:%d-%d) has length = 0, Skipping.", "chrom", "start", "stop")
+        beyond = F.format_string("Feature (%s:%d-%d) beyond the length of %s size (%d bp).  Skipping.", "chrom", "start", "stop", "chrom", "len")
+        left = sequences.fits(bed, fa, strict=True).where("not fit").orderBy("ord").select(F.when(F.col("start") >= F.col("stop"), bare).otherwise(beyond).alias("line"))
         lines = out.select("ord", F.posexplode(F.array(F.concat(F.lit(">"), "header"), F.col("seq"))).alias("k", "line"))
-        return Printed(lines, ["line"], ["ord", "k"], notes=[f"left out: {r['chrom']}:{r['start']}-{r['stop']} is empty or past the end" for r in left])
+        return Printed(lines, ["line"], ["ord", "k"], notes=(r["line"] for r in left.toLocalIterator()))
 
     def do_to_fasta(self) -> Printed:
         out = sequences.to_fasta(self.bed(0), self.fasta(1))
@@ -335,7 +338,7 @@ class Command:
         return Printed(sequences.wrapped(sequences.mask_fasta(self.fasta(0), bed, self.a.soft, self.a.mask)), ["line"], ["ord", "k"])
 
     def do_to_gff(self) -> Printed:
-        return Printed(text.to_gff(self.bed(0)), ["line"], ["ord"])
+        return Printed(text.to_gff(text.parse_ends(_lines(self.s, self.a.files[0])), self.a.source, self.a.type or "region", end="end"), ["line"], ["ord"])
 
     def do_to_gff3(self) -> Printed:
         return Printed(text.to_gff3(self.bed(0)), ["line"], ["ord"])
@@ -363,7 +366,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("operator", choices=OPERATORS, metavar="operator")
     p.add_argument("files", nargs="+")
     p.add_argument("-o", "--output", default="-")
-    for name, kind, default in (("left", int, 0), ("right", int, 0), ("size", int, 1000), ("step", int, 0), ("n", int, 10), ("seed", int, 42), ("distance", int, 0), ("column", int, 4), ("upstream", int, 2000), ("downstream", int, 200), ("op", str, ""), ("keys", str, "1"), ("by", str, "5"), ("type", str, "gene"), ("attribute", str, "gene_name"), ("names", str, ""), ("mask", str, "N")):
+    for name, kind, default in (("left", int, 0), ("right", int, 0), ("size", int, 1000), ("step", int, 0), ("n", int, 10), ("seed", int, 42), ("distance", int, 0), ("column", int, 4), ("upstream", int, 2000), ("downstream", int, 200), ("op", str, ""), ("keys", str, "1"), ("by", str, "5"), ("type", str, ""), ("source", str, "gapwise"), ("attribute", str, "gene_name"), ("names", str, ""), ("mask", str, "N")):
         p.add_argument(f"--{name}", type=kind, default=default)
     for name in ("descending", "soft", "chrom", "header"):
         p.add_argument(f"--{name}", action="store_true")

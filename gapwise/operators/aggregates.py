@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .scan import running
+from ..tables import materialize
+from .scan import running, stretch, with_far
 
 
 def _len() -> Column:
@@ -59,16 +61,31 @@ def merge_by_name(df: DataFrame) -> DataFrame:
     return df.where("name is not null").groupBy("chrom", "name").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
+def numbered_runs(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df (unique ord) with run: 1, 2, ... for consecutive rows (by ord) with equal keys, nulls being equal.
+
+    Each stretch of rows numbers its own; whether its first row goes on with the run before it is told by the last row before.
+    """
+    key = F.struct(*keys)
+    own = W.partitionBy("_s").orderBy("ord")
+    before = F.max(F.struct("ord", key.alias("k"))).over(own.rowsBetween(W.unboundedPreceding, -1))
+    upto = own.rowsBetween(W.unboundedPreceding, 0)
+    rows = df.withColumn("_s", stretch("ord")).withColumn("_p", before)
+    rows = rows.withColumn("_lead", F.col("_p").isNull()).withColumn("_new", (~F.col("_lead") & ~F.col("_p.k").eqNullSafe(key)).cast("long")).drop("_p")
+    rows = rows.withColumn("_n", F.sum("_new").over(upto)).withColumn("_first", F.first(key).over(upto))
+    told = with_far(materialize(rows, "runs", "snappy"), [], _last=("max", F.struct("ord", key.alias("k")), "before"))
+    told = told.withColumn("_begins", (F.col("_last").isNull() | ~F.col("_last.k").eqNullSafe(F.col("_first"))).cast("long"))
+    told = with_far(told, [], _far=("sum", F.col("_new") + F.when(F.col("_lead"), F.col("_begins")).otherwise(0), "before"))
+    return told.select(*df.columns, (F.col("_n") + F.col("_begins") + F.coalesce("_far", F.lit(0))).alias("run"))
+
+
 def group_runs(df: DataFrame, keys: list[str], wanted: list[tuple[str, str]]) -> DataFrame:
     """Aggregates of consecutive rows (by ord) with equal keys: run, the keys, and a column op_column for each (column, op).
 
     ops: sum, mean, min, max, count (of numbers), stdev (of the population; 0 for one), collapse, distinct (in the
     order of first appearance), count_distinct, first, last. Cells that are no numbers are left out of the first six.
     """
-    key = F.struct(*keys)
-    rows = running(df, [], ["ord"], "ord", _p=("max", F.struct("ord", key.alias("k")), "before"))
-    new = F.col("_p").isNull() | ~F.col("_p.k").eqNullSafe(key)
-    rows = running(rows.withColumn("_n", new.cast("long")), [], ["ord"], "ord", run=("sum", "_n", "upto"))
+    rows = numbered_runs(df, keys)
 
     def made(column: str, op: str) -> Column:
         text, number = F.col(column).cast("string"), F.expr(f"try_cast(`{column}` as double)")

@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .rangejoin import overlap_pairs
-from .scan import as_of
+from .scan import around, nearest_ends
 
 
 def closest(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
     """Each row of a with all rows of b that overlap it, else all at the least gap; no row of b: b_chrom ".", -1, -1.
 
-    Overlaps come from the range join; the nearest ends on both sides, from two as-of scans of all of a, are joined to
+    Overlaps come from the range join; the nearest ends on both sides, from one scan of all ends, are joined to
     b's rows by position in one join. Of a row's candidates those of the least gap stay, overlaps before all others.
     """
     bb = b.select("chrom", "start", "stop", "ord")
     inside = (F.col("b_start") >= F.col("a_start")) & (F.col("b_start") < F.col("a_stop"))
     around = (F.col("b_start") < F.col("a_start")) & (F.col("b_stop") > F.col("a_start"))
     hits = overlap_pairs(a, bb, inside | around, levels).withColumn("_gap", F.lit(-1).cast("long"))
-    near = as_of(as_of(a, F.col("start"), bb, F.col("stop"), F.col("stop"), "_l"), -F.col("stop"), bb, -F.col("start"), -F.col("start"), "_r").withColumn("_r", -F.col("_r"))
+    asked = a.select("chrom", F.explode(F.array("start", "stop")).alias("at"))
+    ends = nearest_ends(asked, bb, (F.col("stop"), F.col("stop")), (F.col("start"), F.col("start")))
+    near = a.join(ends.select("chrom", F.col("at").alias("start"), F.col("left").alias("_l")), ["chrom", "start"])
+    near = near.join(ends.select("chrom", F.col("at").alias("stop"), F.col("right").alias("_r")), ["chrom", "stop"])
     gap_l, gap_r = F.col("start") - F.col("_l"), F.col("_r") - F.col("stop")
     best = F.least(gap_l, gap_r)  # null only if both are
     at = lambda side, pos, gap: F.struct(F.lit(side).alias("side"), pos.cast("long").alias("pos"), gap.cast("long").alias("gap"))
@@ -46,12 +49,13 @@ def annotate(a: DataFrame, features: DataFrame) -> DataFrame:
     m = a.select("chrom", mid.alias("start"), (mid + 1).alias("stop"), "ord")
     f = features.select("chrom", "start", (F.col("stop") + 1).alias("stop"), "name", "ord")
     within = overlap_pairs(m, f).groupBy(F.col("a_ord").alias("ord")).agg(F.min(F.struct(F.lit(0).cast("long").alias("dist"), F.col("b_start").alias("start"), F.col("b_ord").alias("o"), F.col("b_name").alias("name"))).alias("hit"))
-    rest = m.join(within, "ord", "left_anti").select("chrom", F.col("start").alias("mid"), "ord")
-    left = as_of(rest, F.col("mid"), f, F.col("stop"), F.struct(F.col("stop").alias("k"), (-F.col("start")).alias("s"), (-F.col("ord")).alias("o"), "name"), "l")
-    both = as_of(left, -F.col("mid"), f, -F.col("start"), F.struct((-F.col("start")).alias("k"), (-F.col("ord")).alias("o"), "name"), "r")
+    left = F.struct(F.col("stop").alias("k"), (-F.col("start")).alias("s"), (-F.col("ord")).alias("o"), "name")
+    right = F.struct(F.col("start").alias("k"), F.col("ord").alias("o"), "name")
+    both = around(m.select("chrom", F.col("start").alias("mid"), "ord"), F.col("mid"), f, (F.col("stop"), left), (F.col("start"), right))
+    both = both.select("mid", "ord", F.col("left").alias("l"), F.col("right").alias("r"))
     cand_l = F.when(F.col("l").isNotNull(), F.struct((F.col("mid") - F.col("l.k") + 1).alias("dist"), (-F.col("l.s")).alias("start"), (-F.col("l.o")).alias("o"), F.col("l.name").alias("name")))
-    cand_r = F.when(F.col("r").isNotNull(), F.struct((-F.col("r.k") - F.col("mid")).alias("dist"), (-F.col("r.k")).alias("start"), (-F.col("r.o")).alias("o"), F.col("r.name").alias("name")))
-    found = within.unionByName(both.select("ord", F.least(cand_l, cand_r).alias("hit")))
+    cand_r = F.when(F.col("r").isNotNull(), F.struct((F.col("r.k") - F.col("mid")).alias("dist"), F.col("r.k").alias("start"), F.col("r.o").alias("o"), F.col("r.name").alias("name")))
+    found = both.join(within, "ord", "left").select("ord", F.coalesce("hit", F.least(cand_l, cand_r)).alias("hit"))
     return a.join(found, "ord", "left").select(*a.columns, F.col("hit.name").alias("feature"), F.col("hit.dist").alias("dist"))
 
 
@@ -60,10 +64,9 @@ def reldist(a: DataFrame, b: DataFrame) -> DataFrame:
     mid = F.expr("(start + stop) div 2")
     q = a.select("chrom", mid.alias("mid"), "ord")
     v = b.select("chrom", mid.alias("mid"))
-    left = as_of(q, F.col("mid") - 1, v, F.col("mid"), F.col("mid"), "l")
-    both = as_of(left, -F.col("mid"), v, -F.col("mid"), -F.col("mid"), "r")
+    both = around(q, F.col("mid"), v, (F.col("mid"), F.col("mid")), (F.col("mid"), F.col("mid")), left_equal=False).withColumnsRenamed({"left": "l", "right": "r"})
     lone = v.groupBy("chrom").agg(F.count("*").alias("n"), F.min("mid").alias("first"))
-    rows = both.join(lone, "chrom").withColumn("r", -F.col("r"))
+    rows = both.join(lone, "chrom")
     rows = rows.where(F.col("r").isNotNull() & (F.col("l").isNotNull() | (F.col("mid") == F.col("first")) & (F.col("n") >= 2)))
     least = F.least(F.col("mid") - F.col("l"), F.col("r") - F.col("mid"))
     rel = F.when(F.col("l").isNull() | (least == 0), F.lit(0.0)).otherwise(least / (F.col("r") - F.col("l")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .islands import merge
-from .scan import as_of
+from .scan import around
 
 #: Tries for a place before it is an error; rows of the genome and of merged exclusions that are sent to all tasks at most.
 TRIES, MOST = 10_000, 2_000_000
@@ -25,9 +25,9 @@ def random_intervals(spark: SparkSession, genome: DataFrame, n: int, length: int
         raise ValueError("the genome is no longer than an interval")
     q = spark.range(n).select(F.lit("*").alias("chrom"), F.col("id").alias("ord"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - length)).alias("p"))
     v = cum.where("size > 0").select(F.lit("*").alias("chrom"), "at", F.col("chrom").alias("c"))
-    placed = as_of(q, F.col("p"), v, F.col("at"), F.struct("at", "c"), "hit")
-    start = F.col("p") - F.col("hit.at")
-    return placed.select("ord", F.col("hit.c").alias("chrom"), start.alias("start"), (start + length).alias("stop"))
+    placed = around(q, F.col("p"), v, (F.col("at"), F.struct("at", "c")))
+    start = F.col("p") - F.col("left.at")
+    return placed.select("ord", F.col("left.c").alias("chrom"), start.alias("start"), (start + length).alias("stop"))
 
 
 def _hash(x: np.ndarray, seed: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import fisher_row
 from .islands import merge
-from .scan import running, with_next
+from .scan import running
 
 MAX_BINS = 64
 
@@ -122,7 +122,7 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """
     ends = lambda d, x, y: d.where("start < stop").select("chrom", F.explode(F.array(*[F.struct(F.col(c).alias("pos"), F.lit(s * x).alias("x"), F.lit(s * y).alias("y")) for c, s in (("start", 1), ("stop", -1))])).alias("e"))
     at = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.x").alias("dx"), F.sum("e.y").alias("dy"))
-    on = with_next(running(at, ["chrom"], ["pos"], "pos", x=("sum", "dx", "upto"), y=("sum", "dy", "upto")))
+    on = running(at, ["chrom"], ["pos"], "pos", x=("sum", "dx", "upto"), y=("sum", "dy", "upto"), next=("min", "pos", "after"))
     width = F.coalesce(F.col("next") - F.col("pos"), F.lit(0))
     both = (F.col("x") > 0) & (F.col("y") > 0)
     begins = both & ((F.col("x") <= F.col("dx")) | (F.col("y") <= F.col("dy")))  # just before, one of them was not there

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .islands import merge
-from .scan import running, with_next
+from ..tables import materialize
+from .scan import running
+
+
+def _ends(rows: DataFrame, **more: Column) -> DataFrame:
+    """chrom, pos, sign and more columns: a row's start with sign 1, its stop with sign -1."""
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("sign")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("sign")))
+    return rows.select("chrom", F.explode(ends).alias("_e"), *[c.alias(k) for k, c in more.items()]).select("chrom", "_e.pos", "_e.sign", *more)
 
 
 def genomecov(bed: DataFrame, genome: DataFrame) -> DataFrame:
@@ -17,9 +26,9 @@ def genomecov(bed: DataFrame, genome: DataFrame) -> DataFrame:
     """
     g = genome.select("chrom", "size").where("size > 0")
     rows = bed.select("chrom", "start", "stop").join(g, "chrom").select("chrom", "start", F.least("stop", "size").alias("stop")).where("start < stop")
-    events = rows.select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d")))).alias("e")).groupBy("chrom", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
-    steps = with_next(running(events, ["chrom"], ["pos"], "pos", depth=("sum", "d", "upto"))).where("next is not null and depth > 0")
-    deep = steps.groupBy("chrom", "depth").agg(F.sum(F.col("next") - F.col("pos")).alias("bases"))
+    events = _ends(rows).groupBy("chrom", "pos").agg(F.sum("sign").alias("d"))
+    steps = running(events, ["chrom"], ["pos"], "pos", depth=("sum", "d", "upto"), next=("min", "pos", "after")).where("next is not null and depth > 0")
+    deep = materialize(steps.groupBy("chrom", "depth").agg(F.sum(F.col("next") - F.col("pos")).alias("bases")), "depths")
     bare = g.join(deep.groupBy("chrom").agg(F.sum("bases").alias("b")), "chrom", "left").select("chrom", F.lit(0).cast("long").alias("depth"), (F.col("size") - F.coalesce("b", F.lit(0))).alias("bases")).where("bases > 0")
     each = deep.unionByName(bare)
     total = g.agg(F.sum("size").alias("size"))
@@ -29,18 +38,26 @@ def genomecov(bed: DataFrame, genome: DataFrame) -> DataFrame:
 
 
 def multiinter(files: list[DataFrame], names: list[str]) -> DataFrame:
-    """chrom, start, stop, n, list, and a 0/1 column for each file: stretches with the same set of files covering them."""
+    """chrom, start, stop, n, list, and a 0/1 column for each file: stretches with the same set of files covering them.
+
+    One scan of all files' ends gives each file's depth at each position; those where some file's cover begins or ends are scanned
+    again, for the next one.
+    """
     if len(files) != len(names):
         raise ValueError("as many names as files")
-    parts = [merge(f).where("start < stop").select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("stop").alias("pos"), F.lit(-1).alias("d")))).alias("e"), F.lit(i).alias("f")) for i, f in enumerate(files)]
-    events = parts[0]
-    for p in parts[1:]:
-        events = events.unionByName(p)
-    at = events.groupBy("chrom", F.col("e.pos").alias("pos")).agg(*[F.sum(F.when(F.col("f") == i, F.col("e.d")).otherwise(0)).alias(f"d{i}") for i in range(len(files))])
-    on = with_next(running(at, ["chrom"], ["pos"], "pos", **{f"f{i}": ("sum", f"d{i}", "upto") for i in range(len(files))})).where("next is not null")
+    ends = None
+    for i, f in enumerate(files):
+        own = _ends(f.where("start < stop"), f=F.lit(i))
+        ends = own if ends is None else ends.unionByName(own)
+    at = ends.groupBy("chrom", "pos").agg(*[F.sum(F.when(F.col("f") == i, F.col("sign")).otherwise(0)).alias(f"d{i}") for i in range(len(files))])
+    deep = running(at, ["chrom"], ["pos"], "pos", **{f"n{i}": ("sum", f"d{i}", "upto") for i in range(len(files))})
+    here = [(F.col(f"n{i}") > 0).cast("long") for i in range(len(files))]
+    turns = [(F.col(f"n{i}") > 0) != (F.col(f"n{i}") > F.col(f"d{i}")) for i in range(len(files))]  # the file covers from here, or until here
+    cuts = deep.where(reduce(or_, turns)).select("chrom", "pos", *[c.alias(f"f{i}") for i, c in enumerate(here)])
+    on = running(cuts, ["chrom"], ["pos"], "pos", next=("min", "pos", "after")).where("next is not null")
     n = sum((F.col(f"f{i}") for i in range(len(files))), F.lit(0))
     listed = F.concat_ws(",", *[F.when(F.col(f"f{i}") > 0, F.lit(x)) for i, x in enumerate(names)])
-    return on.select("chrom", F.col("pos").alias("start"), F.col("next").alias("stop"), n.cast("long").alias("n"), listed.alias("list"), *[F.col(f"f{i}").cast("long").alias(x) for i, x in enumerate(names)]).where("n > 0")
+    return on.select("chrom", F.col("pos").alias("start"), F.col("next").alias("stop"), n.cast("long").alias("n"), listed.alias("list"), *[F.col(f"f{i}").alias(x) for i, x in enumerate(names)]).where("n > 0")
 
 
 def unionbedg(files: list[DataFrame], names: list[str], filler: str = "0") -> DataFrame:
@@ -57,7 +74,7 @@ def unionbedg(files: list[DataFrame], names: list[str], filler: str = "0") -> Da
         e = f.where("start < stop").select("chrom", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("k"), F.col("value").cast("string").alias("v")), F.struct(F.col("stop").alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("v")))).alias("e"), F.lit(i).alias("f"))
         events = e if events is None else events.unionByName(e)
     at = events.groupBy("chrom", F.col("e.pos").alias("pos")).agg(*[F.max(F.when(F.col("f") == i, F.struct("e.pos", "e.k", "e.v"))).alias(f"e{i}") for i in range(len(files))])
-    on = with_next(running(at, ["chrom"], ["pos"], "pos", **{f"v{i}": ("max", f"e{i}", "upto") for i in range(len(files))}))
+    on = running(at, ["chrom"], ["pos"], "pos", next=("min", "pos", "after"), **{f"v{i}": ("max", f"e{i}", "upto") for i in range(len(files))})
     live = F.lit(False)
     for i in range(len(files)):
         live = live | F.coalesce(F.col(f"v{i}.k") == 1, F.lit(False))

@@ -164,7 +164,11 @@ _add("merge", _on_a(islands.merge), "SELECT chrom, start, stop FROM ma", _MA)
 _add("merge_overlaps", lambda s, d: islands.merge(rel(s, d, "b")), "SELECT chrom, start, stop FROM mb", _MB)
 _add("union", _on_a(islands.union, "b"), "SELECT chrom, start, stop FROM mu", "ab AS (SELECT chrom, start, stop FROM a UNION ALL SELECT chrom, start, stop FROM b)", _islands("mu", "ab"))
 _add("complement", _on_a(islands.complement, "g"), "SELECT * FROM (SELECT g.chrom, coalesce(lag(m.stop) OVER (PARTITION BY g.chrom ORDER BY m.start),0) AS start, coalesce(least(m.start,g.size),g.size) AS stop FROM g LEFT JOIN ma m ON g.chrom=m.chrom UNION ALL SELECT g.chrom, max(m.stop), any_value(g.size) FROM g JOIN ma m ON g.chrom=m.chrom GROUP BY g.chrom) WHERE start<stop", _MA)
-_add("cluster", lambda s, d: islands.cluster(rel(s, d, "a"), 30), "SELECT chrom, start, stop, name, score, strand, ord, CAST(sum(fresh) OVER (ORDER BY chrom, start, stop, ord) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN start <= 30+max(stop) OVER (PARTITION BY chrom ORDER BY start, stop, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM a)")
+
+#: Lines that are nearly in order, of chromosomes that are met again, some left of 0.
+_LINES = ["concat('c',CAST(ord%2000 DIV 500 AS STRING)) AS chrom", "ord%500*200+start%300-20000 AS start", "ord%500*200+start%300-20000+50+ord%200 AS stop", "name", "ord"]
+_RUNS = "lines AS (SELECT " + ", ".join(_LINES).replace(" DIV ", "//") + " FROM a), r AS (SELECT *, sum(other) OVER (ORDER BY ord) AS run FROM (SELECT *, CASE WHEN chrom = lag(chrom) OVER (ORDER BY ord) THEN 0 ELSE 1 END AS other FROM lines))"
+_add("cluster", lambda s, d: islands.cluster(rel(s, d, "a").selectExpr(*_LINES), 30), "SELECT chrom, start, stop, name, ord, CAST(sum(fresh) OVER (ORDER BY ord) AS BIGINT) AS cluster FROM (SELECT *, CASE WHEN start <= 30+max(stop) OVER (PARTITION BY run ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM r)", _RUNS)
 _add("spacing", _on_a(islands.spacing), "SELECT chrom, p AS start, start AS stop, start-p AS gap FROM (SELECT chrom, start, lag(stop) OVER (ORDER BY ord) AS p, lag(chrom) OVER (ORDER BY ord) AS pc FROM a) WHERE start>=p AND chrom=pc")
 
 _CUTS = "cov AS (SELECT chrom, pos AS start, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS stop FROM (SELECT DISTINCT chrom, unnest([0, size, least(start,size), least(stop,size)]) AS pos FROM g LEFT JOIN (SELECT chrom, start, stop FROM a) USING (chrom)) WHERE pos IS NOT NULL)"

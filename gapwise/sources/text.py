@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-_NUMBER = r"^[+]?[0-9]+$"
+_NUMBER, _SIGNED = r"^[+]?[0-9]+$", r"^[+-]?[0-9]+$"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -31,9 +31,9 @@ def records(lines: DataFrame, skip_track: bool = False) -> DataFrame:
     return lines.where(keep).withColumn("f", F.split("line", "\t", -1))
 
 
-def _coordinate(i: int, on_bad: str) -> Column:
+def _coordinate(i: int, on_bad: str, signed: bool = False) -> Column:
     cell = F.get("f", F.lit(i))
-    number = F.when(cell.rlike(_NUMBER), F.expr(f"try_cast(get(f, {i}) as bigint)"))
+    number = F.when(cell.rlike(_SIGNED if signed else _NUMBER), F.expr(f"try_cast(get(f, {i}) as bigint)"))
     if on_bad == "zero":
         return F.coalesce(number, F.lit(0).cast("long"))
     if on_bad == "error":
@@ -41,10 +41,10 @@ def _coordinate(i: int, on_bad: str) -> Column:
     return number
 
 
-def parse_bed(lines: DataFrame, on_bad: str = "error", skip_track: bool = True, short_is_bad: bool = False) -> DataFrame:
+def parse_bed(lines: DataFrame, on_bad: str = "error", skip_track: bool = True, short_is_bad: bool = False, signed: bool = False) -> DataFrame:
     """chrom, start, stop, name, score, strand, rest (all fields after the third), ord of lines (line, ord).
 
-    Rows of fewer than three fields go, or are an error if short_is_bad.
+    Rows of fewer than three fields go, or are an error if short_is_bad. signed: coordinates may be negative.
     """
     if on_bad not in ("error", "zero", "skip"):
         raise ValueError("on_bad: error, zero or skip")
@@ -53,10 +53,16 @@ def parse_bed(lines: DataFrame, on_bad: str = "error", skip_track: bool = True,
     if short_is_bad:
         rows = rows.where(F.when(enough, True).otherwise(F.raise_error(F.concat(F.lit("fewer than 3 fields: "), F.col("line"))).cast("boolean")))
     rows = rows.where(enough)
-    out = rows.select(F.col("f")[0].alias("chrom"), _coordinate(1, on_bad).alias("start"), _coordinate(2, on_bad).alias("stop"), *[F.get("f", F.lit(i)).alias(c) for i, c in ((3, "name"), (4, "score"), (5, "strand"))], F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))).alias("rest"), "ord")
+    out = rows.select(F.col("f")[0].alias("chrom"), _coordinate(1, on_bad, signed).alias("start"), _coordinate(2, on_bad, signed).alias("stop"), *[F.get("f", F.lit(i)).alias(c) for i, c in ((3, "name"), (4, "score"), (5, "strand"))], F.slice("f", 4, F.greatest(F.size("f") - 3, F.lit(0))).alias("rest"), "ord")
     return out.where("start is not null and stop is not null")
 
 
+def parse_ends(lines: DataFrame) -> DataFrame:
+    """As parse_bed, but the end is no number: `end` has it as it was written, and stop is null."""
+    rows = records(lines).where(F.size("f") >= 3)
+    return rows.select(F.col("f")[0].alias("chrom"), _coordinate(1, "error").alias("start"), F.lit(None).cast("long").alias("stop"), F.col("f")[2].alias("end"), *[F.get("f", F.lit(i)).alias(c) for i, c in ((3, "name"), (4, "score"), (5, "strand"))], "ord")
+
+
 def read_bed(spark: SparkSession, path: str | list[str], on_bad: str = "error", skip_track: bool = True) -> DataFrame:
     """The rows of files (see parse_bed)."""
     return parse_bed(read_lines(spark, path), on_bad, skip_track)
@@ -88,17 +94,41 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return records(read_lines(spark, path)).where(F.size("f") >= 9).select(F.col("f")[0].alias("chrom"), F.col("f")[2].alias("ftype"), _coordinate(3, "zero").alias("start"), _coordinate(4, "zero").alias("stop"), F.col("f")[8].alias("attributes"), "ord")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """name (the header up to its first blank), header, seq, width (of its first line), ord."""
+def read_fasta_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Sequences in blocks (see operators.sequences): name (the header up to its first blank), rec, block, seq, header, width (of the first line), ord.
+
+    Lines are placed in their record by running sums over stretches of the file and dealt by block, so that neither a row nor a
+    task holds a record. Blanks within lines go; lines before the first header belong to none. Not for gzip, which can't be split.
+    """
+    from ..operators.scan import running
+    from ..operators.sequences import BLOCK
+
     lines = read_lines(spark, path)
     head = F.col("line").startswith(">")
-    from ..operators.scan import running
+    lines = lines.select("ord", head.alias("_head"), F.when(head, F.col("line")).alias("line"), F.when(head, "").otherwise(F.regexp_replace("line", r"\s", "")).alias("_body"))
+    placed = running(lines, [], ["ord"], "ord", rec=("max", F.when(F.col("_head"), F.struct("ord", "line")), "upto"), _at=("sum", F.length("_body"), "before")).where("rec is not null")
+    placed = placed.withColumn("_at", F.coalesce("_at", F.lit(0)).cast("long"))
+    placed = running(placed, [], ["ord"], "ord", _from=("max", F.when(F.col("_head"), F.col("_at")), "upto"))
+    rows = placed.select(F.col("rec.ord").alias("ord"), "rec.line", "_head", "_body", (F.col("_at") - F.col("_from")).alias("_at"))
+    # The header stands for the first block, which an empty record has too; the first line's length is that of the line at 0.
+    end = F.col("_at") + F.greatest(F.length("_body"), F.lit(1)) - 1
+    cut = rows.withColumn("block", F.explode(F.sequence(F.floor(F.col("_at") / BLOCK), F.floor(end / BLOCK))))
+    skip = F.greatest(F.col("block") * BLOCK - F.col("_at"), F.lit(0))
+    cut = cut.withColumn("_piece", F.substring("_body", (skip + 1).cast("int"), ((F.col("block") + 1) * BLOCK - F.col("_at") - skip).cast("int"))).withColumn("_place", F.col("_at") + skip)
+    kept = cut.where("_head or _body <> ''")
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_piece"))), lambda x: x["_piece"]), "")
+    first = F.max(F.when(~F.col("_head") & (F.col("_at") == 0), F.length("_body")))
+    blocks = kept.groupBy("ord", "block").agg(F.first("line").alias("line"), seq.alias("seq"), first.alias("width"))
+    widths = blocks.where("block = 0").select("ord", F.coalesce("width", F.lit(0)).alias("width"))
+    header = F.substring("line", 2, 1 << 30)
+    return blocks.drop("width").join(widths, "ord").select(F.split(header, r"\s")[0].alias("name"), F.col("ord").alias("rec"), "block", "seq", header.alias("header"), "width", "ord")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """name (the header up to its first blank), header, seq, width (of its first line), ord: whole sequences, for records that fit into a row."""
+    from ..operators.sequences import whole
 
-    rows = running(lines, [], ["ord"], "ord", rec=("max", F.when(head, F.col("ord")), "upto")).where("rec is not null")
-    parts = rows.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("p"))
-    body = F.transform(F.slice("p", 2, F.size("p")), lambda x: F.regexp_replace(x["line"], r"\s", ""))
-    header = F.substring(F.col("p")[0]["line"], 2, 1 << 30)
-    return parts.select(F.split(header, r"\s")[0].alias("name"), header.alias("header"), F.array_join(body, "").alias("seq"), F.length(F.coalesce(F.get(body, F.lit(0)), F.lit(""))).alias("width"), F.col("rec").alias("ord"))
+    return whole(read_fasta_blocks(spark, path)).select("name", "header", "seq", "width", "ord")
 
 
 def validate(lines: DataFrame) -> DataFrame:
@@ -111,10 +141,10 @@ def validate(lines: DataFrame) -> DataFrame:
     return rows.select("ord", F.explode(F.filter(faults, lambda x: x.isNotNull())).alias("error"))
 
 
-def to_gff(df: DataFrame, source: str = "gapwise", ftype: str = "region", id_key: str = "Name") -> DataFrame:
-    """(ord, line) of GFF3, with its header line at ord -1."""
+def to_gff(df: DataFrame, source: str = "gapwise", ftype: str = "region", id_key: str = "Name", end: str = "stop") -> DataFrame:
+    """(ord, line) of GFF3, with its header line at ord -1; end: the column that is printed as the end, as it is."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
-    body = df.select("ord", F.concat_ws("\t", "chrom", F.lit(source), F.lit(ftype), (F.col("start") + 1).cast("string"), F.col("stop").cast("string"), cell("score"), cell("strand"), F.lit("."), F.concat(F.lit(f"{id_key}="), cell("name"))).alias("line"))
+    body = df.select("ord", F.concat_ws("\t", "chrom", F.lit(source), F.lit(ftype), (F.col("start") + 1).cast("string"), F.col(end).cast("string"), cell("score"), cell("strand"), F.lit("."), F.concat(F.lit(f"{id_key}="), cell("name"))).alias("line"))
     return _headed(body, "##gff-version 3")
 
 

@@ -11,6 +11,7 @@ B = "chr1\t25\t45\tfeat1\t0\t+\nchr2\t50\t70\tfeat2\t0\t-\n"
 FILES = {
     "small": "# head\n" + SMALL, "b": B, "genome": "chr1\t1000\nchr2\t500\n", "map": "chr1\tone\n", "mixed": "chr2\t5\t9\tx\t1\t+\tmore\nchr1\t10\t12\nchr1\t2\t30\ta\n",
     "fa": ">chr1 first\nACGTACGT\nACGTNNNN\n>chr2\nTTTTTTTT\n", "reg": "chr1\t2\t6\tr1\nchr2\t1\t3\tr2\textra\n", "bad": "chr1\t5\t2\nchr1\tx\t4\nchr1\t1\n", "gff": "\t".join(["chr1", "s", "gene", "15", "35", ".", "+", ".", "gene_name=BRCA1"]) + "\n",
+    "lines": "c1\t10\t20\nc2\t5\t9\nc1\t15\t25\nc1\t-30\t-20\nc3\t-9\t-5\tx\n", "ends": "chr1\t5\tten\nchr2\t0\t07\tn\t3\t+\n", "past": "chr1\t3\t3\nchr2\t2\t9\nchr2\t0\t8\n" + "chr1\t20\t21\n" * 150,
     "g1": "chr2\t0\t10\t1.0\nchr1\t0\t5\t2.5\n", "g2": "chr1\t3\t8\t7\n",
 }
 CASES = [
@@ -37,6 +38,12 @@ CASES = [
     (["getfasta", "reg", "fa"], [">chr1:2-6", "GTAC", ">chr2:1-3", "TT"]),
     (["nuc", "reg", "fa"], ["#1_usercol\t2_usercol\t3_usercol\t4_usercol\t5_usercol\t6_pct_at\t7_pct_gc\t8_num_A\t9_num_C\t10_num_G\t11_num_T\t12_num_N\t13_num_oth\t14_seq_len", "chr1\t2\t6\tr1\t\t0.500000\t0.500000\t1\t1\t1\t1\t0\t0\t4", "chr2\t1\t3\tr2\textra\t1.000000\t0.000000\t0\t0\t0\t2\t0\t0\t2"]),
     (["maskfasta", "fa", "reg"], [">chr1", "ACNNNNGT", "ACGTNNNN", ">chr2", "TNNTTTTT"]),
+    (["getfasta", "past", "fa"], [">chr2:0-8", "TTTTTTTT"]),
+    (["to-fasta", "reg", "fa"], [">chr1:2-6_r1", "GTAC", ">chr2:1-3_r2", "TT"]),
+    (["cluster", "lines"], ["c1\t10\t20\t1", "c2\t5\t9\t2", "c1\t15\t25\t3", "c1\t-30\t-20\t3", "c3\t-9\t-5\tx\t4"]),
+    (["cluster", "lines", "--distance", "-12"], ["c1\t10\t20\t1", "c2\t5\t9\t2", "c1\t15\t25\t3", "c1\t-30\t-20\t3", "c3\t-9\t-5\tx\t4"]),
+    (["shift", "lines", "genome", "--size", "40"], ["c1\t50\t60", "c2\t45\t49", "c1\t55\t65", "c1\t10\t20", "c3\t31\t35"]),
+    (["to-gff", "ends", "--source", "own", "--type", "peak"], ["##gff-version 3", "chr1\town\tpeak\t6\tten\t.\t.\t.\tName=.", "chr2\town\tpeak\t1\t07\t3\t+\t.\tName=n"]),
     (["reldist", "small", "b"], ["reldist\tcount\ttotal\tfraction"]),
 ]
 
@@ -86,3 +93,8 @@ def test_stdin_and_output_folder(folder, capsys, monkeypatch, tmp_path):
     assert told(folder, capsys, ["sort", "-"])[1].out.splitlines()[0] == "chr1\t2\t30\ta"
     cli.main(["sort", str(folder / "mixed"), "-o", f"file://{tmp_path}/out"])
     assert "".join(f.read_text() for f in sorted((tmp_path / "out").glob("part-*"))) == "chr1\t2\t30\ta\nchr1\t10\t12\nchr2\t5\t9\tx\t1\t+\tmore\n"
+
+
+def test_getfasta_tells_every_region_left_out(folder, capsys):
+    _, out = told(folder, capsys, ["getfasta", "past", "fa"])
+    assert out.err.splitlines()[-152:] == ["Feature (chr1:3-3) has length = 0, Skipping.", "Feature (chr2:2-9) beyond the length of chr2 size (8 bp).  Skipping.", *["Feature (chr1:20-21) beyond the length of chr1 size (16 bp).  Skipping."] * 150]

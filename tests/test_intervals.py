@@ -1,11 +1,13 @@
 """Small fixtures with results worked out by hand from the rules, and edge cases."""
 
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gapwise.functions.stats import fisher_tails, g, stripped
-from gapwise.operators import aggregates, islands, nearest, randomness, rangejoin, rows, sequences, sweep
+from gapwise.operators import aggregates, islands, nearest, randomness, rangejoin, rows, scan, sequences, sweep
 from gapwise.sources import text
 
 SMALL = [("chr1", 10, 30, "geneA", 100, "+", 0), ("chr1", 20, 50, "geneB", 200, "-", 1), ("chr1", 80, 100, "geneC", 300, "+", 2), ("chr2", 0, 40, "geneD", 150, "+", 3), ("chr2", 60, 90, "geneE", 250, "-", 4), ("chr2", 60, 90, "geneE", 250, "-", 5)]
@@ -193,3 +195,104 @@ def test_sequences(spark, tmp_path):
     assert {r["name"]: r["seq"] for r in sequences.mask_fasta(fa, bed, soft=True).collect()} == {"s1": "ACgtacgtNN", "s2": "TTTt"}
     assert [r["n_g"] for r in sequences.nuc(bed, fa).orderBy("ord").collect()] == [1, 1, 0, 0]
     assert [r["line"] for r in sequences.wrapped(fa).orderBy("ord", "k").collect()] == [">s1", "ACGT", "acgt", "NN", ">s2", "TTTT"]
+
+
+def brute_cluster(lines, distance):
+    """The reach of one cluster, line by line."""
+    out, last, reach, n = [], None, 0, 0
+    for chrom, start, stop in lines:
+        if chrom != last or start > reach + distance:
+            n, reach, last = n + 1, stop, chrom
+        else:
+            reach = max(reach, stop)
+        out.append(n)
+    return out
+
+
+def test_cluster_in_line_order(spark, monkeypatch):
+    assert brute_cluster([("c1", 10, 20), ("c2", 5, 9), ("c1", 15, 25)], 0) == [1, 2, 3]
+    monkeypatch.setattr(scan, "WIDTH", 8)
+    rng = random.Random(5)
+    for seed, distance in ((1, 0), (2, 7), (3, -5), (4, -40)):
+        lines = []
+        for _ in range(150):
+            chrom = lines[-1][0] if lines and rng.random() < 0.85 else rng.choice(["c1", "c2", "c3"])
+            start = rng.randrange(-60, 200)
+            lines.append((chrom, start, start + rng.choice([-3, 0, 4, 30, 90])))
+        ords = sorted(rng.sample(range(-300, 900), len(lines)))
+        df = spark.createDataFrame([(*x, o, "kept") for x, o in zip(lines, ords, strict=True)], "chrom string, start long, stop long, ord long, _reach string").repartition(5, "start")
+        got = [r["cluster"] for r in islands.cluster(df, distance).orderBy("ord").collect()]
+        assert got == brute_cluster(lines, distance), (seed, distance)
+    assert islands.cluster(df.limit(0)).count() == 0
+
+
+def test_running_in_both_directions_over_many_stretches(spark):
+    """Each kind of running value, with and without a key, over stretches of stretches, against plain loops."""
+    rng = random.Random(6)
+    rows = [(rng.choice("xy"), p, rng.randrange(-9, 10)) for p in rng.sample(range(-500, 5000), 300)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, v long").repartition(6)
+    kinds = {f"{fn}_{where}": (fn, "v", where) for fn in ("sum", "max", "min") for where in ("upto", "before", "from", "after")}
+    for by, fan in ((["chrom"], 4), ([], 4), ([], 1)):
+        old, scan.FAN = scan.FAN, fan
+        got = scan.running(df, by, ["pos"], "pos", 16, **kinds).collect()
+        scan.FAN = old
+        assert len(got) == len(rows)
+        for r in got:
+            same = [(p, v) for c, p, v in rows if not by or c == r["chrom"]]
+            for name, (fn, _, where) in kinds.items():
+                inside = {"upto": lambda p: p <= r["pos"], "before": lambda p: p < r["pos"], "from": lambda p: p >= r["pos"], "after": lambda p: p > r["pos"]}[where]  # noqa: B023
+                found = [v for p, v in same if inside(p)]
+                assert r[name] == ({"sum": sum, "max": max, "min": min}[fn](found) if found else None)
+
+
+def test_scans_read_their_input_once(spark, small, b, genome):
+    """An operator's plan reads written tables, not its input again and again."""
+    from gapwise.operators import sweep
+
+    for made in (islands.merge(small), islands.complement(small, genome), sweep.multiinter([small, b, b], ["x", "y", "z"]), sweep.genomecov(small, genome), islands.cluster(small)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") + plan.count("LocalRelation") + plan.count("LogicalRDD") <= 8, plan
+
+
+def test_a_hot_locus_is_one_row_of_a_scan(spark, monkeypatch):
+    """However many rows lie or ask at one position, a stretch holds the position once."""
+    held = []
+    real = scan.materialize
+    monkeypatch.setattr(scan, "materialize", lambda df, *a: held.append(df) or real(df, *a))
+    many = spark.range(20_000).select(F.lit("c").alias("chrom"), F.lit(500).cast("long").alias("start"), (F.lit(600) + F.col("id") % 3).alias("stop"), F.col("id").alias("ord"))
+    got = scan.around(many, F.col("start"), many, (F.col("stop"), F.col("stop")), (F.col("start"), F.col("start")))
+    assert got.count() == 20_000 and {(r["left"], r["right"]) for r in got.select("left", "right").distinct().collect()} == {(None, 500)}
+    assert max(h.count() for h in held) <= 6
+
+
+def test_sequences_over_many_blocks(spark, tmp_path, monkeypatch):
+    """Regions, masks, counts and lines that cross blocks equal plain slicing; no row is above the block size."""
+    monkeypatch.setattr(sequences, "BLOCK", 7)
+    rng = random.Random(8)
+    seqs = {f"s{i}": "".join(rng.choice("ACGTNacgtn-é") for _ in range(n)) for i, n in enumerate((0, 1, 6, 7, 8, 50, 200))}
+    p = tmp_path / "x.fa"
+    width = {n: rng.choice([3, 7, 10, 60]) for n in seqs}
+    p.write_text("no record\n" + "".join(f">{n} more words\n" + "".join(s[i : i + width[n]] + rng.choice(["\n", "\r\n", " \n"]) for i in range(0, len(s), width[n])) + "\n" * (len(s) % 2) for n, s in seqs.items()))
+    fa = text.read_fasta_blocks(spark, str(p))
+    assert max(r["n"] for r in fa.select(F.length("seq").alias("n")).collect()) == 7
+    assert {r["name"]: (r["seq"], r["header"]) for r in text.read_fasta(spark, str(p)).collect()} == {n: (s, f"{n} more words") for n, s in seqs.items()}
+    bed = []
+    for i in range(120):
+        a = rng.randrange(0, 210)
+        bed.append((rng.choice([*seqs, "s9"]), a, a + rng.choice([0, 1, 3, 7, 20, 100, -2]), f"r{i}", i))
+    df = spark.createDataFrame(bed, "chrom string, start long, stop long, name string, ord long").repartition(3)
+    for source in (fa, spark.createDataFrame([(n, s, i, width[n]) for i, (n, s) in enumerate(seqs.items())], "name string, seq string, ord long, width int")):
+        want = {o: seqs[c][a:b] for c, a, b, _, o in bed if c in seqs and a < b <= len(seqs[c])}
+        assert {r["ord"]: r["seq"] for r in sequences.get_fasta(df, source).collect()} == want
+        assert {r["ord"]: r["seq"] for r in sequences.to_fasta(df, source).collect()} == {o: seqs[c][a : max(a, b)] for c, a, b, _, o in bed if c in seqs}
+        counted = {r["ord"]: (r["n_a"], r["n_n"], r["n_other"], r["seq_len"]) for r in sequences.nuc(df, source).collect()}
+        cut = {o: seqs.get(c, "")[a : max(a, b)].upper() for c, a, b, _, o in bed}
+        assert counted == {o: (s.count("A"), s.count("N"), sum(x not in "ACGTN" for x in s), len(s)) for o, s in cut.items()}
+        for soft in (False, True):
+            held = {n: "".join((x.lower() if soft else "N") if any(c == n and a <= i < b for c, a, b, *_ in bed) else x for i, x in enumerate(s)) for n, s in seqs.items()}
+            masked = sequences.mask_fasta(source, df, soft)
+            got = {r["name"]: r["seq"] for r in (sequences.whole(masked) if source is fa else masked).collect()}
+            assert got == held
+        lines = [r["line"] for r in sequences.wrapped(source).orderBy("ord", "k").collect()]
+        assert lines == [x for n, s in seqs.items() for x in [f">{n}", *(s[i : i + width[n]] for i in range(0, len(s), width[n]))]]
+    assert sequences.get_fasta(df.limit(0), fa).count() == 0 and sequences.nuc(df.where("chrom = 's9'"), fa).where("seq_len > 0").count() == 0
