@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import fisher_row
 from .islands import merge
+from .ranks import open_at, overlapping, ranked_ends
 from .scan import running
 
 MAX_BINS = 64
@@ -95,22 +96,38 @@ def window(a: DataFrame, b: DataFrame, w: int = 1000, levels: list[int] | None =
 
 
 def map_values(a: DataFrame, b: DataFrame, op: str = "mean", column: str = "score", levels: list[int] | None = None) -> DataFrame:
-    """a (unique ord) with value: op (mean, sum, min, max, count) of b's column over overlapping rows; null if none."""
+    """a (unique ord) with value: op (mean, sum, min, max, count) of b's column over overlapping rows; null if none.
+
+    Counts, and sums and means of integers, are differences of ranks, which are exact; others are of the pairs.
+    """
     ops = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
     if op not in ops:
         raise ValueError(f"no such operation: {op}")
+    if op == "count" or op in ("sum", "mean") and dict(b.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
+        of = ["b"] if op == "count" else ["b", "v"]
+        found = overlapping(a, ranked_ends(a, b, None if op == "count" else column), *of)
+        value = {"count": lambda: F.col("n_b"), "sum": lambda: F.col("n_v"), "mean": lambda: F.col("n_v").cast("double") / F.col("n_b").cast("double")}[op]()
+        return found.select(*a.columns, F.when(F.col("n_b") > 0, value.cast("double")).alias("value"))
     hits = overlap_pairs(a.select("chrom", "start", "stop", "ord"), b.select("chrom", "start", "stop", F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("v")), levels=levels)
     found = hits.groupBy(F.col("a_ord").alias("ord")).agg(ops[op]("b_v").cast("double").alias("value"))
     return a.join(found, "ord", "left").select(*a.columns, "value")
 
 
-def overlap_stats(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
-    """One row: counts, rows with a partner, bases, shared bases (pair by pair, unmerged) and their Jaccard ratio."""
-    ids = lambda d: d.select("chrom", "start", "stop", "ord")
-    shared = F.greatest(F.least("a_stop", "b_stop") - F.greatest("a_start", "b_start"), F.lit(0))
-    hit = overlap_pairs(ids(a), ids(b), levels=levels).agg(F.coalesce(F.sum(shared), F.lit(0)).alias("overlap_bases"), F.count_distinct("a_ord").alias("a_with_overlap"), F.count_distinct("b_ord").alias("b_with_overlap"))
-    size = lambda d, k: d.agg(F.count("*").alias(f"{k}_count"), F.coalesce(F.sum(F.greatest(F.col("stop") - F.col("start"), F.lit(0))), F.lit(0)).alias(f"{k}_bases"))
-    one = size(a, "a").crossJoin(size(b, "b")).crossJoin(hit)  # one row each
+def overlap_stats(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: counts, rows with a partner, bases, shared bases (pair by pair, unmerged) and their Jaccard ratio.
+
+    Shared bases are those between two ends times the depths of both there; partners are counted by ranks.
+    """
+    ids = lambda d: d.select("chrom", "start", "stop")
+    ends = ranked_ends(ids(a), ids(b))
+    deep = lambda x: open_at(x) + F.col(f"at_{x}") - (F.col(f"to_{x}") - F.col(f"in_{x}"))
+    shared = ends.agg(F.coalesce(F.sum(deep("a") * deep("b") * (F.coalesce("next", "pos") - F.col("pos"))), F.lit(0)).alias("overlap_bases"))
+
+    def side(d: DataFrame, k: str, other: str) -> DataFrame:
+        size = F.coalesce(F.sum(F.greatest(F.col("stop") - F.col("start"), F.lit(0))), F.lit(0))
+        return overlapping(ids(d), ends, other).agg(F.count("*").alias(f"{k}_count"), size.alias(f"{k}_bases"), F.count_if(F.col(f"n_{other}") > 0).alias(f"{k}_with_overlap"))
+
+    one = side(a, "a", "b").crossJoin(side(b, "b", "a")).crossJoin(shared)  # one row each
     every = F.greatest(F.col("a_bases") + F.col("b_bases") - F.col("overlap_bases"), F.lit(0))
     return one.select("a_count", "b_count", "a_with_overlap", "b_with_overlap", "a_bases", "b_bases", "overlap_bases").withColumn("jaccard", F.when(every > 0, F.col("overlap_bases") / every).otherwise(0.0))
 
@@ -133,9 +150,10 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def fisher(a: DataFrame, b: DataFrame, genome: DataFrame) -> DataFrame:
     """One row: n11, n12, n21, n22 and the left, right and two-tailed p-values and ratio of Fisher's exact test."""
-    met = (F.col("a_start") < F.col("b_stop")) & (F.col("b_start") < F.col("a_stop")) | (F.col("a_start") == F.col("b_start"))
     ids = lambda d: d.select("chrom", "start", "stop")
-    n = overlap_pairs(ids(a), ids(b), met).count()
+    # Of a pair one begins while the other is open, or both begin together; nothing is asked of how they end.
+    pairs = F.col("at_a") * open_at("b") + F.col("at_b") * open_at("a") + F.col("at_a") * F.col("at_b")
+    n = ranked_ends(ids(a), ids(b)).agg(F.sum(pairs).alias("n")).first()["n"] or 0
     side = lambda d: d.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0)).alias("s")).first()
     ra, rb, total = side(a), side(b), genome.agg(F.sum("size").alias("s")).first()["s"] or 0
     row = fisher_row(n, ra["n"], rb["n"], ra["s"], rb["s"], total)

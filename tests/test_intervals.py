@@ -296,3 +296,25 @@ def test_sequences_over_many_blocks(spark, tmp_path, monkeypatch):
         lines = [r["line"] for r in sequences.wrapped(source).orderBy("ord", "k").collect()]
         assert lines == [x for n, s in seqs.items() for x in [f">{n}", *(s[i : i + width[n]] for i in range(0, len(s), width[n]))]]
     assert sequences.get_fasta(df.limit(0), fa).count() == 0 and sequences.nuc(df.where("chrom = 's9'"), fa).where("seq_len > 0").count() == 0
+
+
+def test_ranks_against_pairs(spark, monkeypatch):
+    """Counts, sums and shared bases by ranks, with empty rows, repeated ones and equal starts, over many stretches."""
+    monkeypatch.setattr(scan, "WIDTH", 16)
+    rng = random.Random(9)
+    for size in (0, 60):
+        made = lambda n: [(rng.choice("xyz"), s, s + rng.choice([0, 0, 1, 5, 40]), rng.randrange(-9, 9), i) for i in range(n) for s in [rng.randrange(-20, 90)]]  # noqa: E731, B023
+        a, b = made(80), made(size)
+        kind = "chrom string, start long, stop long, score long, ord long"
+        da, db = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+        met = {x[4]: [y for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2]] for x in a}
+        for op, fn in (("count", len), ("sum", sum), ("mean", lambda v: sum(v) / len(v)), ("min", min)):
+            got = {r["ord"]: r["value"] for r in rangejoin.map_values(da, db, op).collect()}
+            assert got == {o: float(fn([y[3] for y in ys])) if ys else None for o, ys in met.items()}, op
+        r = rangejoin.overlap_stats(da, db).first()
+        assert (r["a_count"], r["b_count"]) == (len(a), len(b))
+        assert r["overlap_bases"] == sum(min(x[2], y[2]) - max(x[1], y[1]) for x in a for y in met[x[4]])
+        assert (r["a_with_overlap"], r["b_with_overlap"]) == (sum(map(bool, met.values())), len({y[4] for ys in met.values() for y in ys}))
+        n = sum(x[0] == y[0] and (x[1] == y[1] or x[1] < y[2] and y[1] < x[2]) for x in a for y in b)
+        g = spark.createDataFrame([("x", 1000), ("y", 1000), ("z", 1000)], "chrom string, size long")
+        assert rangejoin.fisher(da, db, g).first()["n11"] == n
