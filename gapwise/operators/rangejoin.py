@@ -6,7 +6,9 @@ rows made are bounded; a pair is kept in the one bin where the later of the two
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,6 +18,8 @@ from .ranks import open_at, overlapping, ranked_ends
 from .scan import running
 
 MAX_BINS = 64
+#: What two rows of one bin have in common: chromosome, both levels, bin.
+KEYS = ["_c", "_la", "_lb", "_bin"]
 
 
 def bin_levels(*sides: DataFrame) -> list[int]:
@@ -50,26 +54,72 @@ def _binned(df: DataFrame, side: str, levels: list[int]) -> DataFrame:
     return rows.withColumn("_la", F.col(mine)).withColumn("_lb", F.col(its)).drop("_s", "_e", "_own", "_other")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, condition: Column | None = None, levels: list[int] | None = None) -> DataFrame:
+class BinnedTable:
+    """Intervals written once in their bins, to be the other side b of many joins: a table of the catalog, bucketed by the join's keys.
+
+    The join reads its buckets as they lie and moves only the rows that come to meet them. Bins follow from the written intervals'
+    lengths; longer intervals on the other side use the coarser levels, of which there are enough for `longest`.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        props = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+        if "gapwise.levels" not in props:
+            raise ValueError(f"{name} was not written in bins")
+        self.levels, self.columns = json.loads(props["gapwise.levels"]), json.loads(props["gapwise.columns"])
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.table(self.name)
+
+    @property
+    def dtypes(self) -> list[tuple[str, str]]:
+        return [(c[2:], k) for c, k in self.rows().dtypes if c.startswith("b_")]
+
+    def select(self, *columns: str) -> BinnedTable:
+        """The table with fewer of its columns; chrom, start and stop are among them."""
+        out = BinnedTable(self.spark, self.name)
+        out.columns = [c for c in columns if c in self.columns]
+        if len(out.columns) < len(columns):
+            raise ValueError("a binned table has its own columns only")
+        return out
+
+    @classmethod
+    def write(cls, df: DataFrame, name: str, buckets: int = 64, longest: int = 1 << 32) -> BinnedTable:
+        """Write df (chrom, start, stop and more) as the table `name`, in so many buckets; the name must be free."""
+        levels = bin_levels(df)
+        while levels[-1] * MAX_BINS < longest:
+            levels.append(levels[-1] * MAX_BINS)
+        _binned(df, "b", levels).write.bucketBy(buckets, *KEYS).sortBy(*KEYS).saveAsTable(name)
+        told = {"gapwise.levels": json.dumps(levels), "gapwise.columns": json.dumps(df.columns)}
+        df.sparkSession.sql(f"ALTER TABLE {name} SET TBLPROPERTIES (" + ", ".join(f"'{k}' = '{v}'" for k, v in told.items()) + ")")
+        return cls(df.sparkSession, name)
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame | BinnedTable, condition: Column | None = None, levels: list[int] | None = None) -> DataFrame:
     """All pairs on one chromosome that overlap, once each, with columns a_* and b_*.
 
-    condition: another test on a_start, a_stop, b_start, b_stop that no pair without a common bin can meet
+    b may be a BinnedTable. condition: another test on a_start, a_stop, b_start, b_stop that no pair without a common bin can meet
     (overlap, or equal starts).
     """
+    if isinstance(b, BinnedTable):
+        return _met(_binned(a, "a", b.levels), b.rows(), a.columns, b.columns, condition)
     levels = levels or bin_levels(a, b)
+    return _met(_binned(a, "a", levels), _binned(b, "b", levels), a.columns, b.columns, condition)
+
+
+def _met(a: DataFrame, b: DataFrame, of_a: list[str], of_b: list[str], condition: Column | None) -> DataFrame:
     if condition is None:
         condition = (F.col("a_start") < F.col("b_stop")) & (F.col("b_start") < F.col("a_stop"))
-    pairs = _binned(a, "a", levels).join(_binned(b, "b", levels), ["_c", "_la", "_lb", "_bin"])
-    pairs = pairs.where(condition & (F.col("_bin") == F.greatest("_afirst", "_bfirst")))
-    return pairs.select(*[f"a_{c}" for c in a.columns], *[f"b_{c}" for c in b.columns])
+    pairs = a.join(b, KEYS).where(condition & (F.col("_bin") == F.greatest("_afirst", "_bfirst")))
+    return pairs.select(*[f"a_{c}" for c in of_a], *[f"b_{c}" for c in of_b])
 
 
 def _own(df: DataFrame, columns: list[str]) -> list[Column]:
     return [F.col(f"a_{c}").alias(c) for c in columns]
 
 
-def intersect(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> DataFrame:
-    """For each pair a's row, clipped to what is shared; empty parts are dropped."""
+def intersect(a: DataFrame, b: DataFrame | BinnedTable, levels: list[int] | None = None) -> DataFrame:
+    """For each pair a's row, clipped to what is shared; empty parts are dropped. b may be a BinnedTable."""
     lo, hi = F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop")
     p = overlap_pairs(a, b.select("chrom", "start", "stop"), levels=levels).where(lo < hi)
     return p.select(*[lo.alias(c) if c == "start" else hi.alias(c) if c == "stop" else F.col(f"a_{c}").alias(c) for c in a.columns])
@@ -89,7 +139,7 @@ def subtract(a: DataFrame, b: DataFrame, levels: list[int] | None = None) -> Dat
     return rows.select(*[F.col({"start": "_from", "stop": "_to"}.get(c, f"a_{c}")).alias(c) for c in a.columns])
 
 
-def window(a: DataFrame, b: DataFrame, w: int = 1000, levels: list[int] | None = None) -> DataFrame:
+def window(a: DataFrame, b: DataFrame | BinnedTable, w: int = 1000, levels: list[int] | None = None) -> DataFrame:
     """Pairs of rows within w of each other: all columns of both, a_* and b_*."""
     near = a.withColumn("_from", F.col("start")).withColumn("_to", F.col("stop")).withColumn("start", F.greatest(F.col("start") - w, F.lit(0))).withColumn("stop", F.col("stop") + w)
     return overlap_pairs(near, b, levels=levels).withColumn("a_start", F.col("a__from")).withColumn("a_stop", F.col("a__to")).drop("a__from", "a__to")

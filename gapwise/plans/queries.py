@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,6 +140,15 @@ def _group_lists(s: SparkSession, d: str) -> DataFrame:
 
 _add("groupby_lists", _group_lists, "SELECT run, status, strand, CAST(sum(score) AS DOUBLE) AS sum_score, CAST(max(start) AS DOUBLE) AS max_start, string_agg(name, ',' ORDER BY ord) AS collapse_name FROM runs GROUP BY 1, 2, 3", _RUN.replace("status = lag(status) OVER (ORDER BY ord)", "status = lag(status) OVER (ORDER BY ord) AND strand = lag(strand) OVER (ORDER BY ord)"))
 _add("intersect", _on_a(rangejoin.intersect, "b"), f"SELECT a.chrom, greatest(a.start,b.start) AS start, least(a.stop,b.stop) AS stop, a.name, a.score, a.strand, a.ord FROM {_HIT}")
+
+
+def _intersect_binned(s: SparkSession, d: str) -> DataFrame:
+    """b is written in bins under a name of its own, and met where it lies."""
+    name = f"b_binned_{uuid.uuid4().hex}"
+    return rangejoin.intersect(rel(s, d, "a"), rangejoin.BinnedTable.write(rel(s, d, "b").select("chrom", "start", "stop"), name, 8))
+
+
+_add("intersect_binned", _intersect_binned, ORACLE_SQL["intersect"].removeprefix(_cte()))
 _add("subtract", _on_a(rangejoin.subtract, "b"), "SELECT chrom, CAST(lo AS BIGINT) AS start, CAST(hi AS BIGINT) AS stop, name, score, strand, ord FROM (SELECT a.*, coalesce(lag(least(m.stop,a.stop)) OVER w, a.start) AS lo, CASE WHEN m.start IS NULL THEN a.stop ELSE greatest(m.start,a.start) END AS hi FROM a LEFT JOIN mb m ON a.chrom=m.chrom AND a.start<m.stop AND m.start<a.stop WINDOW w AS (PARTITION BY a.ord ORDER BY m.start) UNION ALL SELECT a.*, max(least(m.stop,a.stop)) AS lo, a.stop AS hi FROM a JOIN mb m ON a.chrom=m.chrom AND a.start<m.stop AND m.start<a.stop GROUP BY ALL) WHERE lo<hi", _MB)
 _add("window", lambda s, d: rangejoin.window(rel(s, d, "a"), rel(s, d, "b"), 200), "SELECT " + ", ".join(f"a.{c} AS a_{c}" for c in ("chrom", "start", "stop", "name", "score", "strand", "ord")) + ", " + ", ".join(f"b.{c} AS b_{c}" for c in ("chrom", "start", "stop", "name", "score", "ord")) + " FROM a JOIN b ON a.chrom=b.chrom AND greatest(a.start-200,0)<b.stop AND b.start<a.stop+200")
 for _op, _sql in (("mean", "avg(b.score)"), ("sum", "CAST(sum(b.score) AS DOUBLE)"), ("min", "CAST(min(b.score) AS DOUBLE)"), ("max", "CAST(max(b.score) AS DOUBLE)"), ("count", "CAST(nullif(count(b.score),0) AS DOUBLE)")):

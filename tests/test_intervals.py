@@ -318,3 +318,46 @@ def test_ranks_against_pairs(spark, monkeypatch):
         n = sum(x[0] == y[0] and (x[1] == y[1] or x[1] < y[2] and y[1] < x[2]) for x in a for y in b)
         g = spark.createDataFrame([("x", 1000), ("y", 1000), ("z", 1000)], "chrom string, size long")
         assert rangejoin.fisher(da, db, g).first()["n11"] == n
+
+
+def test_binned_table_is_met_where_it_lies(spark):
+    rng = random.Random(10)
+    made = lambda n, most: [(rng.choice("xyz"), s, s + rng.choice([0, 1, 30, most]), i) for i in range(n) for s in [rng.randrange(0, 100_000)]]
+    a, b = made(400, 50_000), made(500, 3000)
+    kind = "chrom string, start long, stop long, ord long"
+    da, db = spark.createDataFrame(a, kind), spark.createDataFrame(b, kind)
+    table = rangejoin.BinnedTable.write(db, "b_in_bins", 6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(2):
+            pairs = rangejoin.overlap_pairs(da, rangejoin.BinnedTable(spark, "b_in_bins"))
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            below = plan.split("FileScan parquet")[0].rsplit("Join", 1)[1]
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and below.count("Exchange") == 1, plan
+            want = sorted((x[3], y[3]) for x in a for y in b if x[0] == y[0] and x[1] < y[2] and y[1] < x[2])
+            assert sorted((r["a_ord"], r["b_ord"]) for r in pairs.collect()) == want
+        assert sorted(map(tuple, rangejoin.intersect(da, table).collect())) == sorted(map(tuple, rangejoin.intersect(da, db).collect()))
+        assert rangejoin.window(da, table, 50).count() == rangejoin.window(da, db, 50).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_in_bins")
+    with pytest.raises(Exception, match="b_in_bins|not found"):
+        rangejoin.BinnedTable(spark, "b_in_bins")
+
+
+def test_row_wise_operators_on_a_stream(spark, tmp_path, genome):
+    """Lines that arrive as files, parsed and changed row by row, give what the same lines give at once."""
+    (tmp_path / "in").mkdir()
+    lines = [f"chr{1 + i % 2}\t{i * 7}\t{i * 7 + 20}\tn{i}\t5\t{'+-'[i % 2]}" for i in range(20)]
+    for k in range(2):
+        (tmp_path / "in" / f"{k}.bed").write_text("# head\n" + "\n".join(lines[k * 10 : k * 10 + 10]) + "\n")
+    read = spark.readStream.text(str(tmp_path / "in")).select(F.col("value").alias("line"), F.xxhash64("value").alias("ord"))
+    once = spark.createDataFrame([(x,) for x in lines], "line string").select("line", F.xxhash64("line").alias("ord"))
+    operators = {"slop": lambda d: rows.slop(d, genome, 5, 9), "flank": lambda d: rows.flank(d, genome, 5, 9), "shift": lambda d: rows.shift(d, genome, 30), "resize": lambda d: rows.resize(d, 11), "midpoint": rows.midpoint, "promoters": rows.promoters, "len": rows.lengths, "flank_bp": lambda d: rows.flank_bp(d, 3)}
+    for name, op in operators.items():
+        bed = text.parse_bed(read)
+        assert bed.isStreaming
+        query = op(bed).writeStream.format("memory").queryName(f"streamed_{name}").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"at-{name}")).start()
+        query.awaitTermination(60)
+        got = sorted(map(str, spark.table(f"streamed_{name}").collect()))
+        assert got == sorted(map(str, op(text.parse_bed(once)).collect())) and got, name
