@@ -100,7 +100,15 @@ _add("makewindows", lambda s, d: rows.makewindows(rel(s, d, "g"), 3000, 2000), "
 _add("tail", _on_a(rows.tail, n=25), "SELECT * FROM a ORDER BY ord DESC LIMIT 25")
 _add("unique", lambda s, d: rows.unique(rel(s, d, "a").withColumn("start", F.expr("start - start % 5000")).withColumn("stop", F.col("start") + 5000)), "SELECT chrom, start, start+5000 AS stop, name, score, strand, ord FROM (SELECT chrom, start-start%5000 AS start, name, score, strand, ord, row_number() OVER (PARTITION BY chrom, start-start%5000 ORDER BY ord) AS k FROM a) WHERE k=1")
 _add("sample", _on_a(rows.sample, n=100), None)
-_add("sample_exact", _on_a(rows.sample_exact, n=100), None)
+_NUMBERS = """x(t, v) AS (SELECT CAST(0 AS BIGINT), CAST(42 AS HUGEINT) UNION ALL
+  SELECT t+1, xor(c, (c<<17) & 18446744073709551615) FROM (SELECT t, xor(b, b>>7) AS c FROM (SELECT t, xor(v, (v<<13) & 18446744073709551615) AS b FROM x WHERE t < (SELECT count(*) FROM a)-1))),
+nums AS MATERIALIZED (SELECT i, CAST(v % (i+1) AS BIGINT) AS j FROM (SELECT (SELECT count(*) FROM a)-t AS i, v FROM x WHERE t > 0)),
+c(p, place) AS (SELECT p, p FROM (SELECT unnest(range(100)) AS p) UNION ALL SELECT c.p, min(nums.i) FROM c JOIN nums ON nums.j = c.place AND nums.i > c.place AND nums.i >= 100 GROUP BY c.p),
+s(i, l) AS (SELECT 99, (SELECT list(m ORDER BY p) FROM (SELECT p, max(place) AS m FROM c GROUP BY p)) UNION ALL
+  SELECT s.i-1, list_transform(range(1, 101), lambda q: CASE WHEN q = s.i+1 THEN l[j+1] WHEN q = j+1 THEN l[s.i+1] ELSE l[q] END) FROM s JOIN nums ON nums.i = s.i WHERE s.i > 0),
+told AS (SELECT CAST(q-1 AS INTEGER) AS place, l[q] AS r FROM s, unnest(range(1, 101)) u(q) WHERE s.i = 0)"""
+_add("sample_exact", _on_a(rows.sample_exact, n=100), "SELECT chrom, start, stop, name, score, strand, ord, place FROM told JOIN (SELECT *, row_number() OVER (ORDER BY ord)-1 AS k FROM a) ON k = r", _NUMBERS)
+ORACLE_SQL["sample_exact"] = ORACLE_SQL["sample_exact"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 _add("sort", lambda s, d: rows.sort(rel(s, d, "a")), "SELECT * FROM a ORDER BY chrom, start, ord")

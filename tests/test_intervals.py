@@ -121,10 +121,28 @@ def test_shuffle_keeps_lengths_bounds_chromosomes_and_exclusions(spark, genome):
         randomness.shuffle(rows_.withColumn("stop", rows_.stop + 2000), genome).collect()
 
 
-def test_sample_exact_is_the_permutation(spark):
+def plain_shuffle(n, seed):
+    """Every swap of the shuffle, one after another."""
+    x, order = seed, list(range(n))
+    for i in range(n - 1, 0, -1):
+        x = (x ^ (x << 13)) % 2**64
+        x = x ^ (x >> 7)
+        x = (x ^ (x << 17)) % 2**64
+        order[i], order[x % (i + 1)] = order[x % (i + 1)], order[i]
+    return order
+
+
+def test_sample_exact_is_the_whole_shuffle(spark, monkeypatch):
     df = spark.range(300).selectExpr("id * 7 as ord", "id as x")
     got = {r["place"]: r["x"] for r in rows.sample_exact(df, 40, 9).collect()}
-    assert [got[p] for p in range(40)] == rows.permutation(300, 9)[:40]
+    assert [got[p] for p in range(40)] == plain_shuffle(300, 9)[:40]
+    for n, first, seed in ((0, 5, 1), (1, 1, 1), (2, 1, 3), (50, 50, 4), (50, 80, 4), (3000, 1, 42), (20_000, 300, 42)):
+        assert rows.permuted(spark, n, first, seed) == plain_shuffle(n, seed)[:first]
+    draws = rows.XorShift(42)
+    assert draws.numbers(5001, 3000).tolist() == draws.numbers(1, 8000).tolist()[5000:]
+    monkeypatch.setattr(rows, "OWN", 1000)  # ranges are drawn by tasks
+    monkeypatch.setattr(rows, "DRAWN", 700)
+    assert rows.permuted(spark, 20_000, 60, 42) == plain_shuffle(20_000, 42)[:60]
 
 
 def test_subtract_closest_jaccard_against_brute_force(spark):
@@ -159,7 +177,7 @@ def test_rows(small, genome):
     assert rows.unique(small).count() == 5
     assert rows.makewindows(genome, 100).count() == 15
     assert [r["len"] for r in rows.lengths(small).orderBy("ord").collect()] == [20, 30, 20, 40, 30, 30]
-    assert sorted(rows.permutation(20, 7)) == list(range(20))
+    assert sorted(plain_shuffle(20, 7)) == list(range(20))
     assert [r["ord"] for r in rows.sample(small, 3).collect()] == [r["ord"] for r in rows.sample(small, 3).collect()]
 
 
