@@ -23,7 +23,8 @@ def random_intervals(spark: SparkSession, genome: DataFrame, n: int, length: int
     total = genome.agg(F.sum("size").alias("s")).first()["s"] or 0
     if total <= length:
         raise ValueError("the genome is no longer than an interval")
-    q = spark.range(n).select(F.lit("*").alias("chrom"), F.col("id").alias("ord"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total - length)).alias("p"))
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long")  # 60 bits
+    q = spark.range(n).select(F.lit("*").alias("chrom"), F.col("id").alias("ord"), (number % (total - length)).alias("p"))
     v = cum.where("size > 0").select(F.lit("*").alias("chrom"), "at", F.col("chrom").alias("c"))
     placed = around(q, F.col("p"), v, (F.col("at"), F.struct("at", "c")))
     start = F.col("p") - F.col("left.at")

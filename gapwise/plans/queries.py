@@ -208,12 +208,6 @@ _LINE = "CASE WHEN ord%11=0 THEN concat(chrom,chr(9),start) WHEN ord%11=1 THEN c
 _add("validate", lambda s, d: text.validate(rel(s, d, "a").select("ord", F.expr(_LINE).alias("line"))), "SELECT ord, CASE ord%11 WHEN 0 THEN 'fewer than 3 fields' WHEN 1 THEN 'bad start' ELSE 'start after end' END AS error FROM a WHERE ord%11<3")
 
 
-def _random(s: SparkSession, d: str) -> DataFrame:
-    g = rel(s, d, "g")
-    r = randomness.random_intervals(s, g, 5000, 1000).join(g.select("chrom", "size"), "chrom")
-    return r.agg(F.count("*").alias("n"), F.sum(F.when((F.col("start") >= 0) & (F.col("start") < F.col("size")), 1).otherwise(0)).alias("inside"), F.sum(F.when(F.col("stop") - F.col("start") == 1000, 1).otherwise(0)).alias("as_long"))
-
-
 def _shuffled(s: SparkSession, d: str) -> DataFrame:
     a, g, b = rel(s, d, "a"), rel(s, d, "g"), rel(s, d, "b")
     out = randomness.shuffle(a, g, exclude=b)
@@ -222,5 +216,5 @@ def _shuffled(s: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.sum(F.when((F.col("start") >= 0) & (F.col("stop") <= F.col("size")), 1).otherwise(0)).alias("inside"), F.sum(F.when(F.col("stop") - F.col("start") == F.col("len"), 1).otherwise(0)).alias("as_long")).crossJoin(met)  # one row each
 
 
-_add("random", _random, "SELECT CAST(5000 AS BIGINT) AS n, CAST(5000 AS BIGINT) AS inside, CAST(5000 AS BIGINT) AS as_long")
+_add("random", lambda s, d: randomness.random_intervals(s, rel(s, d, "g"), 5000, 1000), "SELECT i AS ord, chrom, p-off AS start, p-off+1000 AS stop FROM places JOIN laid ON off <= p AND p < off+size", "laid AS (SELECT chrom, size, coalesce(CAST(sum(size) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS off FROM g)", "places AS (SELECT i, CAST(concat('0x', left(md5(concat('42:', i)), 15)) AS BIGINT) % ((SELECT CAST(sum(size) AS BIGINT) FROM g)-1000) AS p FROM (SELECT unnest(range(5000)) AS i))")
 _add("shuffle", _shuffled, "SELECT count(*) AS n, count(*) AS inside, count(*) AS as_long, CAST(0 AS BIGINT) AS met FROM a")
