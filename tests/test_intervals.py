@@ -379,3 +379,47 @@ def test_row_wise_operators_on_a_stream(spark, tmp_path, genome):
         query.awaitTermination(60)
         got = sorted(map(str, spark.table(f"streamed_{name}").collect()))
         assert got == sorted(map(str, op(text.parse_bed(once)).collect())) and got, name
+
+
+def test_bed_source_is_read_bed(spark, tmp_path, genome):
+    from gapwise.sources import bed
+
+    spark.dataSource.register(bed.BedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rng = random.Random(11)
+    folder = tmp_path / "beds"
+    folder.mkdir()
+    for k in range(3):
+        body = [f"chr{c}\t{s}\t{s + 9}" + rng.choice(["", "\tn", f"\tn{s}\t5\t+\textra\té"]) + rng.choice(["", "\r"]) for c in range(1, 5) for s in sorted(rng.sample(range(900), 40))]
+        (folder / f"{k}.bed").write_text("track x\n# head\n\n" + "\n".join(body) + ("" if k else "\n") + "\nfew\tcells" * (k == 1))
+    columns = ["chrom", "start", "stop", "name", "score", "strand", "rest"]
+    told = lambda df: list(map(tuple, df.orderBy("ord").select(columns).collect()))
+    want = told(text.read_bed(spark, str(folder)))
+    read = lambda **o: spark.read.format("bed").options(**o).load(str(folder))
+    assert told(read(splitbytes=900)) == want and len(want) == 480
+    for path, n in bed._files(str(folder)):  # every line is of one split, with its place, wherever splits begin
+        body = (folder / path).read_bytes()
+        for size in (1, 2, 7, 100, 1 << 20):
+            lines = [(x, p) for lo in range(0, n, size) for held, at in bed._lines(bed.Split(path, 0, lo, min(lo + size, n))) for x, p in zip(held, at, strict=True) if x]
+            assert [x for x, _ in lines] == [x for x in body.split(b"\n") if x] and all(body[p : p + len(x)] == x for x, p in lines)
+    two = read(splitbytes=900, sorted="true").where("chrom in ('chr2', 'chr4') and start > 100")
+    assert told(two) == [r for r in want if r[0] in ("chr2", "chr4") and r[1] > 100]
+    assert told(read().where("chrom = 'chr3'")) == [r for r in want if r[0] == "chr3"]
+    assert two.rdd.getNumPartitions() < read(splitbytes=900).rdd.getNumPartitions() * 0.8
+    assert rows.slop(read(), genome, 5, 5).count() == 480
+
+    (tmp_path / "bad").write_text("chr1\tx\t5\nchr1\t1\t5\nchr1\t2\n")
+    bad = lambda how: [(r["start"], r["stop"]) for r in spark.read.format("bed").option("onbad", how).load(str(tmp_path / "bad")).orderBy("ord").collect()]
+    assert bad("skip") == [(1, 5)] and bad("zero") == [(0, 5), (1, 5)]
+    with pytest.raises(Exception, match="no coordinate"):
+        bad("error")
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("bed").load(str(tmp_path / "none")).count() == 0
+
+    at = tmp_path / "at"
+    for turn in range(2):  # a second file comes between two runs
+        stream = rows.slop(spark.readStream.format("bed").load(str(tmp_path / "none")), genome, 5, 9)
+        (tmp_path / "none" / f"{turn}.bed").write_text("".join(f"chr1\t{20 + i}\t{30 + i}\n" for i in range(5 + turn)))
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(at)).trigger(availableNow=True).start().awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert got.count() == (5, 11)[turn] and got.agg(F.min("start"), F.max("stop")).first() == ((15, 43), (15, 44))[turn]
