@@ -402,10 +402,10 @@ def test_bed_source_is_read_bed(spark, tmp_path, genome):
         for size in (1, 2, 7, 100, 1 << 20):
             lines = [(x, p) for lo in range(0, n, size) for held, at in bed._lines(bed.Split(path, 0, lo, min(lo + size, n))) for x, p in zip(held, at, strict=True) if x]
             assert [x for x, _ in lines] == [x for x in body.split(b"\n") if x] and all(body[p : p + len(x)] == x for x, p in lines)
-    two = read(splitbytes=900, sorted="true").where("chrom in ('chr2', 'chr4') and start > 100")
+    two = read(splitbytes=250, sorted="true").where("chrom in ('chr2', 'chr4') and start > 100")
     assert told(two) == [r for r in want if r[0] in ("chr2", "chr4") and r[1] > 100]
     assert told(read().where("chrom = 'chr3'")) == [r for r in want if r[0] == "chr3"]
-    assert two.rdd.getNumPartitions() < read(splitbytes=900).rdd.getNumPartitions() * 0.8
+    assert two.rdd.getNumPartitions() < read(splitbytes=250).rdd.getNumPartitions() * 0.8
     assert rows.slop(read(), genome, 5, 5).count() == 480
 
     (tmp_path / "bad").write_text("chr1\tx\t5\nchr1\t1\t5\nchr1\t2\n")
