@@ -20,6 +20,7 @@ from .functions import stats as fmt
 from .operators import aggregates, islands, nearest, randomness, rangejoin, rows, sequences, sweep
 from .operators.scan import running
 from .sources import text
+from .tables import release
 
 
 class Printed(NamedTuple):
@@ -371,7 +372,18 @@ def main(argv: list[str] | None = None) -> int:
     for name in ("descending", "soft", "chrom", "header"):
         p.add_argument(f"--{name}", action="store_true")
     a = p.parse_args(argv)
+    own = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName("gapwise").getOrCreate()
+    try:
+        return printed(spark, a)
+    finally:
+        if own:
+            release(spark)
+            spark.stop()
+
+
+def printed(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Run one call and print or write what it gives; its exit code."""
     out = Command(spark, a).run()
     for note in out.notes:
         print(note, file=sys.stderr)

@@ -423,3 +423,40 @@ def test_bed_source_is_read_bed(spark, tmp_path, genome):
         stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(at)).trigger(availableNow=True).start().awaitTermination(120)
         got = spark.read.parquet(str(tmp_path / "out"))
         assert got.count() == (5, 11)[turn] and got.agg(F.min("start"), F.max("stop")).first() == ((15, 43), (15, 44))[turn]
+
+
+def test_many_files_in_one_state(spark, monkeypatch):
+    """Sets and values of many files equal those of a column for each; the plan's size does not depend on the number of files."""
+    rng = random.Random(13)
+
+    def made(n):
+        out = []
+        for f in range(n):
+            at = -30
+            for _ in range(25):
+                at += rng.choice([0, 1, 5, 400])
+                out.append((rng.choice("xy"), at, at + rng.choice([0, 3, 50, 900]), str(rng.randrange(4)), f))
+                at = out[-1][2]
+        return out
+
+    def apart(rows):  # in each file and chromosome
+        return [r for r in rows if not any(o[4] == r[4] and o[0] == r[0] and o[1] < r[2] and r[1] < o[2] for o in rows if o is not r)]
+
+    kind = "chrom string, start long, stop long, value string, f int"
+    rows_ = apart(made(5))
+    files = [spark.createDataFrame([r for r in rows_ if r[4] == f], kind) for f in range(5)]
+    names = list("abcde")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    real = sweep._states
+    want = told(sweep.multiinter(files, names)), told(sweep.unionbedg(files, names))
+    monkeypatch.setattr(sweep, "WIDE", 2)
+    monkeypatch.setattr(sweep, "_states", lambda turns: real(turns, 32))
+    assert (told(sweep.multiinter(files, names)), told(sweep.unionbedg(files, names))) == want and want[0] and want[1]
+    sizes = []
+    for n in (20, 200):
+        df = spark.createDataFrame(made(n), kind)
+        on = sweep.covers(df)
+        sizes.append(len(on._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        deepest = on.agg(F.max(F.size("files"))).first()[0]
+    assert sizes[0] == sizes[1] and deepest > 20
+    assert sweep.covers(df.limit(0)).count() == 0
