@@ -2,9 +2,9 @@
 
 Rows are dealt to the nearest of some pivots, a bounded sample of themselves, and so to pages of a bounded number of rows.
 A page is an M-tree: it is built once, where its rows meet, and kept with its centre and covering radius; its own queries are
-searched there, which gives each query a first k-th best score. By |q.x| <= q.c + |q| r for a page of centre c and radius r,
-a query then goes only to those other pages that could pass that score. Nothing but these pairs of query and page is moved,
-and a page goes once to each block of BLOCK queries that visit it.
+searched there, which gives each query a first k-th best score. By q.x <= q.c + |q| r for a pivot c whose pages' rows are within r of it,
+a query then goes only to the pages of those pivots that could pass that score. Pivots and their radii, PIVOTS at most, are all that
+is sent to every task; pairs of query and pivot are numbers, and a page goes once to each block of BLOCK queries that visit it.
 
 In a tree, inner products become distances by one more component: with x' = (x, sqrt(M - |x|^2)) and q' = (q, 0), where M is the
 largest |x|^2 of the page, |q' - x'|^2 = |q|^2 + M - 2 q.x, so that the nearest x' has the highest q.x. The tree is
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -128,8 +129,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def in_pages(rows: DataFrame, page_rows: int) -> DataFrame:
-    """rows (row, vec_id, v) with page: that of the nearest pivot among those of their length."""
+def in_pages(rows: DataFrame, page_rows: int) -> tuple[DataFrame, Broadcast]:
+    """rows (row, vec_id, v) with pivot, the nearest among those of their length, and page, one of the pivot's; and what is known of
+    the pivots of each length (vectors, number of the first, pages of each), PIVOTS at most.
+    """
     spark = rows.sparkSession
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()  # one row for each length
     pivots, first, parts = {}, {}, {}
@@ -146,16 +149,17 @@ def in_pages(rows: DataFrame, page_rows: int) -> DataFrame:
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         pivots, first, parts = held.value
         length = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
-        row, page = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64)
+        row, pivot, page = b.column(0).to_numpy(), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
         for d in np.unique(length):
             at = np.flatnonzero(length == d)
             p = pivots[int(d)]
             x = _matrix(b.column(2).take(pa.array(at)), len(at)) if d else np.zeros((len(at), 0))
             near = ((p**2).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1)
-            page[at] = first[int(d)] + near * parts[int(d)] + row[at] % parts[int(d)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(page)], names=["row", "vec_id", "v", "page"])
+            pivot[at] = first[int(d)] + near * parts[int(d)]
+            page[at] = pivot[at] + row[at] % parts[int(d)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(pivot), pa.array(page)], names=["row", "vec_id", "v", "pivot", "page"])
 
-    return arrow_map(rows.select("row", "vec_id", "v"), deal, "row long, vec_id long, v array<double>, page long")
+    return arrow_map(rows.select("row", "vec_id", "v"), deal, "row long, vec_id long, v array<double>, pivot long, page long"), held
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "embedding", page_rows: int = PAGE_ROWS, block: int = BLOCK) -> DataFrame:
@@ -168,7 +172,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "emb
     """
     numbered = usable(vectors, column).withColumn("row", F.monotonically_increasing_id())
     rows = materialize(numbered.select("row", "vec_id", "v"), "vectors")
-    dealt = in_pages(rows, page_rows)
+    dealt, held = in_pages(rows, page_rows)
     # A page that far outgrows the mean (copies of one vector, say) is cut into several.
     sizes = materialize(dealt.groupBy("page").agg(F.count("*").alias("n")).where(F.col("n") > 2 * page_rows), "page-sizes")
     cut = F.coalesce(F.ceil(F.col("n") / page_rows), F.lit(1))
@@ -177,8 +181,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "emb
     def build(table: pa.Table) -> pa.Table:
         row, ids, x = table.column("row").to_numpy(), table.column("vec_id").to_numpy(), _matrix(table.column("v"), table.num_rows)
         tree = MTree(ids, row, x)
-        centre = x.mean(axis=0)
-        radius = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
+        pivots, first, parts = held.value
+        pivot, d = table.column("pivot")[0].as_py(), x.shape[1]
+        radius = float(np.sqrt(((x - pivots[d][(pivot - first[d]) // parts[d]]) ** 2).sum(axis=1)).max())
         asks = ids % every == 0
         order = np.flatnonzero(asks)
         q, v, score = tree.search(row[order], x[order], k) if len(order) else (np.zeros(0, np.int64),) * 3
@@ -188,45 +193,49 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, column: str = "emb
         none = lambda n, kind: pa.nulls(n, kind)
         vector = pa.list_(pa.float64())
         made = [
-            {"what": ["page"], "query": none(1, pa.int64()), "vec_id": none(1, pa.int64()), "score": none(1, pa.int64()), "v": pa.array([centre.tolist()], vector), "radius": [radius], "tree": pa.array([tree.dump()], pa.binary())},
+            {"what": ["page"], "query": none(1, pa.int64()), "vec_id": none(1, pa.int64()), "score": none(1, pa.int64()), "v": none(1, vector), "radius": [radius], "tree": pa.array([tree.dump()], pa.binary())},
             {"what": ["found"] * len(q), "query": q, "vec_id": v, "score": score, "v": none(len(q), vector), "radius": none(len(q), pa.float64()), "tree": none(len(q), pa.binary())},
             {"what": ["query"] * len(order), "query": row[order], "vec_id": ids[order], "score": pa.array([kth[int(r)] for r in row[order]], pa.int64()), "v": pa.array(list(x[order]), vector), "radius": none(len(order), pa.float64()), "tree": none(len(order), pa.binary())},
         ]
-        return pa.concat_tables([pa.table({"page": pa.array(name(len(m["what"]))[0], pa.int64()), "cut": pa.array(name(len(m["what"]))[1], pa.int32()), **m}).cast(shape) for m in made])
+        return pa.concat_tables([pa.table({"page": pa.array(name(len(m["what"]))[0], pa.int64()), "cut": pa.array(name(len(m["what"]))[1], pa.int32()), "pivot": pa.array([pivot] * len(m["what"]), pa.int64()), **m}).cast(shape) for m in made])
 
-    kind = "page long, cut int, what string, query long, vec_id long, score long, v array<double>, radius double, tree binary"
-    shape = pa.schema([("page", pa.int64()), ("cut", pa.int32()), ("what", pa.string()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("v", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())])
+    kind = "page long, cut int, pivot long, what string, query long, vec_id long, score long, v array<double>, radius double, tree binary"
+    shape = pa.schema([("page", pa.int64()), ("cut", pa.int32()), ("pivot", pa.int64()), ("what", pa.string()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("v", pa.list_(pa.float64())), ("radius", pa.float64()), ("tree", pa.binary())])
     built = materialize(dealt.groupBy("page", "cut").applyInArrow(build, kind), "pages")
     pages = built.where("what = 'page'")
-    outlines = pages.select("page", "cut", "v", "radius").toArrow()  # one row for each page, bounded as the pivots are
-    page, part, radius, centres = outlines.column("page").to_numpy(), outlines.column("cut").to_numpy(), outlines.column("radius").to_numpy(), outlines.column("v").to_pylist()
-    length, by_length = np.array([len(c) for c in centres], np.int64), {}
-    for d in np.unique(length).tolist():
-        at = np.flatnonzero(length == d)
-        by_length[d] = page[at], part[at], radius[at], np.array([centres[i] for i in at]).reshape(len(at), d)
-    held = rows.sparkSession.sparkContext.broadcast(by_length)
+    reach = pages.groupBy("pivot").agg(F.max("radius").alias("radius")).orderBy("pivot").toArrow()  # one row for each pivot, however many pages it has
+    pivots, first, parts = held.value
+    spread = {}
+    for d, vectors in pivots.items():
+        ids = first[d] + np.arange(len(vectors)) * parts[d]
+        at = np.searchsorted(reach.column("pivot").to_numpy(), ids)
+        at = np.minimum(at, len(reach) - 1)
+        met = reach.column("pivot").to_numpy()[at] == ids
+        spread[d] = ids[met], reach.column("radius").to_numpy()[at][met], vectors[met]
+    known = rows.sparkSession.sparkContext.broadcast(spread)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            length = b.column(4).value_lengths().to_numpy(zero_copy_only=False)
-            own, own_part, least = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).cast(pa.float64()).fill_null(-np.inf).to_numpy()
+            length, least = b.column(2).value_lengths().to_numpy(zero_copy_only=False), b.column(1).cast(pa.float64()).fill_null(-np.inf).to_numpy()
             for d in np.unique(length).tolist():
-                page, part, radius, centres = held.value[d]
+                pivot, radius, centres = known.value[d]
                 asked = np.flatnonzero(length == d)
-                step = max(1, VISIT_CELLS // len(page))
+                step = max(1, VISIT_CELLS // len(pivot))
                 for at in (asked[i : i + step] for i in range(0, len(asked), step)):
-                    x = _matrix(b.column(4).take(pa.array(at)), len(at))
+                    x = _matrix(b.column(2).take(pa.array(at)), len(at))
                     high = x @ centres.T + np.sqrt((x**2).sum(axis=1))[:, None] * radius[None, :]
-                    goes = high * (1 + np.sign(high) * SLACK) + SLACK >= least[at][:, None]
-                    goes &= (page[None, :] != own[at][:, None]) | (part[None, :] != own_part[at][:, None])
-                    q, to = np.nonzero(goes)
+                    q, to = np.nonzero(high * (1 + np.sign(high) * SLACK) + SLACK >= least[at][:, None])
                     if len(q):
-                        sent = b.take(pa.array(at[q]))
-                        yield pa.RecordBatch.from_arrays([pa.array(page[to]), pa.array(part[to], pa.int32()), sent.column(2), sent.column(3), sent.column(4)], names=["page", "cut", "query", "least", "v"])
+                        yield pa.RecordBatch.from_arrays([pa.array(pivot[to]), b.column(0).take(pa.array(at[q]))], names=["pivot", "query"])
 
     queries = built.where("what = 'query'")
-    pairs = materialize(queries.select("page", "cut", "query", "score", "v").mapInArrow(visits, "page long, cut int, query long, least long, v array<double>"), "page-visits")
-    blocks = materialize(pairs.groupBy("page", "cut").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "page-blocks")
+    # Numbers alone say who goes where; a query's own page has been searched.
+    goes = materialize(queries.select("query", "score", "v").mapInArrow(visits, "pivot long, query long"), "page-visits")
+    places = pages.select("pivot", F.col("page").alias("page"), F.col("cut").alias("cut"))  # columns of their own beside those of pages
+    asking = queries.select("query", F.col("page").alias("_page"), F.col("cut").alias("_cut"), F.col("score").alias("least"), "v")
+    pairs = goes.join(small_side(places), "pivot").join(asking, "query").where("page <> _page or cut <> _cut").select("page", "cut", "query", "least", "v")
+    visited = goes.join(small_side(places), "pivot")
+    blocks = materialize(visited.groupBy("page", "cut").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "page-blocks")
     asked = pairs.join(small_side(blocks), ["page", "cut"]).withColumn("block", F.pmod(F.xxhash64("query"), F.col("blocks")).cast("int")).drop("blocks")
     sent = pages.select("page", "cut", "tree").join(small_side(blocks), ["page", "cut"]).select("page", "cut", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 

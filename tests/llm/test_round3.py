@@ -298,3 +298,26 @@ def test_near_dedup_recall_over_shapes(spark):
     dropped, want = set(range(len(texts))) - got, set(range(len(texts))) - kept
     print(len(texts), len(want), len(dropped), len(want & dropped) / len(want))
     assert len(want) > 300 and len(dropped) >= 0.97 * len(want) and len(dropped) <= len(want)
+
+
+def test_topk_prunes_pages_and_keeps_repeats(spark, monkeypatch):
+    """Clustered vectors: queries go to few pivots; repeated ids and equal scores over several pages; lengths apart; by brute force."""
+    from gapwise.llm import topk
+
+    rng = np.random.default_rng(21)
+    centres = rng.integers(-40, 40, (12, 6))
+    rows = [(int(rng.integers(0, 200)), (centres[rng.integers(12)] + rng.integers(-1, 2, 6) / 4).tolist()) for _ in range(900)] + [(50, [1.0, 2.0]), (7, [3.0, 1.0]), (50, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    visits = []
+    real = topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda d, name: visits.append(real(d, name)) or visits[-1] if name == "page-visits" else real(d, name))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, page_rows=40, block=16).collect()]
+    want = []
+    for i, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            a = [int(np.floor(256 * c)) for c in x]
+            best = sorted((-sum(p * int(np.floor(256 * c)) for p, c in zip(a, y, strict=True)), v) for j, (v, y) in enumerate(rows) if j != i and len(y) == len(x))[:5]
+            want += [(q, k, v, -s) for k, (s, v) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+    queries = sum(q % 50 == 0 for q, _ in rows)
+    assert visits[0].columns == ["pivot", "query"] and visits[0].count() < 0.5 * queries * visits[0].select("pivot").distinct().count()
