@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import forget, materialize, pieces, scratch_dir, small_side
+from .common import forget, materialize, pieces, scratch_dir
 from .tokens import encoder
 
 HEAD, MAGIC = struct.Struct("<4sIQQIII"), b"WVM2"
@@ -167,7 +167,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
 def write(docs: DataFrame, tokenizer: str, end: int, folder: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """Encode all documents, in ascending doc_id order (null first; equal ids by a hash of the text), into files under folder.
 
-    A file's path has part=, shard= (together in the order of the documents) and tokens=. The ids alone are moved to sort
+    A file's path has part=, shard= (its number in the part, and after a dash the part's tokens before it) and tokens=. The ids alone are moved to sort
     them, never the texts.
     """
     staged = materialize(tokenize(docs, tokenizer, end), "ids")
@@ -178,12 +178,12 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str, shard_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, shard, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, shard, before, held, names, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def close() -> pa.RecordBatch:
             ids, lengths = np.concatenate(held), np.array([len(x) for x in held])
-            row = [[encode(ids, lengths, names)], [part], [shard], [len(ids)]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.binary(), pa.int32(), pa.int32(), pa.int64()], strict=True)], names=["payload", "part", "shard", "tokens"])
+            row = [[encode(ids, lengths, names)], [part], [shard], [len(ids)], [before]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()], strict=True)], names=["payload", "part", "shard", "tokens", "before"])
 
         for b in batches:
             for doc, wide, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -192,26 +192,25 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str, shard_tokens:
                 size += len(held[-1])
                 if size >= shard_tokens:
                     yield close()
-                    shard, held, names, size = shard + 1, [], [], 0
+                    shard, before, held, names, size = shard + 1, before + size, [], [], 0
         if held:
             yield close()
 
-    files = ordered.mapInArrow(run, "payload binary, part int, shard int, tokens long")
-    files.withColumn("payload", F.col("payload").cast("string")).write.partitionBy("part", "shard", "tokens").text(folder)
+    files = ordered.mapInArrow(run, "payload binary, part int, shard int, tokens long, before long")
+    named = files.select(F.col("payload").cast("string"), "part", F.concat_ws("-", "shard", "before").alias("shard"), "tokens")
+    named.write.partitionBy("part", "shard", "tokens").text(folder)
     forget(staged)
 
 
 def read(files: DataFrame, end: int | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from its file; start counts all ids before it.
 
-    files: part, shard, tokens, content. With end, the last token of each file's first document is looked up by rank as
+    files: part, shard, tokens, before, content. With end, the last token of each file's first document is looked up by rank as
     well, and must be that.
     """
-    sizes = files.select("part", "shard", "tokens")
-    before = W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("tokens").alias("all"))
-    above = parts.select("part", F.coalesce(F.sum("all").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    base = materialize(sizes.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(above, "part").select("part", "shard", (F.col("base") + F.col("above")).alias("base")), "wavelet-bases")
+    parts = files.groupBy("part").agg(F.sum("tokens").alias("all"))
+    above = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    base = materialize(parts.select("part", F.coalesce(F.sum("all").over(above), F.lit(0)).alias("above")), "wavelet-bases")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,15 +224,17 @@ def read(files: DataFrame, end: int | None = None) -> DataFrame:
                 crc = [zlib.crc32(data[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(matrix.docs, pa.int64()), pa.array(starts + base), pa.array(matrix.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = files.join(small_side(base), ["part", "shard"]).select("content", "base")
+    # One row for each part, RANGES at most: the contents stay where they are read.
+    rows = files.join(F.broadcast(base), "part").select("content", (F.col("above") + F.col("before")).alias("base"))
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def files_of(spark, folder: str) -> DataFrame:
-    """part, shard, tokens and content of the files that `write` wrote; none if there were no documents."""
+    """part, shard, tokens, before and content of the files that `write` wrote; none if there were no documents."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
-    told = lambda name, kind: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast(kind).alias(name)
-    return files.select(told("part", "int"), told("shard", "int"), told("tokens", "long"), "content")
+    told = lambda pattern, kind: F.regexp_extract("path", pattern, 1).cast(kind)
+    shard = told("/shard=([0-9]+)-", "int").alias("shard"), told("/shard=[0-9]+-([0-9]+)/", "long").alias("before")
+    return files.select(told("/part=([0-9]+)/", "int").alias("part"), *shard, told("/tokens=([0-9]+)/", "long").alias("tokens"), "content")
 
 
 def token_stats(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
