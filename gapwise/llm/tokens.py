@@ -2,7 +2,8 @@
 
 Both kinds of vocabulary read here split a text by a pattern before merging, and never across the end of a run of
 non-blank characters. So a text's ids are those of its pieces (a run, with the blanks before it) put together, and
-the library's merge model sees each distinct word once. Texts for which that is not certain (rare blanks, special
+the library's merge model sees each distinct word once. Where the pattern is WORD_PATTERN, whole batches of texts are split
+by the kinds of their bytes, and the words of a batch are looked up once each. Texts for which that is not certain (rare blanks, special
 tokens, characters from U+0800 on, text that normalisation would change) and files of any other layout are encoded
 whole by the library; the ids are the same either way.
 """
@@ -16,6 +17,7 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -24,6 +26,11 @@ CACHE, WORD_CACHE = 500_000, 600_000
 #: The pattern that byte-level vocabularies of this kind split by, and the bytes that stand for themselves.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VISIBLE = [(33, 126), (161, 172), (174, 255)]
+#: The pattern of lower-casing vocabularies that is also found by the kinds of bytes: blank, letter, digit, other.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANK, LETTER, DIGIT, OTHER = range(4)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]], _KIND[ord("a") : ord("z") + 1], _KIND[ord("0") : ord("9") + 1] = BLANK, LETTER, DIGIT
 
 _UNSURE = re.compile(r"[\x1c-\x1f\x85\xa0İΣࠀ-\U0010ffff]")
 _PIECE = re.compile(r"\s*\S+|\s+")
@@ -54,6 +61,30 @@ class _Learned(dict):
         return ids
 
 
+def spans(data: np.ndarray) -> np.ndarray:
+    """Where the spans of lower-cased UTF-8 bytes begin: words of WORD_PATTERN, blanks between them, and runs of non-blank characters with others than ASCII, whole.
+
+    data ends with two blanks.
+    """
+    kind = _KIND[data]
+    new = np.ones(len(data), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    quote = np.flatnonzero((data[:-1] == ord("'")) & new[:-1] & (kind[1:] == LETTER))
+    next_two = data[quote + 1].astype(np.uint16) << np.uint16(8) | data[quote + 2]
+    one = np.isin(next_two >> np.uint16(8), list(b"stmd"))
+    two = np.isin(next_two, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])
+    new[quote[one | two] + 1] = False
+    new[quote[one] + 2] = True
+    new[quote[two] + 3] = True
+    if (data >= 128).any():
+        blank = kind == BLANK
+        runs = np.flatnonzero(np.concatenate([[True], blank[1:] != blank[:-1]]))
+        inside = np.repeat(np.bitwise_or.reduceat(data, runs) >= 128, np.diff(runs, append=len(data)))
+        inside[runs] = False
+        new &= ~inside
+    return np.flatnonzero(new)
+
+
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) has them."""
 
@@ -71,6 +102,8 @@ class Encoder:
             self.split, self.pattern = _PIECE.findall, regex.compile(BYTE_PATTERN)
         elif lower and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and not steps[1].get("use_regex"):
             self.split, self.pattern = str.split, regex.compile(steps[0]["pattern"]["Regex"])
+        self.by_kinds = self.split is str.split and self.pattern.pattern == WORD_PATTERN
+        self.spans = _Learned(self._span, WORD_CACHE)
         self.letters = _byte_letters()
         self.words = _Learned(self._word, WORD_CACHE)
         self.pieces = _Learned(self._piece, CACHE)
@@ -83,7 +116,11 @@ class Encoder:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _whole(self, text: str) -> bool:
-        return self.split is None or _UNSURE.search(text) is not None or any(s in text for s in self.special) or self.lower and not text.isascii() and not unicodedata.is_normalized("NFC", text)
+        if text.isascii():
+            unsure = "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        else:
+            unsure = _UNSURE.search(text) is not None
+        return self.split is None or unsure or any(s in text for s in self.special) or self.lower and not text.isascii() and not unicodedata.is_normalized("NFC", text)
 
     def _word(self, word: str) -> bytes:
         letters = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.letters)
@@ -95,6 +132,9 @@ class Encoder:
             return self.words[text]
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
+    def _span(self, span: str) -> bytes:
+        return b"" if span.isspace() else self._word(span) if span.isascii() else self._piece(span)
+
     def _size(self, piece: str) -> int:
         text = piece.lower() if self.lower else piece
         if text.isalpha() or text[0] == " " and text[1:].isalpha():
@@ -110,9 +150,28 @@ class Encoder:
         return [sum(map(known, self.split(t))) if n < 0 else n for n, t in zip(out, texts, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.by_kinds:
+            return self._encode_by_kinds(texts)
         known = self.pieces.__getitem__
         return [self._plain(t) if self._whole(t) else b"".join(map(known, self.split(t))) for t in texts]
 
+    def _encode_by_kinds(self, texts: list[str]) -> list[bytes]:
+        whole = [self._whole(t) for t in texts]
+        held = [b"" if w else t.encode() for t, w in zip(texts, whole, strict=True)]
+        data = np.frombuffer(b"\n".join([*held, b"", b"\n"]).lower(), np.uint8)
+        at = spans(data)
+        found = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)).dictionary_encode()
+        made = list(map(self.spans.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begin, which = np.cumsum(sizes) - sizes, found.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(made), "<u4")[np.arange(ends[-1]) + np.repeat(begin[which] - ends + counts, counts)].tobytes()
+        # Blanks have no ids, so that it does not matter whose the blanks at a text's ends are.
+        first = np.searchsorted(at, np.cumsum([0, *[len(x) + 1 for x in held]]))
+        cuts = (4 * np.concatenate([[0], ends])[first]).tolist()
+        return [self._plain(t) if w else ids[a:e] for t, w, a, e in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
+
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder of the tokenizer file at path."""

@@ -33,6 +33,8 @@ from .common import forget, materialize, pieces, scratch_dir
 from .tokens import encoder
 
 HEAD, MAGIC = struct.Struct("<4sIQQIII"), b"WVM2"
+#: Characters of texts, about, that are encoded at once: the words that they share are looked up once.
+ENCODED_CHARS = 1 << 22
 #: A shard is closed once it has so many tokens; a document is never cut. Bits of a chunk. Bytes of ids in a range of documents, ranges at most.
 SHARD_TOKENS, CHUNK, RANGE_BYTES, RANGES = 1 << 20, 1 << 16, 16 << 20, 20_000
 
@@ -155,7 +157,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
         kind = "<u2" if max(enc.lib.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
         tail = np.array([end], kind).tobytes()
         for b in batches:
-            for lo, texts in pieces([t or "" for t in b.column(2).to_pylist()]):
+            for lo, texts in pieces([t or "" for t in b.column(2).to_pylist()], ENCODED_CHARS):
                 ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in enc.encode(texts)]
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array([kind == "<u4"] * n), pa.array(ids, pa.binary())], names=["doc_id", "tie", "wide", "ids"])
