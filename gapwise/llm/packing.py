@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, extend, gapless, materialize, pieces, running_ranks
-from .tokens import encoder
+from .tokens import CACHE, WORD_CACHE, encoder
 
 Block = tuple[int, tuple[int, ...]]  # so many sequences, each with pieces of these lengths
 
@@ -144,14 +144,14 @@ def runs(blocks: list[Block]) -> np.ndarray:
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
-def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, ids: bool) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, ids: bool, caches: tuple[int, int] = (CACHE, WORD_CACHE)) -> DataFrame:
     """Pieces of all documents, with the task (pid) and the rank among the pieces of their length in it (lrank)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, lrank long" + ", ids binary" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pid, seen, tail, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end], "<u4").tobytes(), encoder(tokenizer)
+        pid, seen, tail, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end], "<u4").tobytes(), encoder(tokenizer, *caches)
         for b in batches:
             for lo, texts in pieces([t or "" for t in b.column(1).to_pylist()]):
                 rows: list[tuple] = []
@@ -173,14 +173,15 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, ids: bool) ->
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, ids: bool = False, caches: tuple[int, int] = (CACHE, WORD_CACHE)) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for).
 
     Longer documents are cut into pieces of `capacity` tokens, the first of which holds what is over. Null text: as
     empty text, one piece with the end token. Null doc_id and repeated rows: packed like any row. An empty table
-    gives an empty result. Extra columns are not read.
+    gives an empty result. Extra columns are not read. caches: pieces and words of texts that a worker's encoder keeps at most;
+    the ids do not depend on them.
     """
-    staged = materialize(cut(docs, tokenizer, capacity, end, ids), "pieces")
+    staged = materialize(cut(docs, tokenizer, capacity, end, ids, caches), "pieces")
     counts = staged.groupBy("length").agg(F.count("*").alias("n")).toPandas()
     histogram = np.zeros(capacity + 1, np.int64)
     histogram[counts["length"]] = counts["n"]

@@ -34,7 +34,7 @@ _KIND[[9, 10, 11, 12, 13, 32]], _KIND[ord("a") : ord("z") + 1], _KIND[ord("0") :
 
 _UNSURE = re.compile(r"[\x1c-\x1f\x85\xa0İΣࠀ-\U0010ffff]")
 _PIECE = re.compile(r"\s*\S+|\s+")
-_HELD: dict[str, Encoder] = {}
+_HELD: dict[tuple[str, int, int], Encoder] = {}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -88,7 +88,7 @@ def spans(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Little-endian unsigned 32-bit ids of whole texts, as Tokenizer.encode(text, add_special_tokens=False) has them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE, words: int = WORD_CACHE):
         self.lib = Tokenizer.from_file(path)
         self.merge = self.lib.model.tokenize
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
@@ -103,12 +103,12 @@ class Encoder:
         elif lower and len(steps) == 2 and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and not steps[1].get("use_regex"):
             self.split, self.pattern = str.split, regex.compile(steps[0]["pattern"]["Regex"])
         self.by_kinds = self.split is str.split and self.pattern.pattern == WORD_PATTERN
-        self.spans = _Learned(self._span, WORD_CACHE)
+        self.spans = _Learned(self._span, words)
         self.letters = _byte_letters()
-        self.words = _Learned(self._word, WORD_CACHE)
-        self.pieces = _Learned(self._piece, CACHE)
+        self.words = _Learned(self._word, words)
+        self.pieces = _Learned(self._piece, pieces)
 
-        self.sizes = _Learned(self._size, CACHE)
+        self.sizes = _Learned(self._size, pieces)
         added = self.lib.get_added_tokens_decoder().values()
         self.splits = self.split is not None and not any(t.lstrip or t.rstrip or " " in t.content for t in added)
 
@@ -173,8 +173,9 @@ class Encoder:
         return [self._plain(t) if w else ids[a:e] for t, w, a, e in zip(texts, whole, cuts[:-1], cuts[1:], strict=True)]
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder of the tokenizer file at path."""
-    if path not in _HELD:
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+def encoder(path: str, pieces: int = CACHE, words: int = WORD_CACHE) -> Encoder:
+    """This worker's encoder of the tokenizer file at path, whose caches hold so many pieces and words at most."""
+    key = path, pieces, words
+    if key not in _HELD:
+        _HELD[key] = Encoder(*key)
+    return _HELD[key]
