@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, extend, gapless, materialize, pieces, running_ranks
 from .tokens import CACHE, WORD_CACHE, encoder
 
+#: Characters of texts that are encoded at once, about: the more there are, the fewer times a word is looked up.
+BATCH_CHARS = 1 << 19
+
 Block = tuple[int, tuple[int, ...]]  # so many sequences, each with pieces of these lengths
 
 
@@ -153,7 +156,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end: int, ids: bool, cac
 
         pid, seen, tail, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end], "<u4").tobytes(), encoder(tokenizer, *caches)
         for b in batches:
-            for lo, texts in pieces([t or "" for t in b.column(1).to_pylist()]):
+            for lo, texts in pieces([t or "" for t in b.column(1).to_pylist()], BATCH_CHARS):
                 rows: list[tuple] = []
                 for doc, ids_of in zip(b.column(0).slice(lo, len(texts)).to_pylist(), enc.encode(texts), strict=True):
                     data = ids_of + tail
