@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, extend, gapless, materialize, pieces, running_ranks
 from .tokens import CACHE, WORD_CACHE, encoder
 
-#: Characters of texts that are encoded at once, about: the more there are, the fewer times a word is looked up.
-BATCH_CHARS = 1 << 19
+#: Characters of texts that are encoded at once, about: the more there are, the fewer times a word is looked up, but the more memory a worker keeps.
+BATCH_CHARS = 1 << 17
 
 Block = tuple[int, tuple[int, ...]]  # so many sequences, each with pieces of these lengths
 
