@@ -460,3 +460,38 @@ def test_many_files_in_one_state(spark, monkeypatch):
         deepest = on.agg(F.max(F.size("files"))).first()[0]
     assert sizes[0] == sizes[1] and deepest > 20
     assert sweep.covers(df.limit(0)).count() == 0
+
+
+def odd(n, most, seed, chroms="xyz"):
+    """Rows with and without length, some that touch, some long."""
+    rng = random.Random(seed)
+    return [(rng.choice(chroms), s, s + rng.choice([0, 1, 5, 30, most]), i) for i in range(n) for s in [rng.randrange(0, 3000)]]
+
+
+KIND_4 = "chrom string, start long, stop long, ord long"
+
+
+def joined(df):
+    """The columns of each side of each join below, as they are shuffled."""
+    found, left = [], [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        kids = node.children()
+        kids = [kids.apply(i) for i in range(kids.size())]
+        if node.nodeName() == "Join":
+            found += [[x.output().apply(i).name() for i in range(x.output().size())] for x in kids]
+        left += kids
+    return found
+
+
+def test_window_shuffles_each_column_once_and_is_whole(spark):
+    for seed, most in ((4, 40), (5, 2500)):
+        a, b = odd(150, most, seed), odd(100, 2 * most, seed + 10)
+        da, db = spark.createDataFrame(a, KIND_4), spark.createDataFrame(b, KIND_4)
+        for w in (0, 70):
+            want = sorted((x[3], x[1], x[2], y[3]) for x in a for y in b if x[0] == y[0] and max(x[1] - w, 0) < y[2] and y[1] < x[2] + w)
+            for levels in (None, [8, 512, 32768]):
+                found = rangejoin.window(da, db, w, levels)
+                assert sorted((r["a_ord"], r["a_start"], r["a_stop"], r["b_ord"]) for r in found.collect()) == want
+    sides = joined(rangejoin.window(da, db, 70, [4096]))
+    assert sorted(sides) == [["a_chrom", "a_start", "a_stop", "a_ord", "_ja"], ["b_chrom", "b_start", "b_stop", "b_ord", "_jb"]], sides
