@@ -495,3 +495,33 @@ def test_window_shuffles_each_column_once_and_is_whole(spark):
                 assert sorted((r["a_ord"], r["a_start"], r["a_stop"], r["b_ord"]) for r in found.collect()) == want
     sides = joined(rangejoin.window(da, db, 70, [4096]))
     assert sorted(sides) == [["a_chrom", "a_start", "a_stop", "a_ord", "_ja"], ["b_chrom", "b_start", "b_stop", "b_ord", "_jb"]], sides
+
+
+def nearest_plainly(a, b):
+    """Pairs of ord as closest has them."""
+    out = []
+    for c, s, e, o in a:
+        own = [(x, y, k) for d, x, y, k in b if d == c]
+        hits = [k for x, y, k in own if s <= x < e or x < s < y]
+        gaps = [(s - y, k) for x, y, k in own if y <= s and x < s] + [(x - e, k) for x, y, k in own if x >= e]
+        out += [(o, k) for k in hits or [k for g_, k in gaps if g_ == min(gaps)[0]] or [None]]
+    return sorted(set(out), key=str)
+
+
+@pytest.mark.parametrize("most_rows", [200_000, 3])
+def test_closest_shuffles_no_pairs_and_is_right_beside_islands(spark, monkeypatch, most_rows):
+    from gapwise import tables
+
+    monkeypatch.setattr(tables.pinned, "__defaults__", (most_rows,))
+    for seed, n in ((1, 60), (2, 12), (3, 3)):
+        a, b = odd(150, 200, seed, "xyzw"), odd(n, 40, seed + 10)
+        a += [("x", s, s, 1000 + s) for s in (10, 20)]
+        b += [("x", 0, 10, 1000), ("x", 10, 20, 1001), ("x", 20, 20, 1002)]  # they touch where a has rows without length
+        da, db = spark.createDataFrame(a, KIND_4), spark.createDataFrame(b, KIND_4)
+        found = nearest.closest(da, db)
+        assert sorted(((r["a_ord"], r["b_ord"]) for r in found.collect()), key=str) == nearest_plainly(a, b)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Aggregate" not in plan, plan
+    alone = spark.createDataFrame(a, KIND_4)
+    none = nearest.closest(alone, db.limit(0)).collect()
+    assert sorted((r["a_ord"], r["b_chrom"], r["b_start"], r["b_ord"]) for r in none) == sorted((x[3], ".", -1, None) for x in a)
