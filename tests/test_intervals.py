@@ -525,3 +525,13 @@ def test_closest_shuffles_no_pairs_and_is_right_beside_islands(spark, monkeypatc
     alone = spark.createDataFrame(a, KIND_4)
     none = nearest.closest(alone, db.limit(0)).collect()
     assert sorted((r["a_ord"], r["b_chrom"], r["b_start"], r["b_ord"]) for r in none) == sorted((x[3], ".", -1, None) for x in a)
+
+
+def test_intersect_shuffles_and_sorts_by_little(spark):
+    a, b = odd(150, 900, 6), odd(100, 40, 16)
+    da, db = spark.createDataFrame(a, KIND_4), spark.createDataFrame(b, KIND_4)
+    want = sorted((x[0], max(x[1], y[1]), min(x[2], y[2]), x[3]) for x in a for y in b if x[0] == y[0] and max(x[1], y[1]) < min(x[2], y[2]))
+    for levels in (None, [16, 1024]):
+        assert sorted(map(tuple, rangejoin.intersect(da, db, levels).collect())) == want
+    found = rangejoin.intersect(da, db, [4096])
+    assert sorted(joined(found)) == [["a_chrom", "a_start", "a_stop", "a_ord", "_ja"], ["b_chrom", "b_start", "b_stop", "_jb"]]
