@@ -535,3 +535,23 @@ def test_intersect_shuffles_and_sorts_by_little(spark):
         assert sorted(map(tuple, rangejoin.intersect(da, db, levels).collect())) == want
     found = rangejoin.intersect(da, db, [4096])
     assert sorted(joined(found)) == [["a_chrom", "a_start", "a_stop", "a_ord", "_ja"], ["b_chrom", "b_start", "b_stop", "_jb"]]
+
+
+def test_binned_table_holds_a_row_once_for_each_bin_and_meets_long_rows(spark):
+    a, b = odd(150, 60_000, 7), odd(200, 40, 17)
+    b += [("x", 100, 90_000, 5000), ("y", 0, 30_000, 5001)]  # of a coarser level
+    da, db = spark.createDataFrame(a, KIND_4), spark.createDataFrame(b, KIND_4)
+    table = rangejoin.BinnedTable.write(db, "b_once", 4)
+    try:
+        assert len(table.levels) == 2 and table.rows().groupBy("b_ord").agg(F.count_distinct("_level").alias("n")).where("n > 1").count() == 0
+        short = [x for x in a if x[2] - x[1] < 1000]
+        for rows_ in (a, short):
+            for w in (0, 70):
+                want = sorted((x[3], y[3]) for x in rows_ for y in b if x[0] == y[0] and max(x[1] - w, 0 if w else x[1]) < y[2] and y[1] < x[2] + w)
+                found = rangejoin.window(spark.createDataFrame(rows_, KIND_4), table, w)
+                assert sorted((r["a_ord"], r["b_ord"]) for r in found.collect()) == want
+        plain = [x for x in b if x[3] < 5000]
+        assert joined(rangejoin.window(spark.createDataFrame(short, KIND_4), rangejoin.BinnedTable.write(spark.createDataFrame(plain, KIND_4), "b_plain", 4), 70))[0][-2:] == ["_othera", "_ja"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS b_once")
+        spark.sql("DROP TABLE IF EXISTS b_plain")
